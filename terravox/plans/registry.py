@@ -44,7 +44,7 @@ def query(name: str, cols: str, survey: str, sql: str | None = None):
         text = None
         if sql is not None:
             items = ", ".join(
-                f"round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS \"{c}\"" if t == "d" else f"CAST({c} AS {_SQL_TYPES[t]}) AS {c}"
+                f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' if t == "d" else f'CAST("{c}" AS {_SQL_TYPES[t]}) AS "{c}"'
                 for c, t in spec
             )
             text = f"SELECT {items} FROM (\n{sql.strip()}\n) AS q"
