@@ -95,7 +95,7 @@ def equivalent_diameter(area: Column) -> Column:
 def gaussian_falloff(distance: Column, radius: Column | float) -> Column:
     """Radial weight whose standard deviation is half the radius."""
     u = distance / (F.lit(radius) / 2)
-    return F.exp(-u * u)
+    return F.exp(-u * u / 2)
 
 
 def step_price(length: Column, anomaly: Column, s: Column | float) -> Column:
