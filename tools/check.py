@@ -12,7 +12,7 @@ import duckdb
 
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from terravox.plans import QUERIES  # noqa: E402
-from terravox.session import build_session  # noqa: E402
+from terravox.session import build_session, ship_package  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,6 +26,7 @@ def main(argv):
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
     spark = build_session("check", "local[8]", 8)
+    ship_package(spark)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
@@ -44,7 +45,7 @@ def main(argv):
                 print(f"rows  {name}: {len(got)} rows {t1 - t0:.1f}s", flush=True)
                 continue
             rel = con.sql(q.sql)
-            want = canon(con.sql(f"select {', '.join(cols)} from ({q.sql})").fetchall())
+            want = canon(con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({q.sql})").fetchall())
             t2 = time.time()
             ok = got == want
             print(f"{'ok   ' if ok else 'DIFF '} {name}: {len(got)}/{len(want)} rows spark {t1 - t0:.1f}s duck {t2 - t1:.1f}s", flush=True)
