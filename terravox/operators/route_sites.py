@@ -41,6 +41,12 @@ def caps(places: DataFrame, grid: Grid, radius_deg: float) -> DataFrame:
 CAP = ["cj0", "cj1", "ci", "cw"]
 
 
+def cap_number():
+    """One number per cap from its four parts."""
+    b = lambda c: F.col(c).cast("bigint")
+    return (b("cj0") * 1000 + b("cj1")) * 1000000 + b("ci") * 1000 + b("cw")
+
+
 def cap_cells(capped: DataFrame, nlon: int) -> DataFrame:
     """Cells of each cap in reading order ``o``."""
     w = F.col("cw")

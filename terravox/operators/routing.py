@@ -293,7 +293,11 @@ def grid_rows(columns: DataFrame, keys: Sequence[str], value: str = "v") -> Data
 
     A group is one grid row of one shell, whose size is the number of grid columns.
     """
-    c = columns.select(*keys, "j", "i", F.posexplode(value).alias("k", "x"))
+    return grid_rows_of_cells(columns.select(*keys, "j", "i", F.posexplode(value).alias("k", "x")), keys, "x")
+
+
+def grid_rows_of_cells(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    c = cells.select(*keys, "j", "i", "k", F.col(value).alias("x"))
     g = c.groupBy(*keys, "j", "k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
     return g.select(*keys, "j", "k", F.transform("r", lambda s: s["x"]).alias("row"))
 
