@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ROWS_PER_PIECE = 2_000_000
 MAX_PIECES = 512
 BROADCAST_ROWS = 200_000
+SMALL_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -40,8 +41,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects, from file sizes: no job is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def piece_bounds(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, max_pieces: int = MAX_PIECES):
     """Cut points of ``order`` so that no piece of the whole table is much above the target size."""
+    if rows_per_piece >= ROWS_PER_PIECE and planned_bytes(df) <= SMALL_BYTES:
+        return []
     total = df.count()
     pieces = min(max_pieces, math.ceil(total / rows_per_piece)) if total else 1
     if pieces <= 1:
