@@ -116,3 +116,11 @@ def arc_sql(a: str, b: str, c: str, d: str) -> str:
         f"6371.0::DOUBLE * acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, sin(radians({a})) * sin(radians({c})) "
         f"+ cos(radians({a})) * cos(radians({c})) * cos(radians({b} - {d})))))"
     )
+
+
+def haversine_sql(a: str, b: str, c: str, d: str) -> str:
+    """The same distance in the form that is exact for near points."""
+    return (
+        f"2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians({c}) - radians({a})) / 2), 2) "
+        f"+ cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+    )
