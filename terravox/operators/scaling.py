@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 512
+MAX_PIECES = 256
 BROADCAST_ROWS = 200_000
 SMALL_BYTES = 32 << 20
 
@@ -46,6 +46,16 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give a short input one task per core before work that multiplies its rows.
+
+    A table of a few files would otherwise be expanded by a few tasks. Inputs with enough data to
+    fill the cores by their own splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if planned_bytes(df) < cores * SMALL_BYTES else df
+
+
 def piece_bounds(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, max_pieces: int = MAX_PIECES):
     """Cut points of ``order`` so that no piece of the whole table is much above the target size."""
     if rows_per_piece >= ROWS_PER_PIECE and planned_bytes(df) <= SMALL_BYTES:
@@ -60,17 +70,16 @@ def piece_bounds(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE
 
 
 def piece_of(order: Column, cuts: list[float]) -> Column:
-    """Index of the piece a value falls in. Two short searches instead of one long one."""
-    if not cuts:
-        return F.lit(0)
+    """Index of the piece a value falls in: a binary decision tree over the cut points."""
     v = order.cast("double")
-    step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[p : p + step] for p in range(0, len(cuts), step)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    nested = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
-    which = F.size(F.filter(heads, lambda x: x <= v))
-    inside = F.size(F.filter(F.element_at(nested, which), lambda x: x <= v))
-    return F.when(which == 0, F.lit(0)).otherwise((which - 1) * step + inside)
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
 
 
 class Ordered:

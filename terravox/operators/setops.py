@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from terravox.operators.scaling import Ordered
 
 
-def linked_pairs(members: DataFrame, owner: str, member: str, share: float, rows_per_piece: int = 2_000_000) -> DataFrame:
+RARE = 1000  # owners of a member up to which it is counted for every pair that shares it
+
+
+def linked_pairs(members: DataFrame, owner: str, member: str, share: float, rows_per_piece: int = 2_000_000, rare: int = RARE) -> DataFrame:
     """All pairs of owners whose common members are at least ``share`` of the smaller set.
 
-    Members are ordered from rare to common. If a pair qualifies, the smaller set shares at least
-    one of its first ``n - ceil(share n) + 1`` members with the other, so only those prefixes meet
-    the full sets; members that very many owners have are last in that order and are hardly ever
-    met. Exact: the overlap of every candidate is then counted in full.
+    Members are ordered from rare to common and the smaller set of a pair brings a prefix of that
+    order: all its rare members, and in any case the ``n - ceil(share n) + 1`` without which the
+    share cannot be reached. So a member that very many owners have meets few prefixes. Where the
+    prefix is the whole set, the count of the prefix join is the overlap; otherwise pairs that can
+    still reach the share have the rest counted. Nothing is left out on either way.
     """
     m = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
     freq = m.groupBy("m").agg(F.count("*").alias("f"))
-    size = m.groupBy("o").agg(F.count("*").alias("n"))
-    r = m.join(freq, "m").join(size, "o")
-    # Frequency, then member: a unique order within an owner.
-    seq = Ordered(r.withColumn("_key", F.col("f").cast("double") * 1e9 + F.pmod(F.xxhash64("m"), F.lit(1_000_000_000))), ["o"], "_key", rows_per_piece)
-    r = seq.number("rn").result()
-    keep = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    pre = r.filter(F.col("rn") <= keep).select("m", F.col("o").alias("a"), F.col("n").alias("na"))
+    r = m.join(freq, "m")
+    size = r.groupBy("o").agg(F.count("*").alias("n"), F.count_if(F.col("f") <= rare).alias("n_rare"))
+    # Frequency, then a hash of the member: an order that is the same for all owners.
+    key = F.col("f").cast("double") * 1e9 + F.pmod(F.xxhash64("m"), F.lit(1_000_000_000))
+    r = Ordered(r.withColumn("_key", key), ["o"], "_key", rows_per_piece).number("rn").result().join(size, "o")
+    need = F.ceil(F.col("n") * share - 1e-9)
+    r = r.withColumn("keep", F.greatest(F.col("n") - need + 1, F.col("n_rare")))
+    pre = r.filter(F.col("rn") <= F.col("keep")).select("m", F.col("o").alias("a"), F.col("n").alias("na"), "keep", need.alias("need"))
     full = r.select("m", F.col("o").alias("b"), F.col("n").alias("nb"))
-    cand = pre.join(full, "m").filter((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")))
-    pair = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = pair.join(m.withColumnRenamed("o", "a"), "a")
-    both = left.join(m.withColumnRenamed("o", "b"), ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    s = both.join(size.select(F.col("o").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("o").alias("b"), F.col("n").alias("nb")), "b")
-    s = s.withColumn("frac_small", F.col("shared") / F.least("na", "nb")).withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-    return s.filter(F.col("frac_small") >= share - 1e-12)
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    c = pre.join(full, "m").filter(smaller).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("keep").alias("keep"), F.first("need").alias("need"))
+    c = c.filter(F.col("c") + F.col("na") - F.col("keep") >= F.col("need"))
+    whole = c.filter("keep = na").select("a", "b", "na", "nb", F.col("c").alias("shared"))
+    open_ = c.filter("keep < na")
+    tail = r.filter(F.col("rn") > F.col("keep")).select(F.col("o").alias("a"), "m")
+    rest = open_.select("a", "b").join(tail, "a").join(m.withColumnRenamed("o", "b"), ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("more"))
+    part = open_.join(rest, ["a", "b"], "left").select("a", "b", "na", "nb", (F.col("c") + F.coalesce("more", F.lit(0))).alias("shared"))
+    s = whole.unionByName(part)
+    s = s.withColumn("frac_small", F.col("shared") / F.col("na")).withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    return s.filter(F.col("frac_small") >= share - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "frac_small", "jaccard")
 
 
 def components(spark, nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravox.operators.scaling import spread_small
+
 # Fixed values of the grid: rows, columns, shells and spacing.
 NLAT, NLON, NZ = 20, 25, 64
 DLAT, DLON, DZ_KM = 9.0, 14.4, 45.0
@@ -27,7 +29,7 @@ def depth_of(k: Column) -> Column:
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per map cell with its whole depth column as an array: no shuffle is needed for
     anything that works along depth."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread_small(table(spark, sf_dir, "embeddings"), "vec_id")
     c = F.pmod(F.col("vec_id"), F.lit(PER_MODEL))
     e = e.select(
         F.floor(F.col("vec_id") / PER_MODEL).cast("bigint").alias("model"),

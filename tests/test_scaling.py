@@ -55,8 +55,8 @@ def test_linked_pairs_and_components(spark):
     rng = np.random.default_rng(2)
     sets = {o: set(rng.choice(60, size=rng.integers(3, 25), replace=False).tolist()) | {0} for o in range(30)}
     m = spark.createDataFrame([(o, int(x)) for o, s in sets.items() for x in s], "o int, m int")
-    for rows in (40, 2_000_000):
-        got = {(r.a, r.b): r.shared for r in setops.linked_pairs(m, "o", "m", 0.5, rows).collect()}
+    for rows, rare in ((40, 5), (2_000_000, 5), (2_000_000, 1000)):
+        got = {(r.a, r.b): r.shared for r in setops.linked_pairs(m, "o", "m", 0.5, rows, rare).collect()}
         want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * min(len(sets[a]), len(sets[b]))}
         assert got == want
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 13 != 12] + [(50, 44)], "a long, b long")
