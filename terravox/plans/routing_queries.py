@@ -12,6 +12,7 @@ from terravox.operators import routing as R
 from terravox.plans import routing_sql as Q
 from terravox.plans.registry import query
 from terravox.plans.spatial_queries import all_places
+from terravox.session import keep
 from terravox.sources import tables as T
 
 GRID = R.Grid(
@@ -85,10 +86,11 @@ def distinct_caps(spark, sf):
 
 def corridor_parts(spark, sf, case=CASES[0]):
     capped, table, cells = distinct_caps(spark, sf)
-    cost = cost_fields(spark, sf, [case])
+    cost = keep(cost_fields(spark, sf, [case]), "cost")
     units = [R.Case(n, case.s, case.z_target, case.h_max, case.lateral, case.ncell) for n in cells]
     arr = R.solve(spark, rows(spark, sf), ["model"], GRID, units, "arrival", seeds=cells, spread=64)
-    exc, best = S.excess(cost, arr.filter(F.col("k").between(SEED, GRID.target_shell(case.z_target))), ["model"], "cap")
+    arr = keep(arr.filter(F.col("k").between(SEED, GRID.target_shell(case.z_target))), "arrivals")
+    exc, best = S.excess(cost, arr, ["model"], "cap")
     return capped, table, cost, exc, best
 
 

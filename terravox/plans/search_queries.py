@@ -15,6 +15,7 @@ from terravox.plans import routing_sql as Q
 from terravox.plans.registry import query
 from terravox.plans.routing_queries import CASES, GRID, RADIUS, SEED, chain, cost_fields, rows
 from terravox.plans.spatial_queries import all_places
+from terravox.session import keep
 from terravox.sources import tables as T
 
 BASE = f"{Q.base_sql(2)}, {T.SITES_SQL}"
@@ -23,11 +24,12 @@ BASE = f"{Q.base_sql(2)}, {T.SITES_SQL}"
 def traced(spark, sf, cases=CASES[:1], staged=True, fields=None, radius=RADIUS):
     """Paths from the seed cap of every place: nodes per (model, case, cap number)."""
     capped = S.caps(all_places(spark, sf), GRID, radius)
-    f = cost_fields(spark, sf, cases) if fields is None else fields
+    f = keep(cost_fields(spark, sf, cases), "cost") if fields is None else fields
     starts = S.cap_minimum(f, capped, ["model"], GRID)
     # A cap is numbered by arithmetic on its parts, so equal caps share one path.
     starts = starts.withColumn("site", S.cap_number())
-    return starts, R.paths(spark, rows(spark, sf), f, starts, ["model"], GRID, cases, staged=staged)
+    starts = keep(starts, "starts")
+    return starts, keep(R.paths(spark, rows(spark, sf), f, starts, ["model"], GRID, cases, staged=staged), "paths")
 
 
 def priced(spark, sf, nodes, case: R.Case):
@@ -115,7 +117,7 @@ def _(spark, sf):
                                                    F.max(F.struct("k2", "n", "j2", "i2")).alias("e"))
     first = tot(p).select("model", "site", "cost", "charged_km", "mean_a", F.col("e.j2").alias("ej"), F.col("e.i2").alias("ei"))
     root = (F.col("ej") * T.NLON + F.col("ei")).cast("int")
-    first = first.withColumn("root", root)
+    first = keep(first.withColumn("root", root), "first-routes")
     roots = first.select("model", "root", "ej", "ei").distinct()
     lat = lambda j: F.lit(-90.0) + (j + 0.5) * T.DLAT
     lon = lambda i: F.lit(-180.0) + i * T.DLON
@@ -123,12 +125,12 @@ def _(spark, sf):
     ban = F.transform("row", lambda x, i: ((F.col("k") * T.DZ_KM >= 1500) & (geo.arc_km(lat(F.col("ej")), lon(F.col("ei")), lat(F.col("j")), lon(i)) <= 500)).cast("double"))
     keys = ["model", "root"]
     alt_rows = base.select(*keys, "j", "k", "row")
-    alt = R.solve(spark, alt_rows, keys, GRID, [case], bans=base.select(*keys, "j", "k", ban.alias("row")))
+    alt = keep(R.solve(spark, alt_rows, keys, GRID, [case], bans=base.select(*keys, "j", "k", ban.alias("row"))), "second-cost")
     begin = first.join(starts.select("model", "site", *S.CAP), ["model", "site"]).select(*keys, "site", *S.CAP)
     seed = alt.filter(F.col("k") == SEED).select(*keys, "case", "j", F.posexplode("row").alias("i", "c")).filter(F.col("c") != float("inf"))
     m = seed.join(S.cap_cells(begin, T.NLON), [*keys, "j", "i"])
     again = m.groupBy(*keys, "case", "site").agg(F.min(F.struct("c", "o", "j", "i")).alias("b")).select(*keys, "case", "site", "b.j", "b.i")
-    n2 = R.paths(spark, alt_rows, alt, again, keys, GRID, [case])
+    n2 = keep(R.paths(spark, alt_rows, alt, keep(again, "second-starts"), keys, GRID, [case]), "second-paths")
     second = tot(priced(spark, sf, n2.drop("root"), case)).select("model", "site", F.col("cost").alias("alt_cost"), F.col("charged_km").alias("alt_charged_km"), F.col("mean_a").alias("alt_mean_a"), F.col("e.j2").alias("ej2"), F.col("e.i2").alias("ei2"))
     # Where the two part company: both at every shell (last node at or above), first gap over 300 km.
     def at_shells(x):
@@ -175,7 +177,7 @@ def _(spark, sf):
 
 def site_costs(spark, sf, cases, radii, fields=None):
     """Cost of every place per configuration; the field is searched once and shared by the radii."""
-    f = cost_fields(spark, sf, cases) if fields is None else fields
+    f = keep(cost_fields(spark, sf, cases), "cost") if fields is None else fields
     out = None
     for r in radii:
         capped = S.caps(all_places(spark, sf), GRID, r)
@@ -183,7 +185,7 @@ def site_costs(spark, sf, cases, radii, fields=None):
         m = S.cap_minimum(f, capped, ["model"], GRID).join(side, S.CAP).withColumn("radius", F.lit(r))
         m = m.select("model", "case", "radius", "kind", "site", "n_sites", "cost")
         out = m if out is None else out.unionByName(m)
-    return out
+    return keep(out, "site-costs")
 
 
 def null_threshold(costs):
@@ -288,10 +290,11 @@ def _(spark, sf):
 
 def trials(spark, sf, cases=GRID_CASES, radii=RADII):
     """Hit, miss or uninformative for every (model, configuration, radius, injection)."""
-    observed = cost_fields(spark, sf, cases)
+    observed = keep(cost_fields(spark, sf, cases), "cost")
     th = null_threshold(site_costs(spark, sf, cases, radii, fields=observed))
     injected = I.inject(T.cells(spark, sf), INJECTIONS, GRID.depth, FIXTURE_RADIUS)
-    f = R.solve(spark, R.grid_rows_of_cells(injected, ["model", "variant"], "anom"), ["model", "variant"], GRID, cases)
+    # Only the seed shell is read later, so only that is kept.
+    f = keep(R.solve(spark, R.grid_rows_of_cells(injected, ["model", "variant"], "anom"), ["model", "variant"], GRID, cases).filter(F.col("k") == SEED), "injected-cost")
     at = [(n, la, lo) for n, (la, lo) in enumerate(INJECT_SITES)]
     site_of = F.create_map(*[F.lit(x) for r in INJECTIONS for x in (r["variant"], r["at"])])
     out = None

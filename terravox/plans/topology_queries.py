@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -274,24 +276,24 @@ def _(spark, sf):
     m = spatial.radius_join(T.columns(spark, sf), all_places(spark, sf), 3500.0)
     m = m.select(F.col("p_kind").alias("kind"), F.col("p_site").alias("site"), "model", "lat", "lon", "dist_km", "v")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(["lat", "lon"])
-        v = np.stack(pdf["v"].to_numpy())
-        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
+    def walk(key, t):
+        t = t.sort_by([("lat", "ascending"), ("lon", "ascending")])
+        col = lambda c: t.column(c).to_numpy()
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, T.NZ)
+        lat, lon = np.radians(col("lat")), np.radians(col("lon"))
         cosine = np.sin(lat)[:, None] * np.sin(lat) + np.cos(lat)[:, None] * np.cos(lat) * np.cos(lon[:, None] - lon)
         d = geo.EARTH_KM * np.arccos(np.clip(cosine, -1, 1))
-        at = int(np.lexsort((pdf["dist_km"].to_numpy(),))[0])
-        start, prom = at, []
-        for k in range(v.shape[1]):
-            near = d[at] <= 1200.0
-            at = int(np.where(near, v[:, k], np.inf).argmin())
+        start = at = int(col("dist_km").argmin())
+        prom = np.full(T.NZ, np.nan)
+        for k in range(T.NZ):
+            at = int(np.where(d[at] <= 1200.0, v[:, k], np.inf).argmin())
             ring = (d[at] > 1200.0) & (d[at] <= 2600.0)
-            prom.append(float(v[ring, k].mean() - v[at, k]) if ring.any() else float("nan"))
-        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "site": [pdf["site"].iloc[0]], "model": [pdf["model"].iloc[0]], "prom": [prom], "drift_km": [float(d[start, at])]})
+            if ring.any():
+                prom[k] = v[ring, k].mean() - v[at, k]
+        one = {n: pa.array([x.as_py()], t.schema.field(n).type) for n, x in zip(("kind", "site", "model"), key)}
+        return pa.table({**one, "prom": pa.array([prom.tolist()], pa.list_(pa.float64())), "drift_km": pa.array([float(d[start, at])])})
 
-    w = m.groupBy("kind", "site", "model").applyInPandas(walk, "kind string, site bigint, model bigint, prom array<double>, drift_km double")
+    w = m.groupBy("kind", "site", "model").applyInArrow(walk, "kind string, site bigint, model bigint, prom array<double>, drift_km double")
     ok = F.transform("prom", lambda x: (x >= 0.8) & ~F.isnan(x))
     w = w.withColumn("r", profiles.longest_run(ok))
     seg = F.slice("prom", F.greatest(F.col("r.start"), F.lit(0)) + 1, F.greatest(F.col("r.length"), F.lit(1)))

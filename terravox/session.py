@@ -55,6 +55,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def keep(df, label: str):
+    """Write a result that several later steps read to the shared folder and read it back.
+
+    The later steps then start from the table: nothing is computed twice, the lineage is cut, and a
+    lost executor takes nothing with it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
