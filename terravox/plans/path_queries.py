@@ -50,11 +50,13 @@ WITH {PATHS_SQL}, g AS (SELECT path, sum(sqrt(lat_km * lat_km + dropkm * dropkm)
   coalesce(sum(lat_km) FILTER (WHERE mid >= 0 AND mid < 410), 0) AS a, coalesce(sum(lat_km) FILTER (WHERE mid >= 410 AND mid < 660), 0) AS b,
   coalesce(sum(lat_km) FILTER (WHERE mid >= 660 AND mid < 3000), 0) AS c FROM lens GROUP BY path),
 m AS (SELECT l.path, min(depth) AS md FROM lens AS l JOIN g ON g.path = l.path AND l.off = g.mo GROUP BY l.path)
-SELECT g.path, CASE WHEN span > 0 THEN len / span END AS tortuosity, lt AS lateral_total_km, mo AS max_offset_km, md AS max_offset_depth_km,
+SELECT g.path, CASE WHEN span > 0 THEN len / span END AS tortuosity, round(lt, 3) AS lateral_total_km, round(mo, 3) AS max_offset_km, md AS max_offset_depth_km,
   degrees(atan2(lt, span)) AS mean_tilt_deg, CASE WHEN lt >= 1 THEN a / lt END AS f0_410, CASE WHEN lt >= 1 THEN b / lt END AS f410_660, CASE WHEN lt >= 1 THEN c / lt END AS f660_3000
 FROM g JOIN m USING (path)""")
 def _(spark, sf):
-    return P.shape(nodes(spark, sf), [(0, 410), (410, 660), (660, 3000)])
+    g = P.shape(nodes(spark, sf), [(0, 410), (410, 660), (660, 3000)])
+    # Metres are enough for sums of arccos distances.
+    return g.withColumn("lateral_total_km", F.round("lateral_total_km", 3)).withColumn("max_offset_km", F.round("max_offset_km", 3))
 
 
 DEFL_SQL = PATHS_SQL + """, st AS (SELECT path, count(*) AS nodes, greatest(2, round(300.0 / greatest(median(depth - pd), 1.0)))::BIGINT AS w FROM segs GROUP BY path HAVING count(*) >= 12),
