@@ -9,6 +9,7 @@ from terravox.functions import geo
 from terravox.operators import fields, profiles
 from terravox.operators import route_sites as S
 from terravox.operators import routing as R
+from terravox.operators.scaling import broadcast_if_small
 from terravox.plans import routing_sql as Q
 from terravox.plans.registry import query
 from terravox.plans.spatial_queries import all_places
@@ -61,7 +62,8 @@ SELECT b.model, kind, site, b.cost, b.j, b.i FROM capped JOIN best AS b USING (c
 def _(spark, sf):
     capped = S.caps(all_places(spark, sf), GRID, RADIUS)
     m = S.cap_minimum(cost_fields(spark, sf, CASES[:1]), capped, ["model"], GRID)
-    return m.join(F.broadcast(capped.select("kind", "site", *S.CAP)), S.CAP)
+    side, _ = broadcast_if_small(capped.select("kind", "site", *S.CAP))
+    return m.join(side, S.CAP)
 
 
 @query("g17_bottleneck_field", "model:b,case:b,k:b,j:b,i:b,c:d", "G17", f"""

@@ -233,7 +233,7 @@ def _(spark, sf):
     costs = site_costs(spark, sf, LADDER_CASES, [RADIUS])
     th = null_threshold(costs)
     n = len(TARGETS)
-    h = costs.join(F.broadcast(th), ["model", "case", "radius"])
+    h = costs.join(th, ["model", "case", "radius"])
     # Ranking inside a model and configuration: at most 3,600 places per kind.
     w = Window.partitionBy("model", "case")
     weight = F.when(F.col("kind") == "null", F.col("n_sites")).otherwise(0)
@@ -258,7 +258,7 @@ e AS (SELECT s.model, s.site, avg((cost < threshold)::INT) AS root_fraction, med
 SELECT *, CASE WHEN root_fraction >= 0.8 THEN 'deeper than null' WHEN root_fraction <= 0.2 THEN 'not deeper than null' ELSE 'ambiguous' END AS ensemble_class FROM e""")
 def _(spark, sf):
     costs = site_costs(spark, sf, GRID_CASES, RADII)
-    h = costs.filter("kind = 'hotspot'").join(F.broadcast(null_threshold(costs)), ["model", "case", "radius"])
+    h = costs.filter("kind = 'hotspot'").join(null_threshold(costs), ["model", "case", "radius"])
     g = h.groupBy("model", "site").agg(F.avg((F.col("cost") < F.col("threshold")).cast("double")).alias("root_fraction"), F.median("cost").alias("cost_median"), F.count("*").alias("n_ensemble"))
     return g.withColumn("ensemble_class", C.ensemble_class(F.col("root_fraction")))
 
@@ -308,7 +308,7 @@ def trials(spark, sf, cases=GRID_CASES, radii=RADII):
 
         pre = seed_cost(observed, ["model"]).withColumnRenamed("cost", "pre")
         post = seed_cost(f, ["model", "variant"]).filter(F.col("at") == site_of[F.col("variant")])
-        t = post.join(pre, ["model", "case", "at"]).join(F.broadcast(th.filter(F.col("radius") == r)), ["model", "case"])
+        t = post.join(pre, ["model", "case", "at"]).join(th.filter(F.col("radius") == r), ["model", "case"])
         t = t.withColumn("hit", I.verdict(F.col("pre"), F.col("threshold"), F.col("cost")))
         out = t if out is None else out.unionByName(t)
     amp = F.create_map(*[F.lit(x) for r in INJECTIONS for x in (r["variant"], r["amp"])])

@@ -113,7 +113,7 @@ NATION_SQL = "u AS (SELECT n_nationkey AS unit, n_regionkey AS region, avg(c_acc
 def nation_units(spark, sf):
     n = T.table(spark, sf, "nation")
     c = T.table(spark, sf, "customer").groupBy("c_nationkey").agg((F.avg("c_acctbal") / 100).alias("v"))
-    u = c.join(F.broadcast(n.limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    u = c.join(broadcast_if_small(n)[0], F.col("c_nationkey") == F.col("n_nationkey"))
     return u.select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"), "v", (F.col("n_regionkey") <= 1).alias("first_"))
 
 
