@@ -10,6 +10,7 @@ from terravox.llm.common import table
 from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
 from terravox.llm.simhash import near_duplicates
+from terravox.llm.toxicity import judge
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +21,16 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op8_simhash_near_duplicates)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op5_toxicity, op8_simhash_near_duplicates)
 }
 #: DuckDB SQL of the queries that SQL can say.
 SQL: dict[str, str] = {}
