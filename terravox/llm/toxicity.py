@@ -7,7 +7,9 @@ that the model is a short list of (bucket, weight), sent to every task.
 
 Training reads at most ``FIT_ROWS`` labelled rows outside the held-out fold, picked by a hash; their
 feature sets are made in parallel, ``SHARDS`` tasks each run FTRL over their share, and the states are
-averaged after each of ``EPOCHS`` rounds. Scoring reads every whole text.
+averaged after each of ``EPOCHS`` rounds. Shares are dealt by a min-hash of the features, so that copies
+and near copies mostly share one: what only they have must pass the L1 bound with the average of one
+share. Equal feature sets are learnt once. Scoring reads every whole text.
 
 Rows without a label, or whose label is null, are not trained on; several labels of one key count as
 the largest. Without any labelled row all scores are the prior, 1 in 20. Null and empty texts have no
@@ -32,9 +34,9 @@ from terravox.session import keep
 BITS = 20
 #: Labelled rows that the model is fitted on at most.
 FIT_ROWS = 16_000
-SHARDS = 4
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 6.0, 0.5
+SHARDS = 8
+EPOCHS = 12
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.3
 #: Words whose hash a task remembers; then it starts afresh.
 REMEMBERED = 1_000_000
@@ -117,8 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.orderBy(F.xxhash64(key), key).limit(fit_rows)
     # At most fit_rows pairs of numbers: a bound of its own.
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    made = map_texts(rows, [key, "y"], "text", "ids binary", feature_sets_of, setup=WordHashes)
-    table = keep(made.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(SHARDS)).cast("int")), "toxicity-fit")
+    table = keep(map_texts(rows, [key, "y"], "text", "ids binary, shard int", feature_sets_of, setup=WordHashes), "toxicity-fit")
     seen = table.agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("int")).alias("pos")).first()
     prior = ((seen.pos or 0) + 0.5) / (seen.n + 10.0)
     size = 1 << BITS
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         def learn(shard: pd.DataFrame) -> pd.DataFrame:
             z0, n0, b0, bn0 = state.value
             m = Ftrl(z0.astype(np.float64), n0.astype(np.float64), b0, bn0)
+            shard = shard.sort_values([key, "y"]).drop_duplicates("ids")
             order = np.argsort([xxhash.xxh64_intdigest(f"{k}/{epoch}") for k in shard[key]], kind="stable")
             ids, ys = shard["ids"].tolist(), shard["y"].tolist()
             for i in order.tolist():
@@ -150,8 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(bias, at, w[at].astype(np.float32))
 
 
-def feature_sets_of(raws: list[bytes], hashes: WordHashes) -> list[list[bytes]]:
-    return [feature_sets(raws, hashes)]
+def min_hash(ids: bytes) -> int:
+    mixed = (np.frombuffer(ids, np.int32).astype(np.uint64) * _A) >> np.uint64(20)
+    return int(mixed.min()) if len(mixed) else 0
+
+
+def feature_sets_of(raws: list[bytes], hashes: WordHashes) -> list[list]:
+    sets = feature_sets(raws, hashes)
+    return [sets, [min_hash(s) % SHARDS for s in sets]]
 
 
 def scores(raws: list[bytes], hashes: WordHashes, model: Model, dense: np.ndarray) -> np.ndarray:
