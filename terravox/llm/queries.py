@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravox.llm.ann import nearest
 from terravox.llm.common import table
 from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
 from terravox.llm.simhash import near_duplicates
 from terravox.llm.toxicity import judge
+from terravox.llm.url_filter import judge_urls, labelled_urls
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, labelled_urls(pages))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,7 +41,7 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op5_toxicity, op8_simhash_near_duplicates)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op8_simhash_near_duplicates)
 }
 #: DuckDB SQL of the queries that SQL can say.
 SQL: dict[str, str] = {}
