@@ -12,6 +12,7 @@ from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
 from terravox.llm.simhash import near_duplicates
 from terravox.llm.toxicity import judge
+from terravox.llm.unigram import encode_texts
 from terravox.llm.url_filter import judge_urls, labelled_urls
 
 
@@ -40,8 +41,12 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op8_simhash_near_duplicates)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op8_simhash_near_duplicates, op10_sentencepiece)
 }
 #: DuckDB SQL of the queries that SQL can say.
 SQL: dict[str, str] = {}
