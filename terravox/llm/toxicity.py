@@ -19,10 +19,12 @@ repeated results. Other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from terravox.llm.common import map_texts
 from terravox.llm.license_scan import words_of
 from terravox.session import keep
 
-BITS = 20
+BITS = 18
 #: Labelled rows that the model is fitted on at most.
 FIT_ROWS = 16_000
 SHARDS = 8
@@ -119,34 +121,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.orderBy(F.xxhash64(key), key).limit(fit_rows)
     # At most fit_rows pairs of numbers: a bound of its own.
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    table = keep(map_texts(rows, [key, "y"], "text", "ids binary, shard int", feature_sets_of, setup=WordHashes), "toxicity-fit")
-    seen = table.agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("int")).alias("pos")).first()
-    prior = ((seen.pos or 0) + 0.5) / (seen.n + 10.0)
+    made = map_texts(rows, [key, "y"], "text", "ids binary, shard int", feature_sets_of, setup=WordHashes)
+    # One row per share, so that a round reads the written table as it lies, without a shuffle.
+    table = keep(made.groupBy("shard").applyInPandas(packed_of(key), PACKED), "toxicity-fit")
+    seen = table.agg(F.sum("rows").alias("n"), F.sum("pos").alias("pos")).first()
+    n_rows = seen.n or 0
+    prior = ((seen.pos or 0) + 0.5) / (n_rows + 10.0)
     size = 1 << BITS
     z, n, bias, bias_n = np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), 0.0
-    for epoch in range(EPOCHS if seen.n else 0):
-        state = spark.sparkContext.broadcast((z, n, bias, bias_n))
-
-        def learn(shard: pd.DataFrame) -> pd.DataFrame:
-            z0, n0, b0, bn0 = state.value
-            m = Ftrl(z0.astype(np.float64), n0.astype(np.float64), b0, bn0)
-            shard = shard.sort_values([key, "y"]).drop_duplicates("ids")
-            order = np.argsort([xxhash.xxh64_intdigest(f"{k}/{epoch}") for k in shard[key]], kind="stable")
-            ids, ys = shard["ids"].tolist(), shard["y"].tolist()
-            for i in order.tolist():
-                m.learn(np.frombuffer(ids[i], np.int32), 1.0 if ys[i] > 0 else 0.0)
-            at = np.flatnonzero(m.n != n0).astype(np.int32)
-            return pd.DataFrame({"at": [at.tobytes()], "z": [m.z[at].astype(np.float32).tobytes()], "n": [m.n[at].astype(np.float32).tobytes()], "bias": [m.bias], "bias_n": [m.bias_n]})
-
-        parts = table.groupBy("shard").applyInPandas(learn, "at binary, z binary, n binary, bias double, bias_n double").collect()
-        dz, dn = np.zeros(size), np.zeros(size)
+    for epoch in range(EPOCHS if n_rows else 0):
+        state = spark.sparkContext.broadcast((z, n, bias, bias_n, epoch))
+        parts = table.mapInArrow(learner_of(state), STATE).collect()
+        dz, dn = np.zeros(size, np.float32), np.zeros(size, np.float32)
         for p in parts:
             at = np.frombuffer(p.at, np.int32)
             dz[at] += np.frombuffer(p.z, np.float32) - z[at]
             dn[at] += np.frombuffer(p.n, np.float32) - n[at]
-        z, n = (z + dz / len(parts)).astype(np.float32), (n + dn / len(parts)).astype(np.float32)
+        z, n = z + dz / len(parts), n + dn / len(parts)
         bias, bias_n = float(np.mean([p.bias for p in parts])), float(np.mean([p.bias_n for p in parts]))
-        state.unpersist()
+        state.destroy()
     w = Ftrl(z.astype(np.float64), n.astype(np.float64), bias, bias_n).weights(slice(None))
     at = np.flatnonzero(w).astype(np.int32)
     return Model(bias, at, w[at].astype(np.float32))
@@ -157,6 +150,42 @@ def min_hash(ids: bytes) -> int:
     return int(mixed.min()) if len(mixed) else 0
 
 
+PACKED = "ids binary, sizes binary, ys binary, order binary, rows bigint, pos bigint"
+STATE = "at binary, z binary, n binary, bias double, bias_n double"
+
+
+def packed_of(key: str):
+    """A share as one row: feature sets end to end, their sizes, labels, and a hash to order rounds by."""
+
+    def pack(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values([key, "y"]).drop_duplicates("ids")
+        y = (shard["y"].to_numpy() > 0).astype(np.int8)
+        sizes = np.array([len(x) // 4 for x in shard["ids"]], np.int32)
+        order = np.array([xxhash.xxh64_intdigest(str(k)) for k in shard[key]], np.uint64)
+        return pd.DataFrame({"ids": [b"".join(shard["ids"])], "sizes": [sizes.tobytes()], "ys": [y.tobytes()], "order": [order.tobytes()], "rows": [len(y)], "pos": [int(y.sum())]})
+
+    return pack
+
+
+def learner_of(state):
+    """One round of a share from the common state; returns what it has touched."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                z0, n0, bias, bias_n, epoch = state.value
+                ids, sizes, ys, order = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate((np.int32, np.int32, np.int8, np.uint64)))
+                m = Ftrl(z0.astype(np.float64), n0.astype(np.float64), bias, bias_n)
+                ends = np.cumsum(sizes)
+                for i in np.argsort(order * (np.uint64(2 * epoch + 1) * _A), kind="stable").tolist():
+                    m.learn(ids[ends[i] - sizes[i] : ends[i]], float(ys[i]))
+                at = np.flatnonzero(m.n != n0).astype(np.int32)
+                cols = [[at.tobytes()], [m.z[at].astype(np.float32).tobytes()], [m.n[at].astype(np.float32).tobytes()]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in cols], pa.array([m.bias]), pa.array([m.bias_n])], names=["at", "z", "n", "bias", "bias_n"])
+
+    return learn
+
+
 def feature_sets_of(raws: list[bytes], hashes: WordHashes) -> list[list]:
     sets = feature_sets(raws, hashes)
     return [sets, [min_hash(s) % SHARDS for s in sets]]
