@@ -1,4 +1,10 @@
-"""Cleans the documents table in stages; each stage works on all that the one before it kept."""
+"""Cleans the documents table in stages; each stage works on all that the one before it kept.
+
+Toxic documents go, of near duplicates one document stays, documents that hold a benchmark item go,
+secrets give way to a mark, and the rest is encoded into pieces and decoded again. Nulls: a null text
+counts as empty in every stage and stays null where the row stays; rows with a null doc_id are treated
+like others. Other columns are carried along untouched. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +12,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravox.llm.leak_search import without_leaks
 from terravox.llm.secret_scan import redact
+from terravox.llm.simhash import one_of_each
+from terravox.llm.toxicity import without_toxic
+from terravox.llm.unigram import encode_texts
 from terravox.session import scratch_path, ship_package
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of ``labels`` scores below the threshold."""
+    ship_package(spark)
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    ship_package(spark)
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    ship_package(spark)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts give way to a mark; every document stays."""
+    """All documents, with a mark in the place of each secret."""
     ship_package(spark)
     return redact(docs)
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, pieces, their numbers, and whether decoding gave the text back."""
+    ship_package(spark)
+    return encode_texts(spark, docs, ["doc_id"])
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
     ("secret scans", secret_scans),
+    ("SentencePiece encoding", encoding),
 ]
 
 #: SQL cannot say these stages; tests compare run() with a plain version instead.

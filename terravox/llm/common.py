@@ -23,6 +23,14 @@ def utf8(col: str) -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """``name`` with underscores in front until no column is called so; letter case does not count."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
@@ -71,7 +79,7 @@ def map_texts(
                 arrays += [c if isinstance(c, pa.Array) else pa.array(c, arrow.field(n_kept + k).type) for k, c in enumerate(cols)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(*passed, utf8(text).alias("_utf8")).mapInArrow(run, schema)
+    return df.select(*passed, utf8(text).alias(fresh(passed, "_utf8"))).mapInArrow(run, schema)
 
 
 def ship(spark: SparkSession) -> None:

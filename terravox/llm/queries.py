@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terravox.llm.ann import nearest
 from terravox.llm.common import table
+from terravox.llm.leak_search import leaks
 from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
 from terravox.llm.simhash import near_duplicates
@@ -37,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op8_simhash_near_duplicates, op10_sentencepiece)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op8_simhash_near_duplicates, op10_sentencepiece)
 }
 #: DuckDB SQL of the queries that SQL can say.
 SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import map_texts
+from terravox.llm.common import fresh, map_texts
 from terravox.llm.guess_cost import guess_cost
 
 #: Decimal logarithm of guesses from which a value in credential context counts as a secret.
@@ -111,9 +111,10 @@ def redact(df: DataFrame, text: str = "text", min_cost: float = MIN_COST) -> Dat
     A column ``n_chars``, if there is one, is set to the new length where the text changed.
     """
     names = df.columns
-    made = map_texts(df, names, text, "_text string, _marks bigint", lambda texts: list(zip(*(redacted(t, min_cost) for t in texts))), as_str=True)
-    changed = F.col("_marks") > 0
-    swap = {text: F.when(changed, F.col("_text")).otherwise(F.col(text))}
+    new, marks = fresh(names, "_text"), fresh(names, "_marks")
+    made = map_texts(df, names, text, f"{new} string, {marks} bigint", lambda texts: list(zip(*(redacted(t, min_cost) for t in texts))), as_str=True)
+    changed = F.col(marks) > 0
+    swap = {text: F.when(changed, F.col(new)).otherwise(F.col(text))}
     if "n_chars" in names:
-        swap["n_chars"] = F.when(changed, F.length("_text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        swap["n_chars"] = F.when(changed, F.length(new).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return made.select(*[swap.get(c, F.col(c)).alias(c) for c in names])

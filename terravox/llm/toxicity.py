@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import map_texts
+from terravox.llm.common import fresh, map_texts
 from terravox.llm.license_scan import words_of
 from terravox.session import keep
 
@@ -199,8 +199,8 @@ def scores(raws: list[bytes], hashes: WordHashes, model: Model, dense: np.ndarra
     return 1.0 / (1.0 + np.exp(-np.clip(total, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, passed: list[str], text: str = "text") -> DataFrame:
-    """Columns ``passed`` and ``score`` (0 to 1, higher: more likely toxic) of every row."""
+def score(docs: DataFrame, model: Model, passed: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """Columns ``passed`` and ``name`` (0 to 1, higher: more likely toxic) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def setup():
@@ -208,18 +208,19 @@ def score(docs: DataFrame, model: Model, passed: list[str], text: str = "text")
         dense[sent.value.buckets] = sent.value.weights
         return WordHashes(), dense
 
-    return map_texts(docs, passed, text, "_score double", lambda raws, s: [scores(raws, s[0], sent.value, s[1])], setup=setup)
+    return map_texts(docs, passed, text, f"{name} double", lambda raws, s: [scores(raws, s[0], sent.value, s[1])], setup=setup)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: key, ``held_out``, ``score`` and ``predicted``."""
     model = fit(docs, labels, key, text)
     return score(docs, model, [key], text).select(
-        key, held_out(key).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
+        key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` below the threshold, with their columns."""
     model = fit(docs, labels, key, text)
-    return score(docs, model, docs.columns, text).filter(F.col("_score") < threshold).drop("_score")
+    name = fresh(docs.columns, "_score")
+    return score(docs, model, docs.columns, text, name).filter(F.col(name) < threshold).drop(name)
