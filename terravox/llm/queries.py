@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terravox.llm.ann import nearest
+from terravox.llm.chat_format import SQL as CHAT_SQL
+from terravox.llm.chat_format import perspectives
 from terravox.llm.common import table
 from terravox.llm.leak_search import leaks
 from terravox.llm.license_scan import scan_licenses
@@ -42,6 +44,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op8_simhash_near_duplicates, op10_sentencepiece)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op10_sentencepiece)
 }
 #: DuckDB SQL of the queries that SQL can say.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL}
