@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +17,26 @@ RADIUS_KM, AZIMUTH_DEG = 300.0, 45.0
 LEAN_COS_FLOOR = 0.2
 
 
-def lean_fraction(z: float, profile: str) -> float:
-    """Share of the full offset reached at depth z: a steady lean, or one concentrated across the
-    transition zone between 410 and 660 km."""
-    if profile == "uniform":
-        return (z - TOP_KM) / (BASE_KM - TOP_KM)
-    if z <= 410:
-        return 0.15 * (z - TOP_KM) / (410 - TOP_KM)
-    if z <= 660:
-        return 0.15 + 0.5 * (z - 410) / 250.0
-    return 0.65 + 0.35 * (z - 660) / (BASE_KM - 660)
+# Share of the full offset that is reached at a depth: a steady lean, or one that is concentrated
+# between 410 and 660 km.
+LEAN = {"uniform": ((TOP_KM, 0.0), (BASE_KM, 1.0)), "transition": ((TOP_KM, 0.0), (410.0, 0.15), (660.0, 0.65), (BASE_KM, 1.0))}
 
 
 def axis(case: dict, depth: Sequence[float], duty: float = 1.0, segment_km: float = 400.0) -> dict:
-    """Centre and strength of a conduit at every shell. ``duty`` is the share of each depth segment
-    in which the conduit is present."""
-    a = math.radians(AZIMUTH_DEG)
-    lat, lon, amp = [], [], []
-    for z in depth:
-        off = case["tilt"] * lean_fraction(z, case["profile"])
-        lat.append(case["ilat"] + off * math.cos(a))
-        lon.append(case["ilon"] + off * math.sin(a) / max(math.cos(math.radians(lat[-1])), LEAN_COS_FLOOR))
-        taper = 1.0 if z < BASE_KM - TAPER_KM else max(0.0, (BASE_KM - z) / TAPER_KM)
-        present = TOP_KM <= z <= BASE_KM and (z - TOP_KM) % segment_km < duty * segment_km
-        amp.append(case["amp"] * taper if present else 0.0)
-    return {"variant": case["variant"], "lat": lat, "lon": lon, "amp": amp}
+    """Centre and strength of a conduit at every shell, by table lookup over the depths.
+
+    ``duty`` is the share of each depth segment in which the conduit is present; towards the base its
+    strength falls to zero along a straight ramp.
+    """
+    z = np.asarray(depth, float)
+    at, share = zip(*LEAN.get(case["profile"], LEAN["transition"]))
+    north, east = math.cos(math.radians(AZIMUTH_DEG)), math.sin(math.radians(AZIMUTH_DEG))
+    offset = case["tilt"] * np.interp(z, at, share)
+    lat = case["ilat"] + north * offset
+    lon = case["ilon"] + east * offset / np.maximum(np.cos(np.radians(lat)), LEAN_COS_FLOOR)
+    phase = np.mod(z - TOP_KM, segment_km) / segment_km
+    strength = np.clip((BASE_KM - z) / TAPER_KM, 0.0, 1.0) * (z >= TOP_KM) * (phase < duty)
+    return {"variant": case["variant"], "lat": lat.tolist(), "lon": lon.tolist(), "amp": (case["amp"] * strength).tolist()}
 
 
 def inject(cells: DataFrame, cases: Sequence[dict], depth: Sequence[float], radius_km: float = RADIUS_KM, duty: float = 1.0) -> DataFrame:

@@ -33,6 +33,11 @@ LONGEST = 20000
 TASK_VALUES = 20_000_000  # grid values one task may hold
 
 
+def whole(km: float, unit: float) -> int:
+    """A distance as a whole number of units, one at least."""
+    return max(1, math.floor(km / unit + 0.5))
+
+
 @dataclass(frozen=True)
 class Grid:
     lat: tuple[float, ...]
@@ -55,21 +60,15 @@ class Grid:
         return int(np.argmin(np.abs(np.asarray(self.depth) - z)))
 
     def spans(self, k0: int) -> tuple[int, ...]:
-        dz = float(np.median(np.diff(self.depth[: k0 + 1]))) if k0 > 0 else 1.0
-        return tuple(d for d in sorted({max(1, round(v / dz)) for v in SLANT_KM}) if d <= k0)
+        """Shells that a slanted move may cross: the stated reaches as whole numbers of shells."""
+        if k0 < 1:
+            return ()
+        spacing = (self.depth[k0] - self.depth[0]) / k0
+        return tuple(n for n in dict.fromkeys(whole(km, spacing) for km in SLANT_KM) if n <= k0)
 
     def sidesteps(self, h_max: float | None) -> int:
-        return DEFAULT_STEPS if h_max is None else max(1, round(h_max / self.row_km))
-
-    def seed_cap(self, lat: float, lon: float, radius_deg: float) -> tuple[list[int], list[int]]:
-        """Rows and columns of the cap around a site; columns widen towards the poles and wrap."""
-        reach = max(1, round(radius_deg / abs(self.lat[1] - self.lat[0])))
-        j = int(np.argmin(np.abs(np.asarray(self.lat) - lat)))
-        squeeze = max(math.cos(math.radians(lat)), geo.SEED_COS_FLOOR)
-        wide = max(1, round(radius_deg / abs(self.lon[1] - self.lon[0]) / squeeze))
-        i = int(np.argmin(np.abs(np.asarray(self.lon) - ((lon + 180.0) % 360.0 - 180.0))))
-        n = len(self.lon)
-        return list(range(max(0, j - reach), min(len(self.lat), j + reach + 1))), [c % n for c in range(i - wide, i + wide + 1)]
+        """Steps within a shell: the stated distance in whole rows."""
+        return whole(h_max, self.row_km) if h_max is not None else DEFAULT_STEPS
 
 
 @dataclass(frozen=True)
@@ -133,27 +132,32 @@ class Tile:
         e = np.exp(self.case.s * self.shell(k)) * self.case.lateral
         return e * self.row_km, e * self.col_km
 
-    def moves(self, k: int, spans: Sequence[int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(span, axis, step, price) of each slanted move that leaves shell k, priced by the mean
-        anomaly over the shells and cells it crosses and by its true length."""
-        c = self.case
-        z = self.grid.depth
+    def crossings(self, k: int, spans: Sequence[int], pool, fold) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(span, axis, step, value) of each slanted move that leaves shell k.
+
+        The value pools the shells of a column and folds the columns crossed, one after the other:
+        mean and sum give prices, maximum and maximum the highest point on the way.
+        """
         for dk in spans:
             if k + dk > self.k0:
                 continue
-            lo = k - self.k_first
-            w = self.a[lo : lo + dk + 1].mean(axis=0)
-            dz = z[k + dk] - z[k]
-            for cells in range(1, c.ncell + 1):
-                for axis in (0, 1):
-                    side = c.lateral * cells * (self.row_km if axis == 0 else self.col_km)
-                    length = np.hypot(dz, side)
-                    for sign in (1, -1):
-                        tot = w.copy()
-                        for t in range(1, cells + 1):
-                            tot = tot + _from(w, axis, sign * t, np.inf)
-                        with np.errstate(invalid="ignore", over="ignore"):
-                            yield dk, axis, sign * cells, length * np.exp(c.s * tot / (cells + 1))
+            top = k - self.k_first
+            column = pool(self.a[top : top + dk + 1], axis=0)
+            swept = {(axis, sign): column for axis in (0, 1) for sign in (1, -1)}
+            for cells in range(1, self.case.ncell + 1):
+                for (axis, sign), so_far in swept.items():
+                    swept[axis, sign] = fold(so_far, _from(column, axis, sign * cells, np.inf))
+                    yield dk, axis, sign * cells, swept[axis, sign]
+
+    def moves(self, k: int, spans: Sequence[int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(span, axis, step, price) of each slanted move that leaves shell k, priced by the mean
+        anomaly over the shells and cells it crosses and by its true length."""
+        across = (self.row_km, self.col_km)
+        for dk, axis, step, total in self.crossings(k, spans, np.mean, np.add):
+            cells = abs(step)
+            length = np.hypot(self.grid.depth[k + dk] - self.grid.depth[k], self.case.lateral * cells * across[axis])
+            with np.errstate(invalid="ignore", over="ignore"):
+                yield dk, axis, step, length * np.exp(self.case.s * total / (cells + 1))
 
     def straight_price(self, k: int) -> np.ndarray:
         z = self.grid.depth
@@ -176,21 +180,10 @@ class Tile:
 
     def worst_point(self, k: int, field, spans) -> np.ndarray:
         """Bottleneck version of a shell: the lowest achievable maximum on the way down."""
-        a = self.shell(k)
-        cur = np.maximum(a, np.maximum(self.shell(k + 1), field[k + 1]))
-        for dk in spans:
-            if k + dk > self.k0:
-                continue
-            lo = k - self.k_first
-            w = self.a[lo : lo + dk + 1].max(axis=0)
-            for cells in range(1, self.case.ncell + 1):
-                for axis in (0, 1):
-                    for step in (cells, -cells):
-                        top = w
-                        for t in range(1, cells + 1):
-                            top = np.maximum(top, _from(w, axis, t * (1 if step > 0 else -1), np.inf))
-                        cur = np.minimum(cur, np.maximum(top, _from(field[k + dk], axis, step, np.inf)))
-        return self.level_out(k, cur)
+        ways = [np.maximum.reduce([self.shell(k), self.shell(k + 1), field[k + 1]])]
+        for dk, axis, step, peak in self.crossings(k, spans, np.max, np.maximum):
+            ways.append(np.maximum(peak, _from(field[k + dk], axis, step, np.inf)))
+        return self.level_out(k, np.minimum.reduce(ways))
 
     def level_out(self, k: int, cur: np.ndarray) -> np.ndarray:
         a = self.shell(k)
@@ -489,49 +482,72 @@ def paths(
     return nodes.select(first.columns).unionByName(first)
 
 
+def _cheapest(options: Iterator[tuple[np.ndarray, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(price, move) per head over options (price per head, move); a later option has to gain ``GAIN``."""
+    price, move = np.full(n, np.inf), np.full(n, -1)
+    for cost, number in options:
+        take = cost < np.where(move < 0, price, price - GAIN)
+        price, move = np.where(take, cost, price), np.where(take, number, move)
+    return price, move
+
+
 def _follow(tile: Tile, field: dict[int, np.ndarray], heads: list[dict], staged: bool, j0: int, hi: int) -> list[tuple]:
-    """Nodes after the heads, down to shell ``hi``. Paths never rise, so all of them pass a shell
-    together and its move values are computed once."""
+    """Nodes after the heads, down to shell ``hi``.
+
+    Paths never rise, so all heads of a shell are moved together, as columns (site, node, row, column,
+    sideways steps left). Those that go down wait at the shell they reach; the rest moves on sideways.
+    """
     nlon, last, full = len(tile.grid.lon), len(tile.grid.depth) - 1, tile.steps
-    spans = tile.grid.spans(last)
     tile.k0 = last
-    at: dict[int, list] = {}
+    spans = tile.grid.spans(last)
+    waiting: dict[int, list[np.ndarray]] = {}
     for h in heads:
         site, i, left, n = (int(x) for x in h["row"])
-        at.setdefault(h["k"], []).append((site, h["j"], i, left, n))
-    out = []
-    for k in range(min(at, default=hi), min(hi, last)):
-        if k not in at:
+        waiting.setdefault(h["k"], []).append(np.array([[site, n, h["j"], i, left]], np.int64))
+    aside = [(axis, step) for axis in (0, 1) for step in (1, -1)]
+    found: list[np.ndarray] = []
+    for k in range(min(waiting, default=hi), min(hi, last)):
+        if k not in waiting:
             continue
+        now = np.concatenate(waiting.pop(k))
         with np.errstate(invalid="ignore", over="ignore"):
-            down = [(1, 0, 0, tile.straight_price(k) + field[k + 1])]
+            ways = [(1, 0, 0)]
+            prices = [tile.straight_price(k) + field[k + 1]]
             for dk, axis, step, price in tile.moves(k, spans):
-                down.append((dk, axis, step, price + _from(field[k + dk], axis, step, np.inf)))
-            stages = tile.stages(k, field, spans) if staged else None
-        price = tile.lateral_price(k)
-        for site, j, i, left, n in at.pop(k):
-            while n < LONGEST:
-                r = j - j0
-                if not np.isfinite(field[k][r, i]) or field[k][r, i] <= 0.0:
-                    break
-                best, move = np.inf, None
-                for dk, axis, step, cost in down:
-                    if cost[r, i] < (best if move is None else best - GAIN):
-                        best, move = cost[r, i], (dk, axis, step)
-                if left > 0:
-                    value = stages[left - 1] if staged else field[k]
-                    for axis in (0, 1):
-                        for step in (1, -1):
-                            r2, i2 = (r + step, i) if axis == 0 else (r, (i + step) % nlon)
-                            if 0 <= r2 < value.shape[0] and price[axis][r, i] + value[r2, i2] < best - GAIN:
-                                best, move = price[axis][r, i] + value[r2, i2], (0, axis, step)
-                if move is None:
-                    break
-                dk, axis, step = move
-                j, i, n = j + (step if axis == 0 else 0), (i + (step if axis == 1 else 0)) % nlon, n + 1
-                left = full if dk else left - 1
-                out.append((site, n, k + dk, j, i, left, True))
-                if dk:
-                    at.setdefault(k + dk, []).append((site, j, i, left, n))
-                    break
-    return out
+                ways.append((dk, axis, step))
+                prices.append(price + _from(field[k + dk], axis, step, np.inf))
+            ahead = np.stack(tile.stages(k, field, spans)) if staged and (now[:, 4] > 0).any() else field[k][None]
+        ways += [(0, axis, step) for axis, step in aside]
+        table, lateral = np.array(ways), tile.lateral_price(k)
+        n_rows = field[k].shape[0]
+        while len(now):
+            r, c = now[:, 2] - j0, now[:, 3]
+            here = field[k][r, c]
+            open_ = np.isfinite(here) & (here > 0.0)
+            now, r, c = now[open_], r[open_], c[open_]
+            if (now[:, 1] >= LONGEST).any():
+                raise RuntimeError(f"a path has more than {LONGEST} nodes")
+            left = now[:, 4]
+            stage = np.maximum(left - 1, 0) if staged and len(ahead) > 1 else np.zeros(len(now), np.int64)
+
+            def options(r=r, c=c, left=left, stage=stage):
+                for number, price in enumerate(prices):
+                    yield price[r, c], number
+                for number, (axis, step) in enumerate(aside, len(prices)):
+                    r2, c2 = (r + step, c) if axis == 0 else (r, (c + step) % nlon)
+                    inside = (left > 0) & (r2 >= 0) & (r2 < n_rows)
+                    value = ahead[stage, np.clip(r2, 0, n_rows - 1), c2] + lateral[axis][r, c]
+                    yield np.where(inside, value, np.inf), number
+
+            _, move = _cheapest(options(), len(now))
+            now, move = now[move >= 0], move[move >= 0]
+            dk, axis, step = table[move].T
+            j = now[:, 2] + np.where(axis == 0, step, 0)
+            i = (now[:, 3] + np.where(axis == 1, step, 0)) % nlon
+            left = np.where(dk > 0, full, now[:, 4] - 1)
+            now = np.stack([now[:, 0], now[:, 1] + 1, j, i, left], axis=1)
+            found.append(np.column_stack([now[:, :2], k + dk, now[:, 2:]]))
+            for d in np.unique(dk[dk > 0]).tolist():
+                waiting.setdefault(k + d, []).append(now[dk == d])
+            now = now[dk == 0]
+    return [(*row, True) for part in found for row in part.tolist()]

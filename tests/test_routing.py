@@ -109,6 +109,13 @@ def test_forbidden_cells_never_lower_the_cost(spark):
     assert (got >= exhaustive(a, CASES[0], GRID) - 1e-9).all()
 
 
+def seed_cap(spark, grid, lat, lon, radius):
+    from terravox.operators.route_sites import caps
+
+    c = caps(spark.createDataFrame([(lat, lon)], "lat double, lon double"), grid, radius).first()
+    return list(range(c.cj0, c.cj1 + 1)), [x % len(grid.lon) for x in range(c.ci - c.cw, c.ci + c.cw + 1)]
+
+
 TALL = R.Grid(tuple(-78.0 + 4.0 * x for x in range(40)), LON, DEPTH)
 
 
@@ -116,7 +123,7 @@ TALL = R.Grid(tuple(-78.0 + 4.0 * x for x in range(40)), LON, DEPTH)
 def test_bands_and_rounds_change_nothing(spark, kind):
     a = cube(3, TALL)
     case = [R.Case(4, 0.5, 400.0, 500.0, 0.6, 1)]
-    seeds = {4: TALL.seed_cap(10.0, 20.0, 5.0)}
+    seeds = {4: seed_cap(spark, TALL, 10.0, 20.0, 5.0)}
     rows = frame(spark, a)
     whole = R.solve(spark, rows, ["model"], TALL, case, kind, seeds=seeds)
     cut = R.solve(spark, rows, ["model"], TALL, case, kind, seeds=seeds, layout=R.Layout(2, 9, 2 * 3, 3))
@@ -127,7 +134,7 @@ def test_arrival_and_cost_are_halves_of_one_search(spark):
     a = cube(5)
     for c in (R.Case(0, 0.5, 400.0, 2300.0, 0.6, 2), R.Case(0, 0.5, 400.0, None, 1.0, 1)):
         cost = to_cube(R.solve(spark, frame(spark, a), ["model"], GRID, [c]), 0, a.shape)
-        jj, ii = GRID.seed_cap(5.0, 60.0, 2.0)
+        jj, ii = seed_cap(spark, GRID, 5.0, 60.0, 2.0)
         d = to_cube(R.solve(spark, frame(spark, a), ["model"], GRID, [c], "arrival", seeds={0: (jj, ii)}), 0, a.shape)
         best = cost[GRID.seed_shell()][np.ix_(jj, ii)].min()
         assert abs((d + cost).min() - best) <= 1e-9 * best
@@ -163,3 +170,15 @@ def test_longitude_roll_rolls_the_field(spark):
     f = to_cube(R.solve(spark, frame(spark, a), ["model"], GRID, CASES[:1]), 0, a.shape)
     g = to_cube(R.solve(spark, frame(spark, np.roll(a, 2, axis=2)), ["model"], GRID, CASES[:1]), 0, a.shape)
     np.testing.assert_allclose(g, np.roll(f, 2, axis=2), rtol=1e-12)
+
+
+def test_a_path_that_is_too_long_is_refused(spark, monkeypatch):
+    a = cube(8)
+    case = R.Case(1, 0.5, 400.0, 500.0, 0.6, 1)
+    rows = frame(spark, a)
+    f = R.solve(spark, rows, ["model"], GRID, [case])
+    head = {"k": GRID.seed_shell(), "j": 2, "row": [0, 2, 0, 0]}
+    field = {k: to_cube(f, 1, a.shape)[k] for k in range(a.shape[0])}
+    monkeypatch.setattr(R, "LONGEST", 2)
+    with pytest.raises(RuntimeError):
+        R._follow(R.Tile(GRID, case, a, 0, 0, None), field, [head], True, 0, a.shape[0])
