@@ -42,9 +42,12 @@ CAP = ["cj0", "cj1", "ci", "cw"]
 
 
 def cap_number():
-    """One number per cap from its four parts."""
-    b = lambda c: F.col(c).cast("bigint")
-    return (b("cj0") * 1000 + b("cj1")) * 1000000 + b("ci") * 1000 + b("cw")
+    """One number per cap from its four parts, each below 2^15: grids of up to 32,767 rows and columns."""
+    part = lambda c: F.when(F.col(c).between(0, 32767), F.col(c).cast("bigint")).otherwise(F.raise_error(F.lit("the grid has too many rows or columns for a cap number")).cast("bigint"))
+    number = part(CAP[0])
+    for c in CAP[1:]:
+        number = F.shiftleft(number, 15).bitwiseOR(part(c))
+    return number
 
 
 def cap_cells(capped: DataFrame, nlon: int) -> DataFrame:

@@ -14,18 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 256
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 SMALL_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Mark a side for broadcast only after its row count was checked.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Mark a side for broadcast only after its rows and the bytes of their text form were counted.
 
     The check stops at ``max_rows + 1`` rows. The caller gets the verdict too, so that it can
     spread the join when the side is larger.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
+    head = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    seen = head.agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    small = seen.n <= max_rows and (seen.b or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small
 
 
@@ -56,12 +58,12 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if planned_bytes(df) < cores * SMALL_BYTES else df
 
 
-def piece_bounds(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE, max_pieces: int = MAX_PIECES):
-    """Cut points of ``order`` so that no piece of the whole table is much above the target size."""
-    if rows_per_piece >= ROWS_PER_PIECE and planned_bytes(df) <= SMALL_BYTES:
-        return []
-    total = df.count()
-    pieces = min(max_pieces, math.ceil(total / rows_per_piece)) if total else 1
+def piece_bounds(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE):
+    """Cut points of ``order`` so that no piece of the whole table is much above the target size.
+
+    The rows are counted; their number alone decides, and there are as many pieces as it takes.
+    """
+    pieces = math.ceil(df.count() / rows_per_piece)
     if pieces <= 1:
         return []
     probs = [p / pieces for p in range(1, pieces)]
@@ -85,22 +87,24 @@ def piece_of(order: Column, cuts: list[float]) -> Column:
 class Ordered:
     """Ordered rows per key, safe for keys of any size.
 
-    ``order`` must be unique within a key. With few rows there is one piece and the plan is an
-    ordinary window; with many rows each (key, piece) is a window of bounded size.
+    ``order`` is a column or several, unique within a key together. Cuts are made on the first one,
+    which has to be a number, so rows that tie on it stay in one piece and the others order them
+    there. With few rows there is one piece and the plan is an ordinary window; with many rows each
+    (key, piece) is a window of bounded size.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: str, rows_per_piece: int = ROWS_PER_PIECE):
-        self.keys, self.order = list(keys), order
-        self.cuts = piece_bounds(df, order, rows_per_piece)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: str | Sequence[str], rows_per_piece: int = ROWS_PER_PIECE):
+        self.keys, self.order = list(keys), [order] if isinstance(order, str) else list(order)
+        self.cuts = piece_bounds(df, self.order[0], rows_per_piece)
         self.split = bool(self.cuts)
-        self.df = df.withColumn("_piece", piece_of(F.col(order), self.cuts)) if self.split else df
+        self.df = df.withColumn("_piece", piece_of(F.col(self.order[0]), self.cuts)) if self.split else df
         self.group = [*self.keys, "_piece"] if self.split else self.keys
 
     def _w(self):
-        return Window.partitionBy(*self.group).orderBy(self.order)
+        return Window.partitionBy(*self.group).orderBy(*self.order)
 
     def _summary(self, aggs: Sequence[Column]) -> DataFrame:
-        """One row per (key, piece): at most MAX_PIECES rows per key, so windows over it are bounded."""
+        """One row per (key, piece): a few rows per millions, so windows over it stay small."""
         return self.df.groupBy(*self.group).agg(*aggs)
 
     def number(self, name: str = "rn") -> Ordered:
@@ -144,7 +148,7 @@ class Ordered:
             self.df = self.df.select("*", *[shift(c).over(w).alias(prefix + c) for c in cols])
             return self
         wk = Window.partitionBy(*self.keys).orderBy("_piece")
-        part = self._summary([edge(row, F.col(self.order)).alias("_edge")])
+        part = self._summary([edge(row, F.struct(*self.order)).alias("_edge")])
         carry = part.select(*self.group, shift("_edge").over(wk).alias("_c_edge"))
         base = self.df.columns
         j = self.df.withColumn("_s", shift(row).over(w)).join(carry, self.group)

@@ -24,9 +24,8 @@ def linked_pairs(members: DataFrame, owner: str, member: str, share: float, rows
     freq = m.groupBy("m").agg(F.count("*").alias("f"))
     r = m.join(freq, "m")
     size = r.groupBy("o").agg(F.count("*").alias("n"), F.count_if(F.col("f") <= rare).alias("n_rare"))
-    # Frequency, then a hash of the member: an order that is the same for all owners.
-    key = F.col("f").cast("double") * 1e9 + F.pmod(F.xxhash64("m"), F.lit(1_000_000_000))
-    r = Ordered(r.withColumn("_key", key), ["o"], "_key", rows_per_piece).number("rn").result().join(size, "o")
+    # Frequency, then the member: an order that is the same for all owners and has no ties.
+    r = Ordered(r, ["o"], ["f", "m"], rows_per_piece).number("rn").result().join(size, "o")
     need = F.ceil(F.col("n") * share - 1e-9)
     r = r.withColumn("keep", F.greatest(F.col("n") - need + 1, F.col("n_rare")))
     pre = r.filter(F.col("rn") <= F.col("keep")).select("m", F.col("o").alias("a"), F.col("n").alias("na"), "keep", need.alias("need"))

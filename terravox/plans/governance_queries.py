@@ -24,9 +24,9 @@ def _(spark, sf):
 
 
 @query("s7_path_documents", "site:s,n:b,depth:d,lat:d,lon:d", "S7,F21,K2,D9", f"""
-WITH {T.CELLS_SQL} SELECT 'cell ' || model || '/' || j || '/' || i AS site, k AS n, depth_km AS depth, lat, anom AS lon FROM cells WHERE label = 3""")
+WITH {T.CELLS_SQL} SELECT 'cell ' || model || '/' || j || '/' || i AS site, k AS n, depth_km AS depth, lat, anom AS lon FROM cells""")
 def _(spark, sf):
-    c = T.columns(spark, sf).filter("label = 3")
+    c = T.columns(spark, sf)
     site = F.concat(F.lit("cell "), F.concat_ws("/", F.col("model").cast("string"), F.col("j").cast("string"), F.col("i").cast("string")))
     body = F.struct(F.transform("v", lambda x: F.col("lat")).alias("lat"), F.col("v").alias("lon"), F.transform("v", lambda x, k: T.depth_of(k)).alias("depth"), F.lit(1.0).alias("root_fraction"))
     return files.path_nodes(c.select(F.to_json(F.create_map(site, body)).alias("value")))
@@ -66,9 +66,17 @@ def _(spark, sf):
     return sinks.markdown_rows(s, ["site", "v", "n"]).select("site", "line")
 
 
-@query("k9_result_checksum", "n:b,sha256:s", "K9,C14")
+# The sum over rows of the first 15 hex digits of a salted digest, twice; then a digest of both sums.
+_ROW_TEXT = """'{"cents":' || round(o_totalprice * 100)::BIGINT || ',"day":' || date_diff('day', DATE '1970-01-01', o_orderdate::DATE) || ',"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'"""
+
+
+@query("k9_result_checksum", "n:b,sha256:s", "K9,C14", f"""
+WITH t AS (SELECT {_ROW_TEXT} AS x FROM orders), h AS (SELECT count(*) AS n, sum(('0x' || substr(sha256('a' || x), 1, 15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(sha256('b' || x), 1, 15))::BIGINT::HUGEINT) AS b FROM t)
+SELECT n, sha256(n || '-' || a || '-' || b) AS sha256 FROM h""")
 def _(spark, sf):
-    return sinks.fingerprint(T.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    o = T.table(spark, sf, "orders")
+    cents, day = F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.unix_date(F.to_date("o_orderdate")).alias("day")
+    return sinks.fingerprint(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", cents, day))
 
 
 @query("d17_statistics_document", "section:s,key:s,value:d", "D17,K2,A1,A3", """

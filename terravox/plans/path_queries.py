@@ -210,9 +210,7 @@ SELECT *, CASE WHEN n_dated >= 8 AND max_age_gap <= 2 THEN 'P1' WHEN n_dated >=
 def _(spark, sf):
     from terravox.operators.scaling import exact_percentiles
 
-    # Age in days, then key: one sortable number that is unique within a chain.
-    c = chain(spark, sf).withColumn("ord", F.round(F.col("age") * 365.25) * F.lit(1e9) + F.col("n"))
-    s = Ordered(c, ["chain"], "ord").lag(["age", "dist"]).result()
+    s = Ordered(chain(spark, sf), ["chain"], ["age", "n"]).lag(["age", "dist"]).result()
     s = s.withColumn("gap", F.round(F.col("age") - F.col("prev_age"), 9)).withColumn("step", F.abs(F.col("dist") - F.col("prev_dist")))
     a = s.groupBy("chain").agg(F.count("*").alias("n_dated"), F.max("gap").alias("max_age_gap"), F.max("step").alias("max_step"), (F.max("age") - F.min("age")).alias("span"))
     med = exact_percentiles(s, ["chain"], "gap", {"median_age_gap": 0.5})

@@ -60,20 +60,21 @@ def _(spark, sf):
 WITH {RUNS_SQL}, x AS (SELECT site, family, f >= 0.65 AS deep FROM ind)
 SELECT p.family AS a, q.family AS b, count(*) AS n, avg((p.deep = q.deep)::INT) AS agreement FROM x AS p JOIN x AS q ON p.site = q.site AND p.family < q.family GROUP BY ALL""")
 def _(spark, sf):
-    # Five families: one wide row per site, so that agreement of each pair is an aggregate over
-    # columns and no pair rows exist before it.
-    p = independent(runs(spark, sf)).groupBy("site").pivot("family", list(range(5))).agg(F.max(F.col("f") >= 0.65))
-    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
-    eq = lambda a, b: F.col(str(a)) == F.col(str(b))
-    g = p.agg(*[F.struct(F.count(eq(a, b)).alias("n"), F.avg(eq(a, b).cast("double")).alias("agreement")).alias(f"p{a}{b}") for a, b in pairs])
-    return g.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{a}{b}.n").alias("n"), F.col(f"p{a}{b}.agreement").alias("agreement")) for a, b in pairs])).alias("r")).select("r.*")
+    # A site has one row per family and families are few, so its pairs are unfolded from one array;
+    # equal patterns of verdicts are counted first, so that the pairs follow the patterns, not the sites.
+    site = independent(runs(spark, sf)).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("family", (F.col("f") >= 0.65).alias("deep")))).alias("v"))
+    pattern = site.groupBy("v").agg(F.count("*").alias("c"))
+    pairs = F.flatten(F.transform("v", lambda x: F.transform(F.filter("v", lambda y: y["family"] > x["family"]), lambda y: F.struct(
+        x["family"].alias("a"), y["family"].alias("b"), (x["deep"] == y["deep"]).cast("bigint").alias("same")))))
+    p = pattern.select("c", F.explode(pairs).alias("r"))
+    n = F.sum("c")
+    return p.groupBy("r.a", "r.b").agg(n.alias("n"), (F.sum(F.col("c") * F.col("r.same")) / n).alias("agreement"))
 
 
 # ---- raters: event types judge users --------------------------------------------------------------
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
 RATE_SQL = """votes AS (SELECT user_id AS site, event_type AS rater, CASE WHEN avg(value) < 18 THEN 'none' WHEN avg(value) < 30 THEN 'mid' ELSE 'deep' END AS c FROM events GROUP BY ALL),
-full_ AS (SELECT site FROM votes GROUP BY site HAVING count(*) = 5), m AS (SELECT v.* FROM votes AS v JOIN full_ USING (site)),
+full_ AS (SELECT site FROM votes GROUP BY site HAVING count(*) = (SELECT count(DISTINCT rater) FROM votes)), m AS (SELECT v.* FROM votes AS v JOIN full_ USING (site)),
 n AS (SELECT site, c, count(*) AS k FROM m GROUP BY ALL)"""
 
 
@@ -81,16 +82,17 @@ def votes(spark, sf):
     e = T.table(spark, sf, "events").groupBy(F.col("user_id").alias("site"), F.col("event_type").alias("rater")).agg(F.avg("value").alias("a"))
     c = F.when(F.col("a") < 18, "none").when(F.col("a") < 30, "mid").otherwise("deep")
     v = e.select("site", "rater", c.alias("c"))
-    full = v.groupBy("site").agg(F.count("*").alias("r")).filter(F.col("r") == len(KINDS))
-    return v.join(full.select("site"), "site", "left_semi")
+    raters = v.agg(F.count_distinct("rater").alias("raters"))  # one row
+    full = v.groupBy("site").agg(F.count("*").alias("r")).join(F.broadcast(raters)).filter(F.col("r") == F.col("raters"))
+    return v.join(full.select("site", "raters"), "site")
 
 
 @query("a20_consensus_mode", "site:b,class_:s,support:b", "A20,P18,J5", f"""
 WITH {RATE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k DESC, c) AS rn FROM n) SELECT site, CASE WHEN k >= 4 THEN c END AS class_, k AS support FROM r WHERE rn = 1""")
 def _(spark, sf):
-    n = votes(spark, sf).groupBy("site", "c").agg(F.count("*").alias("k"))
-    b = n.groupBy("site").agg(F.min(F.struct((-F.col("k")).alias("m"), "c")).alias("b"))
-    need = -(-3 * len(KINDS) // 4)
+    n = votes(spark, sf).groupBy("site", "raters", "c").agg(F.count("*").alias("k"))
+    b = n.groupBy("site", "raters").agg(F.min(F.struct((-F.col("k")).alias("m"), "c")).alias("b"))
+    need = F.ceil(3 * F.col("raters") / 4)
     return b.select("site", F.when(-F.col("b.m") >= need, F.col("b.c")).alias("class_"), (-F.col("b.m")).alias("support"))
 
 
@@ -99,9 +101,9 @@ WITH {RATE_SQL}, p AS (SELECT site, (sum(k * k) - 5) / 20.0::DOUBLE AS pi FROM n
 e AS (SELECT sum(pow(t / tot, 2)) AS expected FROM (SELECT c, sum(k) AS t, sum(sum(k)) OVER () AS tot FROM n GROUP BY c) AS q)
 SELECT subjects, observed, expected, (observed - expected) / (1 - expected) AS kappa FROM s, e""")
 def _(spark, sf):
-    n = votes(spark, sf).groupBy("site", "c").agg(F.count("*").alias("k"))
-    r = len(KINDS)
-    p = n.groupBy("site").agg(((F.sum(F.col("k") * F.col("k")) - r) / (r * (r - 1))).alias("pi")).agg(F.count("*").alias("subjects"), F.avg("pi").alias("observed"))
+    n = votes(spark, sf).groupBy("site", "raters", "c").agg(F.count("*").alias("k"))
+    r = F.col("raters")
+    p = n.groupBy("site", "raters").agg(F.sum(F.col("k") * F.col("k")).alias("kk")).select(((F.col("kk") - r) / (r * (r - 1))).alias("pi")).agg(F.count("*").alias("subjects"), F.avg("pi").alias("observed"))
     t = n.groupBy("c").agg(F.sum("k").alias("t"))  # one row per class
     e = t.agg((F.sum(F.col("t").cast("double") * F.col("t")) / (F.sum("t").cast("double") * F.sum("t"))).alias("expected"))
     return p.join(F.broadcast(e)).withColumn("kappa", (F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
@@ -119,13 +121,15 @@ def _(spark, sf):
     import numpy as np
     import pandas as pd
 
-    w = votes(spark, sf).groupBy("site").pivot("rater", KINDS).agg(F.first("c"))
-    combo = [(tuple(r[k] for k in KINDS), r["n"]) for r in w.groupBy(*KINDS).agg(F.count("*").alias("n")).collect()]
+    v = votes(spark, sf)
+    w = v.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rater", "c"))).alias("v")).select(F.transform("v", lambda x: x["c"]).alias("c"))
+    combo = [(tuple(r["c"]), r["n"]) for r in w.groupBy("c").agg(F.count("*").alias("n")).collect()]
+    n_raters = len(combo[0][0]) if combo else 0
     classes = ["none", "mid", "deep"]
-    need = -(-3 * len(KINDS) // 4)
+    need = -(-3 * n_raters // 4)
     agreed = lambda c: max(c.count(x) for x in classes) >= need
     obs, total = sum(n for c, n in combo if agreed(c)), sum(n for _, n in combo)
-    margin = [[sum(n for c, n in combo if c[r] == x) for x in classes] for r in range(len(KINDS))]
+    margin = [[sum(n for c, n in combo if c[r] == x) for x in classes] for r in range(n_raters)]
 
     def draw(batches):
         for b in batches:
@@ -133,7 +137,7 @@ def _(spark, sf):
             for i in b["id"]:
                 rng = np.random.default_rng([7, int(i)])
                 cells = {(): total}
-                for r in range(len(KINDS)):  # deal the classes of one rater over the groups formed so far
+                for r in range(n_raters):  # deal the classes of one rater over the groups formed so far
                     left, nxt = list(margin[r]), {}
                     for key, size in cells.items():
                         got = rng.multivariate_hypergeometric(left, size)
@@ -268,13 +272,10 @@ WITH m AS (SELECT DISTINCT s_nationkey AS o, l_partkey AS m FROM lineitem JOIN s
 p AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM m AS x JOIN m AS y ON x.m = y.m AND x.o < y.o GROUP BY ALL)
 SELECT a, b, shared, shared / (na.n + nb.n - shared)::DOUBLE AS jaccard FROM p JOIN n AS na ON na.o = a JOIN n AS nb ON nb.o = b""")
 def _(spark, sf):
-    # Nations are 25: a part carries one bit per nation, equal bit patterns are counted, and only
-    # the patterns are unfolded. Parts with very many suppliers cost no more than others.
+    # A part carries the set of its nations, equal sets are counted, and only the sets are unfolded.
+    # Parts with very many suppliers cost no more than others.
     l = T.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(T.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    bits = l.groupBy("l_partkey").agg(F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("bits"))
-    pat = bits.groupBy("bits").agg(F.count("*").alias("c"))
-    member = F.filter(F.sequence(F.lit(0), F.lit(24)), lambda n: F.getbit(F.col("bits"), n) == 1)
-    p = pat.select("c", member.alias("s"))
+    p = l.groupBy("l_partkey").agg(F.array_sort(F.collect_set("s_nationkey")).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
     size = p.select("c", F.explode("s").alias("o")).groupBy("o").agg(F.sum("c").alias("n"))
     ab = F.explode(F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     sh = p.select("c", ab.alias("r")).groupBy("r.a", "r.b").agg(F.sum("c").alias("shared"))
@@ -351,8 +352,8 @@ def _(spark, sf):
 @query("a23_crosstab", "flag:s,f:b,o:b,total:b", "A23,A24,A27", """
 SELECT l_returnflag AS flag, count(*) FILTER (WHERE l_linestatus = 'F') AS f, count(*) FILTER (WHERE l_linestatus = 'O') AS o, count(*) AS total FROM lineitem GROUP BY l_returnflag""")
 def _(spark, sf):
-    p = T.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).pivot("l_linestatus", ["F", "O"]).count()
-    return p.select("flag", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"), (F.coalesce("F", F.lit(0)) + F.coalesce("O", F.lit(0))).alias("total"))
+    state = lambda x: F.count_if(F.col("l_linestatus") == x)
+    return T.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(state("F").alias("f"), state("O").alias("o"), F.count("*").alias("total"))
 
 
 @query("a26_extreme_rows", "grp:s,deepest_site:b,deepest:d,shallowest_site:b,shallowest:d", "A26,O2", """
@@ -377,8 +378,7 @@ def _(spark, sf):
 
     c = T.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("site"), F.col("c_acctbal").alias("value"))
     n = c.groupBy("grp").agg(F.count("*").alias("n"))
-    # Balances have two decimals, so balance and key pack into one exact, unique order.
-    r = Ordered(c.withColumn("_o", F.round(F.col("value") * 100) * 1e7 + F.col("site")), ["grp"], "_o").number("rn").result()
+    r = Ordered(c, ["grp"], ["value", "site"]).number("rn").result()
     pick = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda q: 1 + F.rint(q * (F.col("n") - 1) / 9.0).cast("bigint"))
     return r.join(n, "grp").filter(F.array_contains(pick, F.col("rn").cast("bigint"))).select("grp", "site", "value", "rn")
 

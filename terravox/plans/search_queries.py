@@ -66,7 +66,7 @@ BEST_SQL = f"best AS (SELECT f.model, cj0, cj1, ci, cw, min(c) AS cost, arg_min(
 
 @query("g10_path_price", "model:b,site:b,price:d,start_j:b,start_i:b,reached:t", "G10,F14,S7", f"""
 WITH RECURSIVE {BASE}, {chain(CASES[0], '0')}, {Q.caps_sql(RADIUS)}, {BEST_SQL}
-SELECT model, (cj0 * 1000 + cj1) * 1000000 + ci * 1000 + cw AS site, cost AS price, j AS start_j, i AS start_i, true AS reached FROM best""")
+SELECT model, ((cj0::BIGINT * 32768 + cj1) * 32768 + ci) * 32768 + cw AS site, cost AS price, j AS start_j, i AS start_i, true AS reached FROM best""")
 def _(spark, sf):
     starts, nodes = traced(spark, sf)
     p = priced(spark, sf, nodes, CASES[0])
@@ -156,7 +156,7 @@ LEVEL_SQL = ", ".join(
 WITH RECURSIVE {BASE}, {Q.price_sql('0', CASES[0].s, CASES[0].lateral)}, {LEVEL_SQL},
 {', '.join(f"p{p} AS (SELECT * FROM p0), " + Q.field_sql(str(p), GRID.target_shell(CASES[0].z_target), CASES[0].s, CASES[0].lateral, 1, 'cost', f'z{p}') for p in LEVELS)},
 {Q.caps_sql(RADIUS)}, f AS ({' UNION ALL '.join(f'SELECT *, {p} AS level FROM f{p} WHERE k = {SEED}' for p in LEVELS)})
-SELECT f.model, f.level, (cj0 * 1000 + cj1) * 1000000 + ci * 1000 + cw AS site, min(c) AS cost FROM f JOIN capcells AS p ON p.j = f.j AND p.i = f.i GROUP BY f.model, f.level, cj0, cj1, ci, cw""")
+SELECT f.model, f.level, ((cj0::BIGINT * 32768 + cj1) * 32768 + ci) * 32768 + cw AS site, min(c) AS cost FROM f JOIN capcells AS p ON p.j = f.j AND p.i = f.i GROUP BY f.model, f.level, cj0, cj1, ci, cw""")
 def _(spark, sf):
     base = rows(spark, sf)
     clipped = T.columns(spark, sf).withColumn("v", F.transform("v", lambda x: F.greatest(F.lit(-R.CLIP), F.least(F.lit(R.CLIP), x))))

@@ -42,7 +42,7 @@ def caps(spark, sf):
 @query("cap_percentile_vs_null", "model:b,site:b,n_cells:b,cap_mean:d,percentile:d", "A16,J9,T22,T24 (flagship)", f"""
 WITH {CAPS_SQL}
 SELECT h.model, h.site, h.n_cells, h.cap_mean,
-       100.0::DOUBLE * sum(n.n_sites) FILTER (WHERE n.cap_mean < h.cap_mean) / sum(n.n_sites) AS percentile
+       100.0::DOUBLE * coalesce(sum(n.n_sites) FILTER (WHERE n.cap_mean < h.cap_mean), 0) / sum(n.n_sites) AS percentile
 FROM caps AS h JOIN caps AS n ON n.model = h.model AND n.kind = 'null' AND h.kind = 'hotspot'
 GROUP BY h.model, h.site, h.n_cells, h.cap_mean""")
 def cap_percentile(spark, sf):
@@ -54,7 +54,7 @@ def cap_percentile(spark, sf):
     below = F.sum(weight).over(w.orderBy("cap_mean").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     peers = F.sum(weight).over(Window.partitionBy("model", "cap_mean"))
     r = c.withColumn("below", below - peers).withColumn("total", F.sum(weight).over(w))
-    hit = F.when(F.col("below") > 0, 100.0 * F.col("below") / F.col("total"))
+    hit = 100.0 * F.col("below") / F.col("total")
     return r.filter("kind = 'hotspot'").withColumn("percentile", hit)
 
 
@@ -73,22 +73,22 @@ def _(spark, sf):
     return m.groupBy(F.col("p_site").alias("site"), "model").agg(F.count("*").alias("n_ring"), F.avg("a").alias("ring_mean"))
 
 
-@query("j10_inverse_square_bearing", "site:b,n:b,bearing:d,mean_km:d", "J10,A10,F3", f"""
-WITH {CELLS}, {SITES}, tgt AS (SELECT DISTINCT lat, lon FROM cols WHERE label <= 2 AND model = 0),
-b AS (SELECT site, {T.arc_sql('p.lat', 'p.lon', 't.lat', 't.lon')} AS d,
+@query("j10_inverse_square_bearing", "model:b,site:b,n:b,bearing:d,mean_km:d", "J10,A10,F3", f"""
+WITH {CELLS}, {SITES}, tgt AS (SELECT DISTINCT model, lat, lon FROM cols WHERE label <= 2),
+b AS (SELECT t.model, site, {T.arc_sql('p.lat', 'p.lon', 't.lat', 't.lon')} AS d,
   atan2(sin(radians(t.lon - p.lon)) * cos(radians(t.lat)), cos(radians(p.lat)) * sin(radians(t.lat))
         - sin(radians(p.lat)) * cos(radians(t.lat)) * cos(radians(t.lon - p.lon))) AS br
   FROM places AS p, tgt AS t WHERE p.kind = 'hotspot'),
-w AS (SELECT site, d, br, 1 / pow(greatest(d, 50.0::DOUBLE), 2) AS w FROM b WHERE d <= 6000)
-SELECT site, count(*) AS n, ((degrees(atan2(sum(w * sin(br)), sum(w * cos(br)))) % 360) + 360) % 360 AS bearing,
-       sum(w * d) / sum(w) AS mean_km FROM w GROUP BY site HAVING count(*) >= 20""")
+w AS (SELECT model, site, d, br, 1 / pow(greatest(d, 50.0::DOUBLE), 2) AS w FROM b WHERE d <= 6000)
+SELECT model, site, count(*) AS n, ((degrees(atan2(sum(w * sin(br)), sum(w * cos(br)))) % 360) + 360) % 360 AS bearing,
+       sum(w * d) / sum(w) AS mean_km FROM w GROUP BY model, site HAVING count(*) >= 20""")
 def _(spark, sf):
-    tgt = T.columns(spark, sf).filter("label <= 2 AND model = 0").select("lat", "lon").distinct()
+    tgt = T.columns(spark, sf).filter("label <= 2").select("model", "lat", "lon").distinct()
     m = spatial.radius_join(tgt, T.places(T.hotspots(spark, sf)), 6000.0)
     br = F.radians(geo.bearing_deg(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")))
     m = m.withColumn("w", 1 / F.pow(F.greatest(F.col("dist_km"), F.lit(50.0)), F.lit(2.0))).withColumn("br", br)
     w = F.col("w")
-    g = m.groupBy(F.col("p_site").alias("site")).agg(
+    g = m.groupBy("model", F.col("p_site").alias("site")).agg(
         F.count("*").alias("n"), F.sum(w * F.sin("br")).alias("s"), F.sum(w * F.cos("br")).alias("c"),
         (F.sum(w * F.col("dist_km")) / F.sum("w")).alias("mean_km"))
     return g.filter("n >= 20").withColumn("bearing", geo.wrap360(F.degrees(F.atan2("s", "c"))))

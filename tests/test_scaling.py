@@ -81,3 +81,20 @@ def test_radius_join_is_whole(spark, monkeypatch, limit):
         assert got == set(zip(*[a.tolist() for a in np.nonzero(d <= km)]))
     n = {r.id: r.dist_km for r in spatial.nearest_join(p, c, ["id"], ["cell"], 300.0).collect()}
     np.testing.assert_allclose([n[i] for i in range(62)], d.min(axis=1), rtol=1e-9)
+
+
+@pytest.mark.parametrize("rows_per_piece", [300, 2_000_000])
+def test_several_order_columns_break_ties_with_keys_of_any_size(spark, rows_per_piece):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.random() < 0.9), float(rng.integers(0, 40)), int(n) * 50_000_003 + 12_000_000_000) for n in rng.permutation(4000)]
+    df = spark.createDataFrame(rows, "g int, x double, n long")
+    got = {r.n: (r.rn, r.prev_n, r.next_n) for r in Ordered(df, ["g"], ["x", "n"], rows_per_piece).number("rn").lag(["n"]).lead(["n"]).result().collect()}
+    w = Window.partitionBy("g").orderBy("x", "n")
+    for r in df.select("n", F.row_number().over(w).alias("rn"), F.lag("n").over(w).alias("p"), F.lead("n").over(w).alias("q")).collect():
+        assert got[r.n] == (r.rn, r.p, r.q)
+
+
+def test_broadcast_is_refused_for_wide_rows(spark):
+    wide = spark.range(2000).select("id", F.array_repeat(F.col("id"), 50).alias("v"))
+    assert scaling.broadcast_if_small(wide)[1]
+    assert not scaling.broadcast_if_small(wide, max_bytes=10_000)[1] and not scaling.broadcast_if_small(wide, max_rows=100)[1]
