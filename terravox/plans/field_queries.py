@@ -203,11 +203,11 @@ def _(spark, sf):
     return c.join(side, ["j", "i"])
 
 
-@query("p17_site_window", "site:b,model:b,n_cells:b,min_anom:d", "P17", f"""
+@query("p17_site_window", "site:b,model:b,k:b,n_cells:b,min_anom:d", "P17", f"""
 WITH {CELLS}, {T.SITES_SQL}, h AS (SELECT site, lat AS slat, lon AS slon FROM places WHERE kind = 'hotspot')
-SELECT site, model, count(*) AS n_cells, min(embedding[46]::DOUBLE * 10) AS min_anom FROM h JOIN cols
+SELECT site, model, k, count(*) AS n_cells, min(anom) AS min_anom FROM h JOIN cells
   ON abs(lat - slat) <= 20 AND abs(((lon - slon + 180) % 360 + 360) % 360 - 180) <= 20 / greatest(cos(radians(slat)), 0.25::DOUBLE)
-GROUP BY site, model""")
+GROUP BY site, model, k""")
 def _(spark, sf):
     from terravox.operators.scaling import broadcast_if_small
 
@@ -217,10 +217,12 @@ def _(spark, sf):
     lo, hi = F.ceil((F.col("slat") - 20 + 90) / T.DLAT - 0.5), F.floor((F.col("slat") + 20 + 90) / T.DLAT - 0.5)
     h = h.withColumn("j", F.explode(F.sequence(row(lo), row(hi))))
     side, _ = broadcast_if_small(h)
-    c = T.columns(spark, sf).select("model", "j", "lat", "lon", F.col("v")[45].alias("a"))
+    c = T.columns(spark, sf).select("model", "j", "lat", "lon", "v")
     wide = 20 / F.greatest(F.cos(F.radians("slat")), F.lit(0.25))
     m = c.join(side, "j").filter((F.abs(F.col("lat") - F.col("slat")) <= 20) & (F.abs(geo.wrap180(F.col("lon") - F.col("slon"))) <= wide))
-    return m.groupBy("site", "model").agg(F.count("*").alias("n_cells"), F.min("a").alias("min_anom"))
+    # The smallest value of every shell in one aggregate over whole columns; shells unfold at the end.
+    g = m.groupBy("site", "model").agg(F.count("*").alias("n_cells"), F.array(*[F.min(F.col("v")[k]) for k in range(T.NZ)]).alias("least"))
+    return g.select("site", "model", "n_cells", F.posexplode("least").alias("k", "min_anom"))
 
 
 @query("a8_area_weighted_quantile", "model:b,k:b,q10:d,q50:d", "A8,W5", f"""

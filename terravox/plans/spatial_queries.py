@@ -222,16 +222,16 @@ def _(spark, sf):
     return p.select("id", e.alias("east"), n.alias("north"))
 
 
-@query("a11_spherical_centroid", "kind:s,label:b,lat:d,lon:d,strength:d", "A11", f"""
-WITH {CELLS}, w AS (SELECT label, radians(lat) AS a, radians(lon) AS o, cos(radians(lat)) * abs(embedding[60]::DOUBLE * 10) AS w FROM cols),
-s AS (SELECT label, sum(w * cos(a) * cos(o)) / sum(w) AS x, sum(w * cos(a) * sin(o)) / sum(w) AS y, sum(w * sin(a)) / sum(w) AS z FROM w GROUP BY label)
-SELECT 'label' AS kind, label, degrees(asin(z / sqrt(x * x + y * y + z * z))) AS lat, degrees(atan2(y, x)) AS lon, sqrt(x * x + y * y + z * z) AS strength FROM s""")
+@query("a11_spherical_centroid", "model:b,k:b,label:b,lat:d,lon:d,strength:d", "A11", f"""
+WITH {CELLS}, w AS (SELECT model, k, label, radians(lat) AS a, radians(lon) AS o, cos(radians(lat)) * abs(anom) AS w FROM cells),
+s AS (SELECT model, k, label, sum(w * cos(a) * cos(o)) / sum(w) AS x, sum(w * cos(a) * sin(o)) / sum(w) AS y, sum(w * sin(a)) / sum(w) AS z FROM w GROUP BY model, k, label)
+SELECT model, k, label, degrees(asin(z / sqrt(x * x + y * y + z * z))) AS lat, degrees(atan2(y, x)) AS lon, sqrt(x * x + y * y + z * z) AS strength FROM s""")
 def _(spark, sf):
-    c = T.columns(spark, sf).withColumn("w", F.cos(F.radians("lat")) * F.abs(F.col("v")[59]))
+    c = T.cells(spark, sf).withColumn("w", F.cos(F.radians("lat")) * F.abs("anom"))
     x, y, z = geo.unit_xyz(F.col("lat"), F.col("lon"))
-    g = c.groupBy("label").agg(*[(F.sum(F.col("w") * u) / F.sum("w")).alias(n) for n, u in (("x", x), ("y", y), ("z", z))])
+    g = c.groupBy("model", "k", "label").agg(*[(F.sum(F.col("w") * u) / F.sum("w")).alias(n) for n, u in (("x", x), ("y", y), ("z", z))])
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return g.select(F.lit("label").alias("kind"), "label", F.degrees(F.asin(F.col("z") / r)).alias("lat"),
+    return g.select("model", "k", "label", F.degrees(F.asin(F.col("z") / r)).alias("lat"),
                     F.degrees(F.atan2("y", "x")).alias("lon"), r.alias("strength"))
 
 

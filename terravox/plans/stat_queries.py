@@ -91,19 +91,21 @@ def judged(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(T.table(spark, sf, "labels"), "doc_id", "left")
 
 
-@query("t6_fisher_exact", "lang:s,a11:b,a12:b,a21:b,a22:b,odds_ratio:d,p_one_sided:d", "T6,T7,T26,A3", f"""
+@query("t6_fisher_exact", "lang:s,a11:b,a12:b,a21:b,a22:b,odds_ratio:d,p_one_sided:d,p_two_sided:d", "T6,T7,A3", f"""
 WITH {DOC_SQL}, c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars > 800) AS a, count(*) FILTER (WHERE quality = 0 AND n_chars > 800) AS b,
   count(*) FILTER (WHERE quality = 1 AND n_chars <= 800) AS c, count(*) FILTER (WHERE quality = 0 AND n_chars <= 800) AS d FROM d GROUP BY lang),
 x AS (SELECT *, a + b + c + d AS n, a + b AS r, a + c AS k FROM c),
-p AS (SELECT lang, sum(exp(lgamma(r + 1) - lgamma(v.x + 1) - lgamma(r - v.x + 1) + lgamma(n - r + 1) - lgamma(k - v.x + 1) - lgamma(n - r - k + v.x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1))) AS p
-  FROM x, LATERAL (SELECT unnest(range(a, least(r, k) + 1)) AS x) AS v GROUP BY lang)
-SELECT lang, a AS a11, b AS a12, c AS a21, d AS a22, CASE WHEN b * c > 0 THEN a * d / (b * c)::DOUBLE END AS odds_ratio, least(1.0::DOUBLE, p.p) AS p_one_sided FROM c JOIN p USING (lang)""")
+t AS (SELECT lang, a, v.x, exp(lgamma(r + 1) - lgamma(v.x + 1) - lgamma(r - v.x + 1) + lgamma(n - r + 1) - lgamma(k - v.x + 1) - lgamma(n - r - k + v.x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS q
+  FROM x, LATERAL (SELECT unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x) AS v),
+p AS (SELECT lang, sum(q) FILTER (WHERE x >= a) AS p, sum(q) FILTER (WHERE q <= o * (1 + 1e-7::DOUBLE)) AS p2 FROM t JOIN (SELECT lang, q AS o FROM t WHERE x = a) AS s USING (lang) GROUP BY lang)
+SELECT lang, a AS a11, b AS a12, c AS a21, d AS a22, CASE WHEN b * c > 0 THEN a * d / (b * c)::DOUBLE END AS odds_ratio, least(1.0::DOUBLE, p.p) AS p_one_sided, least(1.0::DOUBLE, p.p2) AS p_two_sided FROM c JOIN p USING (lang)""")
 def _(spark, sf):
     long = F.col("n_chars") > 800
     g = judged(spark, sf).groupBy("lang").agg(F.count_if((F.col("quality") == 1) & long).alias("a11"), F.count_if((F.col("quality") == 0) & long).alias("a12"),
                                               F.count_if((F.col("quality") == 1) & ~long).alias("a21"), F.count_if((F.col("quality") == 0) & ~long).alias("a22"))
     bc = (F.col("a12") * F.col("a21")).cast("double")
-    return g.select("*", F.when(bc > 0, F.col("a11") * F.col("a22") / bc).alias("odds_ratio"), St.p_of_fisher(F.col("a11"), F.col("a12"), F.col("a21"), F.col("a22")).alias("p_one_sided"))
+    return g.select("*", F.when(bc > 0, F.col("a11") * F.col("a22") / bc).alias("odds_ratio"), St.p_of_fisher(F.col("a11"), F.col("a12"), F.col("a21"), F.col("a22")).alias("p_one_sided"),
+                    St.p_of_fisher(F.col("a11"), F.col("a12"), F.col("a21"), F.col("a22"), two_sided=True).alias("p_two_sided"))
 
 
 # Units of the resampling tests are nations: 25 rows of the dimension table however long the facts.
@@ -197,12 +199,12 @@ def _(spark, sf):
 
 
 @query("t17_theil_sen", "model:b,j:b,i:b,slope:d,intercept:d", "T17,G35", f"""
-WITH {T.CELLS_SQL}, p AS (SELECT a.model, a.j, a.i, (b.anom - a.anom) / (b.depth_km - a.depth_km) * 1000 AS s FROM cells AS a JOIN cells AS b ON b.model = a.model AND b.j = a.j AND b.i = a.i AND b.k > a.k AND a.k % 4 = 0 AND b.k % 4 = 0),
+WITH {T.CELLS_SQL}, p AS (SELECT a.model, a.j, a.i, (b.anom - a.anom) / (b.depth_km - a.depth_km) * 1000 AS s FROM cells AS a JOIN cells AS b ON b.model = a.model AND b.j = a.j AND b.i = a.i AND b.k > a.k),
 m AS (SELECT model, j, i, median(s) AS slope FROM p GROUP BY ALL)
-SELECT m.model, m.j, m.i, slope, median(anom - slope * depth_km / 1000) AS intercept FROM m JOIN cells AS c ON c.model = m.model AND c.j = m.j AND c.i = m.i AND c.k % 4 = 0 GROUP BY ALL""")
+SELECT m.model, m.j, m.i, slope, median(anom - slope * depth_km / 1000) AS intercept FROM m JOIN cells AS c ON c.model = m.model AND c.j = m.j AND c.i = m.i GROUP BY ALL""")
 def _(spark, sf):
-    # Every fourth shell of one column: sixteen points, whose pairs are formed inside the row.
-    pts = F.transform(F.filter(F.sequence(F.lit(0), F.lit(T.NZ - 1)), lambda k: k % 4 == 0), lambda k: F.struct((k * T.DZ_KM / 1000).alias("z"), F.col("v")[k].alias("a")))
+    # The 64 shells of one column, whose pairs are formed inside the row.
+    pts = F.transform(F.sequence(F.lit(0), F.lit(T.NZ - 1)), lambda k: F.struct((k * T.DZ_KM / 1000).alias("z"), F.col("v")[k].alias("a")))
     med = lambda arr: (F.array_sort(arr)[F.floor((F.size(arr) - 1) / 2).cast("int")] + F.array_sort(arr)[F.floor(F.size(arr) / 2).cast("int")]) / 2
     c = T.columns(spark, sf).select("model", "j", "i", pts.alias("p"))
     pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y["z"] > x["z"]), lambda y: (y["a"] - x["a"]) / (y["z"] - x["z"]))))

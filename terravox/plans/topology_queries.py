@@ -209,11 +209,11 @@ def _(spark, sf):
     return directed(a, b, "x").join(directed(b, a, "y"), ["model", "k"]).withColumn("share", (F.col("x") + F.col("y")) / 2)
 
 
-@query("g43_regrid_bilinear", "model:b,tj:b,ti:b,value:d", "G43", f"""
+@query("g43_regrid_bilinear", "model:b,k:b,tj:b,ti:b,value:d", "G43", f"""
 WITH {CELLS}, t AS (SELECT tj, ti, (-80.0 + 16 * tj + 85.5) / 9.0::DOUBLE AS fj, (20 * ti) / 14.4::DOUBLE AS fi FROM (SELECT unnest(range(11)) AS tj), (SELECT unnest(range(18)) AS ti)),
 c AS (SELECT tj, ti, least(18, greatest(0, floor(fj)))::BIGINT AS j0, floor(fi)::BIGINT AS i0, fj, fi FROM t),
 w AS (SELECT tj, ti, j0 + dj AS j, (i0 + di) % 25 AS i, (CASE WHEN dj = 1 THEN fj - j0 ELSE 1 - (fj - j0) END) * (CASE WHEN di = 1 THEN fi - i0 ELSE 1 - (fi - i0) END) AS w FROM c, (VALUES (0), (1)) AS a(dj), (VALUES (0), (1)) AS b(di))
-SELECT model, tj, ti, sum(w * embedding[46]::DOUBLE * 10) AS value FROM w JOIN cols AS q ON q.j = w.j AND q.i = w.i GROUP BY model, tj, ti""")
+SELECT model, k, tj, ti, sum(w * anom) AS value FROM w JOIN cells AS q ON q.j = w.j AND q.i = w.i GROUP BY model, k, tj, ti""")
 def _(spark, sf):
     # Weights are per target cell and corner (a fixed grid); each source cell looks up the few
     # targets it feeds.
@@ -227,8 +227,9 @@ def _(spark, sf):
                     wj, wi = (fj - j0 if dj else 1 - (fj - j0)), (fi - i0 if di else 1 - (fi - i0))
                     corner.append((tj, ti, j0 + dj, (i0 + di) % T.NLON, wj * wi))
     w = F.broadcast(spark.createDataFrame(corner, "tj int, ti int, j int, i int, w double"))
-    c = T.columns(spark, sf).select("model", "j", "i", F.col("v")[45].alias("a"))
-    return c.join(w, ["j", "i"]).groupBy("model", "tj", "ti").agg(F.sum(F.col("w") * F.col("a")).alias("value"))
+    c = T.columns(spark, sf).select("model", "j", "i", "v").join(w, ["j", "i"])
+    g = c.groupBy("model", "tj", "ti").agg(F.array(*[F.sum(F.col("w") * F.col("v")[k]) for k in range(T.NZ)]).alias("s"))
+    return g.select("model", "tj", "ti", F.posexplode("s").alias("k", "value"))
 
 
 # ---- axes and tubes --------------------------------------------------------------------------------
