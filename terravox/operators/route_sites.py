@@ -58,16 +58,19 @@ def cap_cells(capped: DataFrame, nlon: int) -> DataFrame:
     return c.withColumn("i", F.pmod("x", F.lit(nlon))).withColumn("o", (F.col("j") - F.col("cj0")) * (2 * w + 1) + F.col("p")).drop("p", "x")
 
 
-def cap_minimum(fields: DataFrame, capped: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+def cap_minimum(fields: DataFrame, capped: DataFrame, keys: list[str], grid: Grid, unreached: bool = False) -> DataFrame:
     """Cheapest finite value in each cap at the seed shell and the cell it is found in.
 
+    A cap without a finite value has no row, or, with ``unreached``, one with nulls.
+
     The field is filtered to one shell before it is unfolded. Caps are few (the grid bounds the
     number of distinct ones) and are broadcast after a check.
     """
     f = fields.filter(F.col("k") == grid.seed_shell()).select(*keys, "case", "j", F.posexplode("row").alias("i", "c"))
     side, _ = broadcast_if_small(cap_cells(capped.select(*CAP).distinct(), len(grid.lon)))
-    m = f.filter(F.col("c") != float("inf")).join(side, ["j", "i"])
-    g = m.groupBy(*keys, "case", *CAP).agg(F.min(F.struct("c", "o", "j", "i")).alias("b"))
+    found = F.col("c") != float("inf")
+    m = (f if unreached else f.filter(found)).join(side, ["j", "i"])
+    g = m.groupBy(*keys, "case", *CAP).agg(F.min(F.when(found, F.struct("c", "o", "j", "i"))).alias("b"))
     return g.select(*keys, "case", *CAP, F.col("b.c").alias("cost"), "b.j", "b.i")
 
 

@@ -103,7 +103,7 @@ def _(spark, sf):
     return g.join(ach, ["model", "site"]).withColumn("penalty", F.col("accepted") - F.col("achievable"))
 
 
-@query("g20_competing_route", "model:b,site:b,cost:d,alt_cost:d,margin_pct:d,charged_km:d,alt_charged_km:d,needs_slower_pct:d,is_slower_pct:d,separation_km:d,split_depth_km:d", "G20,P12,F14,F15,J15")
+@query("g20_competing_route", "model:b,site:b,cost:d,alt_reached:t,alt_cost:d,margin_pct:d,charged_km:d,alt_charged_km:d,needs_slower_pct:d,is_slower_pct:d,separation_km:d,split_depth_km:d", "G20,P12,F14,F15,J15")
 def _(spark, sf):
     """Forbid a disc around the root of each cheapest path and search again.
 
@@ -141,8 +141,9 @@ def _(spark, sf):
     a, b = at_shells(nodes), at_shells(n2).select("model", "site", "k", F.col("j").alias("j2"), F.col("i").alias("i2"))
     sep = a.join(b, ["model", "site", "k"]).withColumn("sep", geo.arc_km(lat(F.col("j")), lon(F.col("i")), lat(F.col("j2")), lon(F.col("i2"))))
     split = sep.groupBy("model", "site").agg(F.min(F.when(F.col("sep") > 300, F.col("k") * T.DZ_KM)).alias("split_depth_km"))
-    j = first.join(second, ["model", "site"]).join(split, ["model", "site"])
-    return j.select("model", "site", "cost", "alt_cost", (100 * (F.col("alt_cost") / F.col("cost") - 1)).alias("margin_pct"), "charged_km", "alt_charged_km",
+    # A site that the ban cuts off keeps its row, without figures of a second route.
+    j = first.join(second.withColumn("_alt", F.lit(True)), ["model", "site"], "left").join(split, ["model", "site"], "left")
+    return j.select("model", "site", "cost", F.coalesce("_alt", F.lit(False)).alias("alt_reached"), "alt_cost", (100 * (F.col("alt_cost") / F.col("cost") - 1)).alias("margin_pct"), "charged_km", "alt_charged_km",
                     (F.ln(F.col("alt_charged_km") / F.col("charged_km")) / case.s).alias("needs_slower_pct"), (F.col("mean_a") - F.col("alt_mean_a")).alias("is_slower_pct"),
                     geo.arc_km(lat(F.col("ej")), lon(F.col("ei")), lat(F.col("ej2")), lon(F.col("ei2"))).alias("separation_km"), "split_depth_km")
 
@@ -156,7 +157,7 @@ LEVEL_SQL = ", ".join(
 WITH RECURSIVE {BASE}, {Q.price_sql('0', CASES[0].s, CASES[0].lateral)}, {LEVEL_SQL},
 {', '.join(f"p{p} AS (SELECT * FROM p0), " + Q.field_sql(str(p), GRID.target_shell(CASES[0].z_target), CASES[0].s, CASES[0].lateral, 1, 'cost', f'z{p}') for p in LEVELS)},
 {Q.caps_sql(RADIUS)}, f AS ({' UNION ALL '.join(f'SELECT *, {p} AS level FROM f{p} WHERE k = {SEED}' for p in LEVELS)})
-SELECT f.model, f.level, ((cj0::BIGINT * 32768 + cj1) * 32768 + ci) * 32768 + cw AS site, min(c) AS cost FROM f JOIN capcells AS p ON p.j = f.j AND p.i = f.i GROUP BY f.model, f.level, cj0, cj1, ci, cw""")
+SELECT m.model, l.level, ((cj0::BIGINT * 32768 + cj1) * 32768 + ci) * 32768 + cw AS site, min(c) AS cost FROM (SELECT DISTINCT model FROM cols) AS m CROSS JOIN (SELECT unnest([35, 75, 100]) AS level) AS l CROSS JOIN capcells AS p LEFT JOIN f ON f.model = m.model AND f.level = l.level AND p.j = f.j AND p.i = f.i GROUP BY m.model, l.level, cj0, cj1, ci, cw""")
 def _(spark, sf):
     base = rows(spark, sf)
     clipped = T.columns(spark, sf).withColumn("v", F.transform("v", lambda x: F.greatest(F.lit(-R.CLIP), F.least(F.lit(R.CLIP), x))))
@@ -168,7 +169,7 @@ def _(spark, sf):
     keyed = keyed.select("model", "l.level", "j", "k", "row", F.col("cut")[F.col("k")][F.col("l.at")].alias("q"))
     ban = F.transform("row", lambda x: (F.greatest(F.lit(-R.CLIP), F.least(F.lit(R.CLIP), x)) > F.col("q")).cast("double"))
     f = R.solve(spark, keyed, ["model", "level"], GRID, CASES[:1], bans=keyed.withColumn("row", ban))
-    m = S.cap_minimum(f, S.caps(all_places(spark, sf), GRID, RADIUS), ["model", "level"], GRID)
+    m = S.cap_minimum(f, S.caps(all_places(spark, sf), GRID, RADIUS), ["model", "level"], GRID, unreached=True)
     return m.select("model", "level", S.cap_number().alias("site"), "cost")
 
 
