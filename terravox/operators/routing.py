@@ -284,9 +284,14 @@ def _banded(recs: DataFrame, lay: Layout, nlat: int) -> DataFrame:
 def grid_rows(columns: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """One row per (model, grid row, shell) holding the values along longitude.
 
-    A group is one grid row of one shell, whose size is the number of grid columns.
+    The depth columns of one grid row meet as they are and are turned over inside the row: the
+    shuffle carries one record per column, not one per value. A group is one grid row, whose size is
+    the number of grid columns.
     """
-    return grid_rows_of_cells(columns.select(*keys, "j", "i", F.posexplode(value).alias("k", "x")), keys, "x")
+    g = columns.groupBy(*keys, "j").agg(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("x")))).alias("r"))
+    shells = F.sequence(F.lit(0), F.size(F.col("r")[0]["x"]) - 1)
+    turned = F.transform(shells, lambda k: F.transform("r", lambda s: s["x"][k]))
+    return g.select(*keys, "j", F.posexplode(turned).alias("k", "row")).select(*keys, "j", "k", "row")
 
 
 def grid_rows_of_cells(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

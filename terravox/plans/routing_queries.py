@@ -55,6 +55,18 @@ SELECT model, {n} AS "case", k, j, i, c FROM f{n} AS u""")
     _make(_n, _c)
 
 
+def small_layout(case: R.Case) -> R.Layout:
+    """Rounds of four shells and bands of eight rows, as on a grid that no task could hold whole."""
+    return R.Layout(4, 8, (GRID.sidesteps(case.h_max) + case.ncell) * 5, max(GRID.spans(T.NZ - 1)))
+
+
+@query("g6_cost_field_in_bands", "model:b,case:b,k:b,j:b,i:b,c:d", "G6,D5", f"""
+WITH RECURSIVE {Q.base_sql(CASES[1].ncell)}, {chain(CASES[1], '1')}
+SELECT model, 1 AS "case", k, j, i, c FROM f1 AS u""")
+def _(spark, sf):
+    return unfolded(R.solve(spark, rows(spark, sf), ["model"], GRID, [CASES[1]], layout=small_layout(CASES[1])))
+
+
 @query("g9_site_cost", "model:b,kind:s,site:b,cost:d,j:b,i:b", "G8,G9", f"""
 WITH RECURSIVE {Q.base_sql(2)}, {T.SITES_SQL}, {chain(CASES[0], '0')}, {Q.caps_sql(RADIUS)},
 best AS (SELECT m.model, cj0, cj1, ci, cw, min(c) AS cost, arg_min(f.j, c) AS j, arg_min(f.i, c) AS i FROM (SELECT DISTINCT model FROM cols) AS m CROSS JOIN capcells AS p LEFT JOIN f0 AS f ON f.model = m.model AND p.j = f.j AND p.i = f.i AND f.k = {SEED} GROUP BY m.model, cj0, cj1, ci, cw)
@@ -90,13 +102,16 @@ def corridor_parts(spark, sf, case=CASES[0]):
     capped, table, cells = distinct_caps(spark, sf)
     cost = keep(cost_fields(spark, sf, [case]), "cost")
     units = [R.Case(n, case.s, case.z_target, case.h_max, case.lateral, case.ncell) for n in cells]
-    arr = R.solve(spark, rows(spark, sf), ["model"], GRID, units, "arrival", seeds=cells, spread=64)
+    # A model is copied only as far as models alone leave cores idle: once on large data.
+    models = T.columns(spark, sf).select("model").distinct().count()
+    spread = max(1, min(64, 2 * spark.sparkContext.defaultParallelism // max(1, models)))
+    arr = R.solve(spark, rows(spark, sf), ["model"], GRID, units, "arrival", seeds=cells, spread=spread)
     arr = keep(arr.filter(F.col("k").between(SEED, GRID.target_shell(case.z_target))), "arrivals")
     exc, best = S.excess(cost, arr, ["model"], "cap")
     return capped, table, cost, exc, best
 
 
-CORR_CASE = R.Case(0, 0.5, 900.0, 300.0, 0.6, 1)
+CORR_CASE = R.Case(0, 0.5, 2400.0, 300.0, 0.6, 1)
 CORR_K0 = GRID.target_shell(CORR_CASE.z_target)
 CORR_SQL = f"""{Q.base_sql(1)}, {T.SITES_SQL}, {chain(CORR_CASE, '0')}, {Q.caps_sql(RADIUS)},
 hot AS (SELECT DISTINCT cj0, cj1, ci, cw FROM capped WHERE kind = 'hotspot'),
