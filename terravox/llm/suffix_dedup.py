@@ -279,6 +279,8 @@ def shared_prefix(rows: list[bytes]) -> np.ndarray:
     out = np.zeros(n, np.int32)
     size = np.fromiter(map(len, rows), np.int64, n)
     width = int(size.max()) if n else 0
+    if width == 0:
+        return out
     for i in range(0, n - 1, 16384):
         part = rows[i : i + 16385]
         m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in part), np.uint8).reshape(len(part), width)
