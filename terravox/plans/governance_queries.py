@@ -70,7 +70,7 @@ def _(spark, sf):
 _ROW_TEXT = """'{"cents":' || round(o_totalprice * 100)::BIGINT || ',"day":' || date_diff('day', DATE '1970-01-01', o_orderdate::DATE) || ',"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'"""
 
 
-@query("k9_result_checksum", "n:b,sha256:s", "K9,C14", f"""
+@query("k9_result_checksum", "n:b,sha256:s", "K9", f"""
 WITH t AS (SELECT {_ROW_TEXT} AS x FROM orders), h AS (SELECT count(*) AS n, sum(('0x' || substr(sha256('a' || x), 1, 15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(sha256('b' || x), 1, 15))::BIGINT::HUGEINT) AS b FROM t)
 SELECT n, sha256(n || '-' || a || '-' || b) AS sha256 FROM h""")
 def _(spark, sf):

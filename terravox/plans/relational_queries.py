@@ -223,7 +223,7 @@ g AS (SELECT lateral_, median(rec) FILTER (WHERE zero_tilt) AS drift, median(abs
 ok AS (SELECT *, drift <= 200 AS admitted FROM g), m AS (SELECT min(error) FILTER (WHERE admitted) AS best FROM ok)"""
 
 
-@query("c8_lateral_weight_choice", "lateral_:d,drift:d,error:d,admitted:t,chosen:t", "C8,C9", f"""
+@query("c8_lateral_weight_choice", "lateral_:d,drift:d,error:d,admitted:t,chosen:t", "C8", f"""
 WITH {TILT_SQL} SELECT lateral_, drift, error, admitted, coalesce(admitted AND error <= 1.1 * best AND lateral_ = max(CASE WHEN admitted AND error <= 1.1 * best THEN lateral_ END) OVER (), false) AS chosen FROM ok, m""")
 def _(spark, sf):
     l = T.table(spark, sf, "lineitem").select((F.col("l_linenumber") / 10.0).alias("lateral_"), (F.col("l_returnflag") == "A").alias("zero"), (F.col("l_extendedprice") / 199.7).alias("rec"), "l_quantity")
@@ -383,7 +383,7 @@ def _(spark, sf):
     return r.join(n, "grp").filter(F.array_contains(pick, F.col("rn").cast("bigint"))).select("grp", "site", "value", "rn")
 
 
-@query("t23_spread_between_models", "family:b,within_gap:d,sd_between:d,ratio:d", "T23,T27", f"""
+@query("t23_spread_between_models", "family:b,within_gap:d,sd_between:d,ratio:d", "T23", f"""
 WITH {RUNS_SQL}, s AS (SELECT family, site, max(f) - min(f) AS gap, stddev_samp(f) AS sd FROM cls GROUP BY family, site)
 SELECT family, median(gap) AS within_gap, median(sd) AS sd_between, median(sd) / median(gap) AS ratio FROM s GROUP BY family""")
 def _(spark, sf):

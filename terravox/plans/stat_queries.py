@@ -62,7 +62,7 @@ def _(spark, sf):
     return St.mann_whitney(orders(spark, sf), ["grp"], "st", "F", "z").withColumn("u_thousands", F.col("u") / 1000)
 
 
-@query("t3_mann_whitney_p", "grp:s,auc:d,p_less:d,p_two_sided:d", "T3,C10,C12")
+@query("t3_mann_whitney_p", "grp:s,auc:d,p_less:d,p_two_sided:d", "T3,C12")
 def _(spark, sf):
     m = St.mann_whitney(orders(spark, sf), ["grp"], "st", "F", "z")
     shift = 0.5 / F.col("sd")
@@ -198,7 +198,7 @@ def _(spark, sf):
     return r.groupBy("grp").agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("w_plus_m"), side(F.col("d") < 0).alias("w_minus_m"))
 
 
-@query("t17_theil_sen", "model:b,j:b,i:b,slope:d,intercept:d", "T17,G35", f"""
+@query("t17_theil_sen", "model:b,j:b,i:b,slope:d,intercept:d", "T17", f"""
 WITH {T.CELLS_SQL}, p AS (SELECT a.model, a.j, a.i, (b.anom - a.anom) / (b.depth_km - a.depth_km) * 1000 AS s FROM cells AS a JOIN cells AS b ON b.model = a.model AND b.j = a.j AND b.i = a.i AND b.k > a.k),
 m AS (SELECT model, j, i, median(s) AS slope FROM p GROUP BY ALL)
 SELECT m.model, m.j, m.i, slope, median(anom - slope * depth_km / 1000) AS intercept FROM m JOIN cells AS c ON c.model = m.model AND c.j = m.j AND c.i = m.i GROUP BY ALL""")
