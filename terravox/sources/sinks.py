@@ -4,34 +4,61 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+POINTER = "_current"
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None, allow_empty: bool = False) -> None:
-    """Write next to the target and swap by rename, so readers see the old or the new table.
+    """Write a new version below ``path`` and then let the pointer file name it.
 
-    An empty result is refused: it is a failed run, not a result.
+    The pointer is replaced in one rename, so a reader (``current_table``) sees the old table or the
+    new one at any moment. An empty result is refused: it is a failed run, not a result. The version
+    that was current before is deleted last.
     """
     spark = df.sparkSession
-    part = f"{path}.part-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    version = f"version-{uuid.uuid4().hex}"
     w = df.write
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(part)
-    if not allow_empty and spark.read.parquet(part).isEmpty():
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/{version}")
+    if not allow_empty and spark.read.schema(df.schema).parquet(f"{path}/{version}").isEmpty():
         raise ValueError(f"refusing to replace {path} with an empty result")
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    kept = fs.exists(target)
-    if kept and not fs.rename(target, old):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), target):
-        if kept:
-            fs.rename(old, target)
-        raise OSError(f"cannot publish {path}")
-    if kept:
-        fs.delete(old, True)
+    before = current_version(spark, path)
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    fresh = hadoop.Path(target, f"_pointer-{uuid.uuid4().hex}")
+    out = fs.create(fresh)
+    out.writeBytes(version)
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.Path(target, POINTER)), overwrite)
+    if before:
+        fs.delete(hadoop.Path(target, before), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder that the pointer of ``path`` names, or None before the first write."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pointer = hadoop.Path(path, POINTER)
+    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return name
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replace_table`` published last."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def replace_tag(df: DataFrame, path: str, tag: str = "tag") -> None:

@@ -87,10 +87,16 @@ def test_sinks(spark, tmp_path):
     df = spark.range(5).withColumn("tag", F.lit("a"))
     sinks.replace_table(df, p)
     sinks.replace_table(df.limit(2), p)
-    assert spark.read.parquet(p).count() == 2
+    assert sinks.current_table(spark, p).count() == 2
     with pytest.raises(ValueError):
         sinks.replace_table(df.filter("id > 99"), p)
-    assert spark.read.parquet(p).count() == 2
+    assert sinks.current_table(spark, p).count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.current_table(spark, str(tmp_path / "none"))
+    sinks.csv_export(df, str(tmp_path / "csv"))
+    sinks.json_export(df, str(tmp_path / "json"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "json")).collect()) == [0, 1, 2, 3, 4]
     q = str(tmp_path / "tags")
     sinks.replace_tag(df.unionByName(df.withColumn("tag", F.lit("b"))), q)
     sinks.replace_tag(df.limit(1), q)
