@@ -50,8 +50,8 @@ def shell_percentiles(cells: DataFrame, probs: dict[str, float], value: str = "a
     return cells.groupBy("model", "k").agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
 
 
-def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
-    """Quantile on mid-point cumulative weights with linear interpolation and clamped ends.
+def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles, all in one pass, on mid-point cumulative weights with linear interpolation and clamped ends.
 
     Keys must name groups of bounded size (a shell of one model).
     """
@@ -62,16 +62,14 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, p
     p = df.select(*keys, F.col(value).alias("_v"), pos.alias("_p"), F.struct(value, *[c for c in ("j", "i") if c in df.columns]).alias("_o"))
     w2 = Window.partitionBy(*keys).orderBy("_o")
     p = p.select("*", F.lead("_v").over(w2).alias("_v1"), F.lead("_p").over(w2).alias("_p1"), F.lag("_p").over(w2).alias("_p0"))
-    q = F.lit(prob)
-    hit = (
-        F.when(F.col("_p0").isNull() & (q <= F.col("_p")), F.col("_v"))
-        .when(F.col("_p1").isNull() & (q >= F.col("_p")), F.col("_v"))
-        .when(
-            (q >= F.col("_p")) & (q < F.col("_p1")),
-            F.col("_v") + (F.col("_v1") - F.col("_v")) * (q - F.col("_p")) / (F.col("_p1") - F.col("_p")),
-        )
-    )
-    return p.groupBy(*keys).agg(F.max(hit).alias(name))
+
+    def hit(prob: float) -> Column:
+        q = F.lit(prob)
+        between = F.col("_v") + (F.col("_v1") - F.col("_v")) * (q - F.col("_p")) / (F.col("_p1") - F.col("_p"))
+        at_end = (F.col("_p0").isNull() & (q <= F.col("_p"))) | (F.col("_p1").isNull() & (q >= F.col("_p")))
+        return F.when(at_end, F.col("_v")).when((q >= F.col("_p")) & (q < F.col("_p1")), between)
+
+    return p.groupBy(*keys).agg(*[F.max(hit(prob)).alias(name) for name, prob in probs.items()])
 
 
 def area_weight(lat: Column) -> Column:

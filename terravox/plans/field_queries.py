@@ -238,9 +238,7 @@ SELECT model, k,
 FROM n GROUP BY model, k""")
 def _(spark, sf):
     c = T.cells(spark, sf).withColumn("w", fields.area_weight(F.col("lat")))
-    a = fields.weighted_quantile(c, ["model", "k"], "anom", "w", 0.1, "q10")
-    b = fields.weighted_quantile(c, ["model", "k"], "anom", "w", 0.5, "q50")
-    return a.join(b, ["model", "k"])
+    return fields.weighted_quantile(c, ["model", "k"], "anom", "w", {"q10": 0.1, "q50": 0.5})
 
 
 @query("a9_weighted_shell_comparison", "k:b,n:b,mean_w:d,rms:d,corr_w:d,rms_north:d,rms_south:d", "A9,C23,A15", f"""

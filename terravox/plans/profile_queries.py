@@ -177,8 +177,7 @@ FROM n GROUP BY model, k""")
 def _(spark, sf):
     c = T.cells(spark, sf).filter("anom < -1").withColumn("w", fields.area_weight(F.col("lat")) * -F.col("anom"))
     c = c.withColumn("r", F.round(geo.arc_km(F.lit(0.0), F.lit(0.0), F.col("lat"), F.col("lon")), 9))
-    a = fields.weighted_quantile(c, ["model", "k"], "r", "w", 0.5, "r50")
-    return a.join(fields.weighted_quantile(c, ["model", "k"], "r", "w", 0.9, "r90"), ["model", "k"])
+    return fields.weighted_quantile(c, ["model", "k"], "r", "w", {"r50": 0.5, "r90": 0.9})
 
 
 @query("a19_family_votes", "model:b,j:b,i:b,votes:b,majority:t", "A19,D14", f"""
