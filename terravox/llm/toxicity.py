@@ -41,7 +41,7 @@ EPOCHS = 12
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.3
 #: Words whose hash a task remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

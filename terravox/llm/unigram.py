@@ -31,7 +31,9 @@ from terravox.llm.common import map_texts
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Segments a task remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+#: Segments encoded at once, which bounds the arrays of their lattices.
+TOGETHER = 12_000
 #: Segments longer than this are cut by a plain loop, shorter ones together as arrays.
 LONG = 192
 #: Places that the builder of the double array tries together.
@@ -298,8 +300,8 @@ class Encoder:
             self._clear()
         parts = [self._segments(t) for t in texts]
         fresh = list(dict.fromkeys(w for ws in parts for w in ws if w not in self.seen))
-        if fresh:
-            self._learn(fresh)
+        for i in range(0, len(fresh), TOGETHER):
+            self._learn(fresh[i : i + TOGETHER])
         look = self.seen
         number = np.array([look[w] for ws in parts for w in ws], np.int64)
         text_of = np.repeat(np.arange(len(texts)), [len(ws) for ws in parts])
@@ -353,7 +355,7 @@ def encode_texts(spark: SparkSession, df: DataFrame, passed: list[str], text: st
             pa.array([a == b for a, b in zip(raws, back)]),
         ]
 
-    return map_texts(df, passed, text, "ids array<int>, n_pieces bigint, n_bytes bigint, round_trip boolean", run, setup=setup, chunk_bytes=4 << 20)
+    return map_texts(df, passed, text, "ids array<int>, n_pieces bigint, n_bytes bigint, round_trip boolean", run, setup=setup, chunk_bytes=2 << 20)
 
 
 def decode_ids(spark: SparkSession, df: DataFrame, passed: list[str], ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
