@@ -253,6 +253,57 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leak_search.leaks(d, bench).collect()} == {(i, i) for i in range(9)}
 
 
+def test_full_block_of_items_is_found_among_many_documents(spark):
+    """4,000 items share a space; copies whole or edited, between words that no item has, are all found."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [vocab[int(3000 * rng.random() ** 3)] for _ in range(n)]
+    other = lambda n: [f"o{rng.randrange(5000)}" for _ in range(n)]
+    items = [(draw(n := rng.randint(12, 48)), draw(n // 4 + 2)) for _ in range(leak_search.BLOCK)]
+    bench = spark.createDataFrame([(i, " ".join(a) + ". " + " ".join(b) + ".") for i, (a, b) in enumerate(items)], "item_id bigint, text string")
+    texts = []
+    for i, (a, b) in enumerate(items[:600]):
+        if i % 2:  # every fourth word of the first sentence is replaced or gone
+            a = [w if k % 4 else other(1)[0] for k, w in enumerate(a) if k % 8]
+        texts.append(" ".join(other(rng.randint(0, 70)) + a + b + other(rng.randint(0, 70))))
+    texts += [" ".join(other(80)) for _ in range(2400)]
+    got = {(r.doc_id, r.item_id) for r in leak_search.leaks(docs(spark, texts), bench).collect()}
+    assert {(i, i) for i in range(600)} <= got
+    assert all(d < 600 for d, _ in got)
+
+
+def test_candidates_do_not_need_the_space(monkeypatch):
+    """Without any cosine, and with few meetings sorted at once, what an exhaustive walk finds is found."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    items = leak_search.read_items(rows)
+    counts = np.bincount([t for w in items.words for t in set(w)], minlength=len(items.terms) + 1)
+    space = leak_search.Space(np.log(100 / (1.0 + counts)), np.zeros((len(counts), 2), np.float32), np.zeros((60, 2), np.float32))
+    texts = []
+    for k in range(80):
+        w = rows[k % 60][1].split()
+        cut = [x for x in w if rng.random() > 0.1] or w
+        texts.append(" ".join(["o"] * rng.randint(0, 90) + cut + [f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 60))]).encode())
+    m = leak_search.Matcher(items, space, 9.0, leak_search.SHARE)
+    want = set()
+    for d, raw in enumerate(texts):
+        words = [items.terms.get(w, 0) for w in raw.split()]
+        for i, own in enumerate(items.words):
+            n = len(own)
+            for a in range(len(words)):
+                part = words[a : a + n + n // 4]
+                if leak_search.lcs(m.masks[i], n, part) / n >= m.share and len(m.answers[i].intersection(part)) / len(m.answers[i]) >= 0.5:
+                    want.add((d, i))
+                    break
+    for meetings in (1, 50, leak_search.MEETINGS):
+        monkeypatch.setattr(leak_search, "MEETINGS", meetings)
+        place, item = m.rare_meetings(*(lambda t, s: (t, np.repeat(np.arange(len(s)), s)))(*leak_search.term_numbers(texts, items.terms)))
+        ends = np.cumsum([len(x.split()) for x in texts])
+        assert want <= {(int(np.searchsorted(ends, p, "right")), int(i)) for p, i in zip(place, item)}
+    got = {(d, h["item_id"]) for d, found in enumerate(m(texts)) for h in found}
+    assert len(want) > 60 and want <= got
+
+
 def test_lcs_by_bits():
     rng = random.Random(1)
     for _ in range(200):
