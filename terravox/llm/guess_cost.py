@@ -178,6 +178,16 @@ def guess_cost(value: str) -> float:
     return sum(_piece(value[i : i + PIECE])[0] for i in range(0, len(value), PIECE)) / LN10
 
 
+def costs_at_least(value: str, cost: float) -> bool:
+    """Whether ``guess_cost(value) >= cost``; a long value is read only until the sum of its pieces gets there."""
+    total = 0.0
+    for i in range(0, len(value), PIECE):
+        total += guess_cost(value[i : i + PIECE])
+        if total >= cost:
+            return True
+    return total >= cost
+
+
 def cheapest_cut(value: str) -> list[tuple[int, int, str]]:
     """The segments (start, end, kind) of the cheapest reading."""
     return [(a + i, b + i, kind) for i in range(0, len(value), PIECE) for a, b, kind in _piece(value[i : i + PIECE])[1]]

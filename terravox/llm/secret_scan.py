@@ -2,7 +2,8 @@
 
 Kinds, in the order in which spans of one start are listed: ``assign`` (a key word, a sign and a value
 of 12 or more characters), ``access`` (an access key id), ``hex`` (16 or more hex digits), and the
-method's own ``guess``: a value in a wider credential context whose guess cost is at least
+method's own ``guess``: a value in a wider credential context, of any length, or a password in an
+address, whose guess cost is at least
 ``MIN_COST``. Words, dates, keyboard walks and repeats are cheap, so that placeholders and weak
 examples stay. Matches are leftmost and do not overlap within a kind; offsets are code points, ends
 exclusive.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.common import fresh, map_texts
-from terravox.llm.guess_cost import guess_cost
+from terravox.llm.guess_cost import costs_at_least
 
 #: Decimal logarithm of guesses from which a value in credential context counts as a secret.
 MIN_COST = 8.0
@@ -32,11 +33,13 @@ _KEY = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][c
 ASSIGN = re.compile(_KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Wider context: more key words, values in quotes with any sign, credentials in an address.
+#: Wider context: more key words, values in quotes with any sign; values of any length.
 CONTEXT = re.compile(
-    r"""(?:passphrase|password|passwd|pwd|pass|secret[_-]?key|secret|token|auth|bearer|credentials?|private[_-]?key|access[_-]?key|api[_-]?key)["']?\x20*(?:[:=]\x20*|\x20is\x20|\x20)(?:"([^"\n]{8,256})"|'([^'\n]{8,256})'|([^\s"'<>,;]{8,256}))""",
+    r"""(?:passphrase|password|passwd|pwd|pass|secret[_-]?key|secret|token|auth|bearer|credentials?|private[_-]?key|access[_-]?key|api[_-]?key)["']?\x20*(?:[:=]\x20*|\x20is\x20|\x20)(?:"([^"\n]{8,})"|'([^'\n]{8,})'|([^\s"'<>,;]{8,}))""",
     re.I | re.A,
 )
+#: Credentials in an address, scheme://user:password@host; only what ends at the sign @ is a password.
+ADDRESS = re.compile(r"""(?<=[A-Za-z0-9+.-])://[^\s:/?#@"'<>]*:([^\s/?#@"'<>]+)@""", re.A)
 HINTS = ("pass", "pwd", "secret", "token", "auth", "bearer", "credential", "private", "access", "api")
 KINDS = ("assign", "access", "hex", "guess")
 OUT = "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string"
@@ -57,18 +60,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def guessed_spans(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int, int]]:
     """Spans of values in credential context whose cheapest reading takes many guesses."""
     low = text.lower()
-    if not any(h in low for h in HINTS):
-        return []
     out = []
-    for m in CONTEXT.finditer(text):
+    if "://" in text:
+        out += [(m.start(1), m.end(1)) for m in ADDRESS.finditer(text) if costs_at_least(m.group(1), min_cost)]
+    for m in CONTEXT.finditer(text) if any(h in low for h in HINTS) else ():
         g = m.lastindex
         value = m.group(g)
         # A bare value after a blank is a sentence more often than a secret: it has to mix characters.
         if g == 3 and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
-        if guess_cost(value) >= min_cost:
-            out.append((m.start(g), 3, m.end(g)))
-    return out
+        if costs_at_least(value, min_cost):
+            out.append((m.start(g), m.end(g)))
+    merged: list[tuple[int, int, int]] = []
+    for a, b in sorted(out):  # a value and a password in an address may share characters
+        if merged and a < merged[-1][2]:
+            merged[-1] = (merged[-1][0], 3, max(b, merged[-1][2]))
+        else:
+            merged.append((a, 3, b))
+    return merged
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

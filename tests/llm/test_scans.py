@@ -78,6 +78,26 @@ def test_weak_values_stay_and_strong_ones_are_found(spark):
     assert guess_cost.guess_cost("") == 0 and 200 < guess_cost.guess_cost("x" * 5000) < 79 * 3
 
 
+@pytest.mark.parametrize("n", [256, 257, 600, 5000, 1_000_000])
+def test_long_values_are_taken_whole(n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*+-_") for _ in range(n))
+    for before, after in (("Authorization: Bearer ", " end"), ('private_key = "', '" end'), ("access-key: '", "' end"), ("auth=", "\n"), ("ftp://me:", "@host/a")):
+        text = f"first {before}{value}{after}"
+        a = len("first " + before)
+        assert secret_scan.guessed_spans(text) == [(a, 3, a + n)], before
+        assert secret_scan.redacted(text) == (f"first {before}{secret_scan.MARK}{after}", 1)
+
+
+def test_credentials_in_an_address():
+    found = lambda t: [t[a:b] for a, _, b in secret_scan.guessed_spans(t)]
+    assert found("see postgres://app:g7Kq-pX2v_Lz@host:5432/db now") == ["g7Kq-pX2v_Lz"]
+    assert found("https://:g7Kq:pX2v,Lz@host and http://h:8080/g7KqpX2vLz@x") == ["g7Kq:pX2v,Lz"]
+    # A weak one stays; one inside a value, or reaching over its end, becomes one span with it.
+    assert found("postgres://app:pw@host") == []
+    assert found("password=ftp://me:g7Kq;pX2v_Lz@host") == ["ftp://me:g7Kq;pX2v_Lz"]
+
+
 def test_redaction(spark):
     texts = ["a token = 0123456789abcdef0123 b", "clean", *ODD]
     d = docs(spark, texts)
