@@ -15,6 +15,7 @@ from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
 from terravox.llm.simhash import near_duplicates
 from terravox.llm.suffix_dedup import repeated_passages
+from terravox.llm.token_counts import count_tokens
 from terravox.llm.toxicity import judge
 from terravox.llm.unigram import encode_texts
 from terravox.llm.url_filter import judge_urls, labelled_urls
@@ -61,8 +62,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(spark, table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece, op11_token_counts)
 }
 #: DuckDB SQL of the queries that SQL can say.
 SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL}
