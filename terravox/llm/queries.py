@@ -10,6 +10,8 @@ from terravox.llm.ann import nearest
 from terravox.llm.chat_format import SQL as CHAT_SQL
 from terravox.llm.chat_format import perspectives
 from terravox.llm.common import table
+from terravox.llm.filter_audit import SQL as AUDIT_SQL
+from terravox.llm.filter_audit import audit
 from terravox.llm.leak_search import leaks
 from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
@@ -66,8 +68,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece, op11_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece, op11_token_counts, op12_filter_audit)
 }
 #: DuckDB SQL of the queries that SQL can say.
-SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL}
+SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL, "op12_filter_audit": AUDIT_SQL}

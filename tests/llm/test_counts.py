@@ -6,7 +6,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from terravox.llm import token_counts
+from terravox.llm import filter_audit, token_counts
 from test_scans import DOCS, ODD, docs
 
 # ---- token counts ------------------------------------------------------------------------------
@@ -91,3 +91,81 @@ def test_questions_are_answered_from_the_table(spark, library):
         assert found[0, b] == max(n for n, k in enumerate(plain) if k <= b)
         assert found[1, b] == found[2, b] == 0
     assert found[3, 50_000] == len(texts[3]) and 0 < found[3, 20] <= 105
+
+
+# ---- filter audit ------------------------------------------------------------------------------
+
+
+def plain_audit(rows, marks):
+    """Filters applied one after the other to lists of rows."""
+    good = {d for d, q, t in marks if q == 1 and d is not None}
+    toxic = {d for d, q, t in marks if t == 1 and d is not None}
+
+    def failures(d, text):
+        w = [x for x in text.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
+        out = set()
+        if len(w) < 100:
+            out.add("A")
+        if 100 * len(set(w)) < 80 * len(w):
+            out.add("B")
+        if 100 * sum("A" <= c <= "Z" for c in text) > 10 * len(text):
+            out.add("C")
+        if any(c in text for c in "#$%&*|"):
+            out.add("D")
+        if d is not None and any(e is not None and e < d and (t or "") == text for e, t, _ in rows):
+            out.add("E")
+        return out
+
+    judged = [(d, lang or "", failures(d, t or "")) for d, t, lang in rows]
+    out = {}
+    for part in {j[1] for j in judged}:
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left, gone = [j for j in judged if j[1] == part], []
+            for step, f in enumerate(order, 1):
+                hit = [j for j in left if f in j[2]]
+                earlier = [j for j in gone if f in j[2]]
+                left = [j for j in left if f not in j[2]]
+                only = [j for j in judged if j[1] == part and j[2] == {f}]
+                out[part, "".join(order), step] = [len(left), len(hit), len(earlier), len(only), sum(j[0] in good for j in hit), sum(j[0] in toxic for j in hit)]
+                shapley[f] += len(hit)
+                gone += hit
+        for order in permutations("ABCDE"):
+            for step, f in enumerate(order, 1):
+                out[part, "".join(order), step].append(shapley[f])
+    return out
+
+
+def test_filter_audit_against_lists(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \t\n\x0b\x0c\r ", "AB c", "x # y", " ".join(words[:120]), "É" * 50]
+    for _ in range(60):
+        n = rng.choice((20, 99, 100, 130))
+        t = rng.choice(" \t\n").join(rng.choice(words[: rng.choice((60, 400))]) for _ in range(n))
+        texts.append(t.upper() if rng.random() < 0.2 else t + rng.choice(("", "", " #", "|")))
+    texts += rng.choices(texts, k=80) + [texts[9]] * 40  # a text that a fifth of the rows share
+    ids = [rng.choice((i, i, i, 5, None)) for i in range(len(texts))]
+    langs = [rng.choice(("en", "en", "de", None, "")) for _ in texts]
+    rows = list(zip(ids, texts, langs))
+    marks = [(i, rng.choice((0, 1, None)), rng.choice((0, 1, None))) for i in (*range(0, len(texts), 2), 4, 4, None)]
+    docs_ = spark.createDataFrame([(d, t, a, 1, "x") for d, t, a in rows], "doc_id bigint, text string, lang string, mask int, part string")
+    labels = spark.createDataFrame([(d, q, t, 9) for d, q, t in marks], "doc_id bigint, quality int, toxic int, n int")
+    got = filter_audit.audit(docs_, labels)
+    assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    found = {tuple(r[:3]): list(r[3:]) for r in got.collect()}
+    want = plain_audit(rows, marks)
+    assert len(want) == 600 * 3
+    assert found == want
+    assert filter_audit.audit(docs_.filter("false"), labels).count() == 0
+    assert {r.good_lost for r in filter_audit.audit(docs_, labels.filter("false")).collect()} == {0}
+
+
+def test_survivors_of_every_subset():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 6):
+        masks = rng.integers(0, 1 << n, 50)
+        counts = rng.integers(0, 9, (50, 2))
+        left = filter_audit.survivors(masks, counts, n)
+        for s in range(1 << n):
+            assert left[s].tolist() == counts[(masks & s) == 0].sum(axis=0).tolist()
