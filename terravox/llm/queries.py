@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terravox.llm.ann import nearest
 from terravox.llm.chat_format import SQL as CHAT_SQL
@@ -12,6 +13,8 @@ from terravox.llm.chat_format import perspectives
 from terravox.llm.common import table
 from terravox.llm.filter_audit import SQL as AUDIT_SQL
 from terravox.llm.filter_audit import audit
+from terravox.llm.hard_negatives import SQL as NEGATIVES_SQL
+from terravox.llm.hard_negatives import mine
 from terravox.llm.leak_search import leaks
 from terravox.llm.license_scan import scan_licenses
 from terravox.llm.secret_scan import scan_secrets
@@ -72,8 +75,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    # As the contract asks, every seventh row is given the next label.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece, op11_token_counts, op12_filter_audit)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_approximate_neighbours, op4_url_filter, op5_toxicity, op6_benchmark_decontamination, op7_chat_perspectives, op8_simhash_near_duplicates, op9_suffix_dedup, op10_sentencepiece, op11_token_counts, op12_filter_audit, op13_hard_negatives)
 }
 #: DuckDB SQL of the queries that SQL can say.
-SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL, "op12_filter_audit": AUDIT_SQL}
+SQL: dict[str, str] = {"op7_chat_perspectives": CHAT_SQL, "op12_filter_audit": AUDIT_SQL, "op13_hard_negatives": NEGATIVES_SQL}

@@ -6,7 +6,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from terravox.llm import filter_audit, token_counts
+from terravox.llm import filter_audit, hard_negatives, token_counts
 from test_scans import DOCS, ODD, docs
 
 # ---- token counts ------------------------------------------------------------------------------
@@ -169,3 +169,83 @@ def test_survivors_of_every_subset():
         left = filter_audit.survivors(masks, counts, n)
         for s in range(1 << n):
             assert left[s].tolist() == counts[(masks & s) == 0].sum(axis=0).tolist()
+
+
+# ---- hard negatives ----------------------------------------------------------------------------
+
+
+def test_neighbours_on_the_curve_are_neighbours_in_space():
+    for dims, bits in ((1, 5), (2, 4), (3, 3), (5, 2), (8, 1)):
+        side = 1 << bits
+        points = np.array(np.meshgrid(*[range(side)] * dims)).reshape(dims, -1).T
+        keys = hard_negatives.hilbert(points, bits)
+        assert sorted(keys.tolist()) == list(range(side**dims))
+        walk = points[np.argsort(keys)]
+        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all(), (dims, bits)
+
+
+def plain_negatives(rows, positives=5, negatives=3, every=50):
+    whole = [(i, a, [int(np.floor(256 * x)) for x in v]) for i, v, a in rows]
+    score = lambda x, y: sum(p * q for p, q in zip(x, y))
+    out = []
+    for i, a, v in whole:
+        if i % every:
+            continue
+        every_score = sorted((-score(v, w), j, b) for j, b, w in whole if j != i)
+        for p, j, _ in [x for x in every_score if x[2] == a][:positives]:
+            fits = [x for x in every_score if x[2] != a and 50 * -p <= 100 * -x[0] <= 95 * -p][:negatives]
+            out += [(i, j, n, x[1], -p, -x[0]) for n, x in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def embedded(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [x if x is None else float(x) for x in v], a, 1, 2.0) for i, v, a in rows], "vec_id bigint, embedding array<double>, label int, rank int, score double")
+
+
+def mined(spark, rows, **kw):
+    df = hard_negatives.mine(embedded(spark, rows), **kw)
+    assert df.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(map(tuple, df.collect()))
+
+
+def test_hard_negatives_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 12))
+    v = centres[rng.integers(0, 6, 900)] + 0.4 * rng.standard_normal((900, 12))
+    v[100:400] = v[99]  # a vector that a third of all rows have: ties
+    v[500:520] = 0.0
+    v[600:640] *= -1
+    rows = [(i, x.tolist(), int(rng.integers(0, 4))) for i, x in enumerate(v)]
+    odd = [(1000, None, 1), (1050, [None] + [1.0] * 11, 1), (1100, [float("nan")] * 12, 1), (1150, [float("-inf")] * 12, 1), (1200, v[3].tolist(), None), (None, v[3].tolist(), 1), (1250, [1.0], 1), (1300, [], 1)]
+    want = plain_negatives(rows)
+    assert len(want) > 100
+    assert mined(spark, rows + odd) == want
+    assert mined(spark, rows + odd, wave=7) == want
+
+
+def test_hard_negatives_of_few_rows_and_large_numbers(spark):
+    assert mined(spark, [(0, [1.0], 1)]) == []
+    assert hard_negatives.mine(embedded(spark, [(0, [1.0], 1)]).filter("false")).count() == 0
+    few = [(0, [1.0, 0.5], 1), (1, [1.0, 1.0], 1), (2, [0.9, 0.4], 2), (3, [0.7, 0.7], 3), (50, [-1.0, 0.0], 2)]
+    assert mined(spark, few) == plain_negatives(few) != []
+    rng = np.random.default_rng(10)
+    for size in (200.0, 1e6, 3e6):  # stored in two, four and eight bytes, the last beyond doubles
+        big = [(i, (size * rng.standard_normal(4)).tolist(), int(i % 3)) for i in range(120)]
+        assert mined(spark, big) == plain_negatives(big) != []
+    assert mined(spark, [(i, [1e308, 1.0], i % 2) for i in range(60)]) == []  # equal scores are above every window
+
+
+def test_bounds_leave_blocks_unread(spark):
+    rng = np.random.default_rng(11)
+    centres = 3 * rng.standard_normal((20, 6))
+    which = rng.integers(0, 20, 8000)
+    v = np.floor(256 * (centres[which] + 0.05 * rng.standard_normal((8000, 6))))
+    numbers = hard_negatives.Numbers(6, int(np.abs(v).max()))
+    order = np.argsort(which, kind="stable")
+    a = hard_negatives.Asked(numbers, True, np.array([0]), np.array([1]), [v[0].astype(numbers.stored).tobytes()], np.array([0]), np.array([-np.inf]), np.array([np.inf]), 5)
+    a.start()
+    for i in range(0, 8000, 256):
+        w, ids = v[order[i : i + 256]], order[i : i + 256] + 1
+        a.add({"one_label": None, "low": w.min(0).tolist(), "high": w.max(0).tolist(), "ids": ids.tolist(), "labels": [1] * len(ids), "v": w.astype(numbers.stored).tobytes()})
+    assert sorted(-s for s, _ in a.found[0]) == sorted((v @ v[0]))[-5:]
+    assert a.read < 0.5 * a.met
