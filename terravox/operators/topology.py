@@ -7,6 +7,7 @@ work on one shell at a time.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -106,104 +107,33 @@ def _ring_matrix(n: int, sigma: float) -> np.ndarray:
     return first[(here[None, :] - here[:, None]) % n]
 
 
-def smooth(rows: DataFrame, keys: list[str], lat: list[float], dlon: float, sigma_km: float, value: str = "row") -> DataFrame:
-    """Normalised Gaussian background of each shell: rows to the nearest edge, columns as a ring, the
-    longitude width growing towards the poles."""
-    nlat = len(lat)
-    per_degree = math.radians(1.0) * geo.EARTH_KM
-    down = _edge_matrix(nlat, sigma_km / (abs(lat[1] - lat[0]) * per_degree))
-    # Width in columns of each row, before the ring's length bounds it.
-    width = [sigma_km / (dlon * per_degree * max(math.cos(math.radians(x)), geo.CELL_COS_FLOOR)) for x in lat]
-
-    def kernel(key, t):
-        nlon = len(t.column("row")[0])
-        a = _shell(t, nlat, nlon)
-        seen = np.isfinite(a)
-        value, weight = (down @ x for x in (np.where(seen, a, 0.0), seen.astype(float)))
-        for j in range(nlat):
-            around = _ring_matrix(nlon, min(width[j], nlon * WIDEST))
-            value[j], weight[j] = around @ value[j], around @ weight[j]
-        bg = np.divide(value, weight, out=np.full_like(value, np.nan), where=weight > 1e-3)
-        cols = {k: pa.array([v.as_py()] * nlat, t.schema.field(k).type) for k, v in zip([*keys, "k"], key)}
-        cols["j"] = pa.array(np.arange(nlat), pa.int32())
-        cols["background"] = pa.ListArray.from_arrays(pa.array(np.arange(nlat + 1) * nlon, pa.int32()), pa.array(bg.ravel(), pa.float64()))
-        return pa.table(cols)
-
-    head = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "k"])
-    return rows.groupBy(*keys, "k").applyInArrow(kernel, f"{head}, j int, i int, label int, a double")
-
-
-def lobes(cells: DataFrame, keys: list[str], lat: Column, lon: Column) -> DataFrame:
-    """Area (in units of cos latitude), centre on the sphere, amplitudes and size of each region."""
-    w = F.cos(F.radians(lat))
-    x, y, z = geo.unit_xyz(lat, lon)
-    g = cells.groupBy(*keys, "k", "label").agg(
-        F.count("*").alias("n"), F.sum(w).alias("area"), F.min("a").alias("amp_min"), F.avg("a").alias("amp_mean"),
-        F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * z).alias("z"))
-    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return g.select(*keys, "k", "label", "n", "area", F.degrees(F.asin(F.col("z") / r)).alias("lat"), F.degrees(F.atan2("y", "x")).alias("lon"), "amp_min", "amp_mean")
-
-
-def overlap_links(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Regions of neighbouring shells that share a map cell: ``keys, k, a, b`` (b one shell deeper)."""
-    up = cells.select(*keys, "k", "j", "i", F.col("label").alias("a"))
-    down = cells.select(*keys, (F.col("k") - 1).alias("k"), "j", "i", F.col("label").alias("b"))
-    return up.join(down, [*keys, "k", "j", "i"]).select(*keys, "k", "a", "b").distinct()
-
-
-def _bell(sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and weights, adding up to one, of a Gaussian cut at ``TRUNCATE`` sigmas."""
-    offset = np.arange(-int(TRUNCATE * sigma + 0.5), int(TRUNCATE * sigma + 0.5) + 1)
-    bell = np.exp(-(offset**2) / (2.0 * sigma**2))
-    return offset, bell / bell.sum()
-
-
-def _edge_matrix(n: int, sigma: float) -> np.ndarray:
-    """Smoothing along a line as a matrix: what lies beyond an end is the end itself."""
-    offset, bell = _bell(sigma)
-    m = np.zeros((n, n))
-    here = np.arange(n)
-    for o, w in zip(offset.tolist(), bell.tolist()):
-        m[here, np.clip(here + o, 0, n - 1)] += w
-    return m
+class Smoother:
+    """Gaussian smoothing of shells (the last two axes) by a length in km: rows to the nearest edge, columns
+    as a ring, the longitude width growing towards the poles. It is linear, so what is added to a shell
+    can be smoothed on its own."""
 
+    def __init__(self, lat: Sequence[float], dlon: float, nlon: int, sigma_km: float):
+        per_degree = math.radians(1.0) * geo.EARTH_KM
+        self.down = _edge_matrix(len(lat), sigma_km / (abs(lat[1] - lat[0]) * per_degree))
+        # Width in columns of each row, up to a share of the ring.
+        width = [sigma_km / (dlon * per_degree * max(math.cos(math.radians(x)), geo.CELL_COS_FLOOR)) for x in lat]
+        self.around = np.stack([_ring_matrix(nlon, min(w, nlon * WIDEST)) for w in width])
 
-def _ring_matrix(n: int, sigma: float) -> np.ndarray:
-    """Smoothing around a ring as a circulant matrix."""
-    offset, bell = _bell(sigma)
-    first = np.bincount(offset % n, weights=bell, minlength=n)
-    here = np.arange(n)
-    return first[(here[None, :] - here[:, None]) % n]
+    def __call__(self, a: np.ndarray) -> np.ndarray:
+        return np.einsum("jxi,...ji->...jx", self.around, self.down @ a)
 
 
 def smooth(rows: DataFrame, keys: list[str], lat: list[float], dlon: float, sigma_km: float, value: str = "row") -> DataFrame:
-    """Normalised Gaussian background of each shell: rows to the nearest edge, columns as a ring, the
-    longitude width growing towards the poles."""
+    """Normalised Gaussian background of each shell: missing values have no weight."""
     nlat = len(lat)
-    km = math.pi * geo.EARTH_KM / 180.0
-    dlat = abs(lat[1] - lat[0])
-
-    def weights(sigma):
-        r = int(TRUNCATE * sigma + 0.5)
-        w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-        return r, w / w.sum()
 
     def kernel(key, t):
         nlon = len(t.column("row")[0])
         a = _shell(t, nlat, nlon)
         seen = np.isfinite(a)
-        both = np.stack([np.where(seen, a, 0.0), seen.astype(float)])
-        r, w = weights(sigma_km / (dlat * km))
-        at = np.clip(np.arange(nlat)[:, None] + np.arange(-r, r + 1), 0, nlat - 1)
-        both = np.einsum("bjoi,o->bji", both[:, at], w)
-        out = np.empty_like(both)
-        for j in range(nlat):
-            s = min(sigma_km / (dlon * km * max(math.cos(math.radians(lat[j])), geo.CELL_COS_FLOOR)), nlon * WIDEST)
-            r, w = weights(s)
-            at = (np.arange(nlon)[:, None] + np.arange(-r, r + 1)) % nlon
-            out[:, j] = np.einsum("bio,o->bi", both[:, j][:, at], w)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            bg = np.where(out[1] > 1e-3, out[0] / out[1], np.nan)
+        smoother = Smoother(lat, dlon, nlon, sigma_km)
+        weight = smoother(seen.astype(float))
+        bg = np.divide(smoother(np.where(seen, a, 0.0)), weight, out=np.full_like(weight, np.nan), where=weight > 1e-3)
         cols = {k: pa.array([v.as_py()] * nlat, t.schema.field(k).type) for k, v in zip([*keys, "k"], key)}
         cols["j"] = pa.array(np.arange(nlat), pa.int32())
         cols["background"] = pa.ListArray.from_arrays(pa.array(np.arange(nlat + 1) * nlon, pa.int32()), pa.array(bg.ravel(), pa.float64()))

@@ -186,7 +186,7 @@ WITH {CELLS}, {T.SITES_SQL}, ix AS (
   SELECT kind, site, least(19, greatest(0, ceil((lat + 90 - 4.5) / 9 - 0.5)))::BIGINT AS j,
          ((ceil(round((lon + 180) / 14.4, 9) - 0.5)::BIGINT % 25) + 25) % 25 AS i FROM places)
 SELECT kind, site, c.model, ix.j, ix.i, embedding[10]::DOUBLE * 10 AS anom_400, embedding[45]::DOUBLE * 10 AS anom_2000
-FROM ix JOIN cols AS c ON c.j = ix.j AND c.i = ix.i""")
+FROM ix JOIN cols AS c ON c.j = ix.j AND c.i = ix.i""", every="kind")
 def _(spark, sf):
     # On a regular grid the nearest cell is index arithmetic (a half-way point goes to the lower
     # index); the places are at most 3,600 per kind and are broadcast after a check.
@@ -207,7 +207,7 @@ def _(spark, sf):
 WITH {CELLS}, {T.SITES_SQL}, h AS (SELECT site, lat AS slat, lon AS slon FROM places WHERE kind = 'hotspot')
 SELECT site, model, k, count(*) AS n_cells, min(anom) AS min_anom FROM h JOIN cells
   ON abs(lat - slat) <= 20 AND abs(((lon - slon + 180) % 360 + 360) % 360 - 180) <= 20 / greatest(cos(radians(slat)), 0.25::DOUBLE)
-GROUP BY site, model, k""")
+GROUP BY site, model, k""", every="hotspot")
 def _(spark, sf):
     from terravox.operators.scaling import broadcast_if_small
 

@@ -24,7 +24,7 @@ def _(spark, sf):
 
 
 @query("c31_sites_far_from_hotspots", "site:b,lat:d,lon:d,n_sites:b", "C31,J6,J9", f"""
-WITH {T.SITES_SQL} SELECT site, lat, lon, n_sites FROM places AS n WHERE kind = 'null' AND NOT EXISTS (SELECT 1 FROM places AS h WHERE h.kind = 'hotspot' AND {T.arc_sql('n.lat', 'n.lon', 'h.lat', 'h.lon')} <= 500)""")
+WITH {T.SITES_SQL} SELECT site, lat, lon, n_sites FROM places AS n WHERE kind = 'null' AND NOT EXISTS (SELECT 1 FROM places AS h WHERE h.kind = 'hotspot' AND {T.arc_sql('n.lat', 'n.lon', 'h.lat', 'h.lon')} <= 500)""", every="null")
 def _(spark, sf):
     n, h = T.places(T.nulls(spark, sf)), T.places(T.hotspots(spark, sf))
     near = spatial.radius_join(n.select("site", "lat", "lon"), h.select("site", "lat", "lon"), 500.0).select("site").distinct()
@@ -48,7 +48,7 @@ ROT_SQL = ", ".join("(" + ", ".join([str(n)] + [f"{v!r}::DOUBLE" for row in m fo
 @query("g42_rotated_sites", "draw:b,site:b,lat:d,lon:d", "G42,F8", f"""
 WITH {T.SITES_SQL}, r(draw, a, b, c, d, e, f, g, h, k) AS (VALUES {ROT_SQL}),
 p AS (SELECT site, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM places WHERE kind = 'hotspot')
-SELECT draw, site, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, g * x + h * y + k * z)))) AS lat, degrees(atan2(d * x + e * y + f * z, a * x + b * y + c * z)) AS lon FROM p, r""")
+SELECT draw, site, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, g * x + h * y + k * z)))) AS lat, degrees(atan2(d * x + e * y + f * z, a * x + b * y + c * z)) AS lon FROM p, r""", every="hotspot")
 def _(spark, sf):
     # All sites of a draw turn rigidly together; the matrices ride along as a literal.
     p = T.places(T.hotspots(spark, sf))

@@ -113,7 +113,7 @@ l AS (SELECT *, max(CASE WHEN on_ THEN p ELSE -1 END) OVER (PARTITION BY kind, s
 s AS (SELECT *, min(CASE WHEN p - last_on > 1 THEN p END) OVER (PARTITION BY kind, site, model) AS stop FROM l)
 SELECT kind, site, model, avg(on_::INT) AS frac_below, max(p - last_on) * 45.0 AS longest_gap_km,
   CASE WHEN bool_or(p = 0 AND on_) THEN (63 - max(CASE WHEN on_ AND (stop IS NULL OR p < stop) THEN p END)) * 45.0 END AS reach_km,
-  max(CASE WHEN p = 0 THEN a END) AS base_anom FROM s GROUP BY kind, site, model""")
+  max(CASE WHEN p = 0 THEN a END) AS base_anom FROM s GROUP BY kind, site, model""", every="kind")
 def _(spark, sf):
     m = spatial.radius_join(T.columns(spark, sf), all_places(spark, sf), CAP_KM)
     # The profile is aggregated as one array slot per shell: cells of a cap are never collected.

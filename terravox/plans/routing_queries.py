@@ -70,7 +70,7 @@ def _(spark, sf):
 @query("g9_site_cost", "model:b,kind:s,site:b,cost:d,j:b,i:b", "G8,G9", f"""
 WITH RECURSIVE {Q.base_sql(2)}, {T.SITES_SQL}, {chain(CASES[0], '0')}, {Q.caps_sql(RADIUS)},
 best AS (SELECT m.model, cj0, cj1, ci, cw, min(c) AS cost, arg_min(f.j, c) AS j, arg_min(f.i, c) AS i FROM (SELECT DISTINCT model FROM cols) AS m CROSS JOIN capcells AS p LEFT JOIN f0 AS f ON f.model = m.model AND p.j = f.j AND p.i = f.i AND f.k = {SEED} GROUP BY m.model, cj0, cj1, ci, cw)
-SELECT b.model, kind, site, b.cost, b.j, b.i FROM capped JOIN best AS b USING (cj0, cj1, ci, cw)""")
+SELECT b.model, kind, site, b.cost, b.j, b.i FROM capped JOIN best AS b USING (cj0, cj1, ci, cw)""", every="kind")
 def _(spark, sf):
     capped = S.caps(all_places(spark, sf), GRID, RADIUS)
     m = S.cap_minimum(cost_fields(spark, sf, CASES[:1]), capped, ["model"], GRID, unreached=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from terravox.functions import geo
@@ -10,12 +13,14 @@ from terravox.operators import injection as I
 from terravox.operators import profiles
 from terravox.operators import route_sites as S
 from terravox.operators import routing as R
+from terravox.operators import sweep as W
 from terravox.operators.scaling import broadcast_if_small
 from terravox.plans import routing_sql as Q
 from terravox.plans.registry import query
 from terravox.plans.routing_queries import CASES, GRID, RADIUS, SEED, chain, cost_fields, rows
 from terravox.plans.spatial_queries import all_places
 from terravox.session import keep
+from terravox.plans.topology_queries import weights_sql
 from terravox.sources import tables as T
 
 BASE = f"{Q.base_sql(2)}, {T.SITES_SQL}"
@@ -227,7 +232,7 @@ h AS (SELECT s.model, s.site, s."case" AS c, 400.0 * (s."case" + 1) AS z, cost <
 t AS (SELECT *, min(ok::INT) OVER (PARTITION BY model, site ORDER BY c DESC ROWS UNBOUNDED PRECEDING) AS tail FROM h),
 pc AS (SELECT a.model, a.site, 100.0 * coalesce(sum(b.n_sites) FILTER (WHERE b.cost < a.cost), 0) / sum(b.n_sites) AS p FROM sc AS a JOIN sc AS b ON b.model = a.model AND b."case" = 6 AND b.kind = 'null' WHERE a."case" = 6 AND a.kind = 'hotspot' GROUP BY a.model, a.site)
 SELECT t.model, t.site, min(CASE WHEN tail = 1 THEN z END) AS base_connected_from_km, coalesce(max(CASE WHEN ok THEN z END), 0) AS deepest_km, sum(ok::INT) AS n_levels,
-  string_agg(CASE WHEN ok THEN '1' ELSE '0' END, '' ORDER BY c) AS pattern, max(pc.p) AS percentile_2800 FROM t JOIN pc USING (model, site) GROUP BY t.model, t.site""")
+  string_agg(CASE WHEN ok THEN '1' ELSE '0' END, '' ORDER BY c) AS pattern, max(pc.p) AS percentile_2800 FROM t JOIN pc USING (model, site) GROUP BY t.model, t.site""", every="hotspot")
 def _(spark, sf):
     from pyspark.sql import Window
 
@@ -249,19 +254,70 @@ def _(spark, sf):
                     F.array_join(F.transform("on", lambda x: x.cast("int").cast("string")), "").alias("pattern"), "percentile_2800")
 
 
-GRID_CASES = [R.Case(n, s, z, 300.0, 0.6, 2) for n, (s, z) in enumerate((s, z) for s in (0.3, 0.5, 0.8) for z in (2300.0, 2700.0))]
-RADII = [2.0, 3.0]
+FIELDS = W.configurations(GRID)
+# The calibrated move set.
+LATERAL, NCELL = 0.6, 2
+
+
+def sweep_sql() -> str:
+    """sc and th over all configurations, the fields of one target at a time.
+
+    A channel and an exponent s make a model of their own, whose anomaly is s times the channel: prices
+    are exponentials of s times a mean, so every field of a target is one recursion with s = 1.
+    """
+    sj = W.BACKGROUND_KM / (T.DLAT * math.pi / 180 * 6371.0)
+    si = f"least({W.BACKGROUND_KM} / ({T.DLON}::DOUBLE * pi() / 180 * 6371.0 * greatest(cos(radians(-85.5 + 9 * j)), 0.02::DOUBLE)), {T.NLON} / 6.0::DOUBLE)"
+    kinds = [(c, x) for c in W.CHANNELS for x in W.S_VALUES]
+    value = {"anom": "anom", "contrast": "anom - background", "min": "least(anom, anom - background)"}
+    number = {kind: n for n, kind in enumerate(kinds)}
+    scaled = " UNION ALL ".join(f"SELECT model * {len(kinds)} + {number[c, x]} AS model, k, j, i, {x}::DOUBLE * greatest(-6.0::DOUBLE, least(6.0::DOUBLE, {value[c]})) AS a, colkm FROM chan" for c, x in kinds)
+    base = Q.base_sql(NCELL)
+    start, end = base.index("ac AS MATERIALIZED"), base.index("step4(dj, di)")
+    base = base[:start] + f"""{weights_sql('wj', 'j', f'{sj!r}::DOUBLE')}, {weights_sql('wi', 'j', si)},
+down AS MATERIALIZED (SELECT model, wj.j, i, k, sum(w * anom) AS a FROM wj JOIN cells AS c ON c.j = least({T.NLAT - 1}, greatest(0, wj.j + o)) GROUP BY ALL),
+bg AS MATERIALIZED (SELECT p.model, p.k, p.j, (p.i - wi.o + 50) % {T.NLON} AS i, sum(w * a) AS background FROM down AS p JOIN wi ON wi.j = p.j GROUP BY ALL),
+chan AS MATERIALIZED (SELECT c.model, c.k, c.j, c.i, anom, background, {T.DLON} * pi() / 180 * 6371.0 * greatest(cos(radians(lat)), 0.02::DOUBLE) AS colkm FROM cells AS c JOIN bg USING (model, k, j, i)),
+ac AS MATERIALIZED ({scaled}),
+""" + base[end:]
+    depths = sorted({(GRID.target_shell(c.z_target), GRID.sidesteps(c.h_max)) for c in FIELDS})
+    text = [base, T.SITES_SQL, Q.price_sql("0", 1.0, LATERAL)]
+    for n, (k0, steps) in enumerate(depths):
+        text.append((f"p{n} AS (SELECT * FROM p0), " if n else "") + Q.field_sql(str(n), k0, 1.0, LATERAL, steps))
+    of = {(c.case): (depths.index((GRID.target_shell(c.z_target), GRID.sidesteps(c.h_max))), number[c.channel, c.s]) for c in FIELDS}
+    listed = ", ".join(f"({c}, {d}, {n})" for c, (d, n) in of.items())
+    top = " UNION ALL ".join(f"SELECT model, {n} AS depth, j, i, c FROM f{n} WHERE k = {SEED}" for n in range(len(depths)))
+    caps = [Q.caps_sql(r).replace("capped AS", f"capped{n} AS").replace("FROM capped,", f"FROM capped{n},").replace("capcells AS", f"capcells{n} AS") for n, r in enumerate(W.RADII)]
+    best = " UNION ALL ".join(f"SELECT model, depth, {r} AS radius, cj0, cj1, ci, cw, min(c) AS cost FROM tops AS f JOIN capcells{n} AS p ON p.j = f.j AND p.i = f.i GROUP BY ALL" for n, r in enumerate(W.RADII))
+    placed = " UNION ALL ".join(f"SELECT {r} AS radius, kind, site, n_sites, cj0, cj1, ci, cw FROM capped{n}" for n, r in enumerate(W.RADII))
+    return f"""{', '.join(text)}, tops AS MATERIALIZED ({top}), {', '.join(caps)}, best AS MATERIALIZED ({best}), placed AS MATERIALIZED ({placed}),
+listed("case", depth, number) AS (VALUES {listed}),
+sc AS MATERIALIZED (SELECT b.model // {len(kinds)} AS model, l."case", p.radius, p.kind, p.site, p.n_sites, b.cost FROM best AS b JOIN listed AS l ON l.depth = b.depth AND l.number = b.model % {len(kinds)} JOIN placed AS p USING (radius, cj0, cj1, ci, cw)),
+th AS (SELECT model, "case", radius, quantile_cont(cost, {C.NULL_PCT / 100}) AS threshold FROM sc, LATERAL (SELECT unnest(range(n_sites)) AS rep) AS z WHERE kind = 'null' GROUP BY ALL)"""
+
+
+CLASS_SQL = """SELECT *, CASE WHEN root_fraction >= 0.8 THEN 'deeper than null' WHEN root_fraction <= 0.2 THEN 'not deeper than null' ELSE 'ambiguous' END AS ensemble_class FROM e"""
+
+
+def ensemble(costs, th):
+    """Share of configurations in which a site is rooted, its middle cost and its class."""
+    h = costs.filter("kind = 'hotspot'").join(th, ["model", "case", "radius"])
+    g = h.groupBy("model", "site").agg(F.avg((F.col("cost") < F.col("threshold")).cast("double")).alias("root_fraction"), F.median("cost").alias("cost_median"), F.count("*").alias("n_ensemble"))
+    return g.withColumn("ensemble_class", C.ensemble_class(F.col("root_fraction")))
+
+
+def observed_sweep(spark, sf):
+    """Seed shells of all fields, and the site costs of all configurations."""
+    f = keep(W.observed(rows(spark, sf), ["model"], GRID, FIELDS, LATERAL, NCELL), "sweep")
+    return f, site_costs(spark, sf, FIELDS, W.RADII, fields=f)
 
 
 @query("c5_ensemble_class", "model:b,site:b,root_fraction:d,cost_median:d,ensemble_class:s,n_ensemble:b", "C1,C2,C5,A4,P15,J21", f"""
-WITH RECURSIVE {BASE}, {costs_sql(GRID_CASES, RADII)},
+WITH RECURSIVE {sweep_sql()},
 e AS (SELECT s.model, s.site, avg((cost < threshold)::INT) AS root_fraction, median(cost) AS cost_median, count(*) AS n_ensemble FROM sc AS s JOIN th USING (model, "case", radius) WHERE kind = 'hotspot' GROUP BY s.model, s.site)
-SELECT *, CASE WHEN root_fraction >= 0.8 THEN 'deeper than null' WHEN root_fraction <= 0.2 THEN 'not deeper than null' ELSE 'ambiguous' END AS ensemble_class FROM e""")
+{CLASS_SQL}""", every="hotspot")
 def _(spark, sf):
-    costs = site_costs(spark, sf, GRID_CASES, RADII)
-    h = costs.filter("kind = 'hotspot'").join(null_threshold(costs), ["model", "case", "radius"])
-    g = h.groupBy("model", "site").agg(F.avg((F.col("cost") < F.col("threshold")).cast("double")).alias("root_fraction"), F.median("cost").alias("cost_median"), F.count("*").alias("n_ensemble"))
-    return g.withColumn("ensemble_class", C.ensemble_class(F.col("root_fraction")))
+    _, costs = observed_sweep(spark, sf)
+    return ensemble(costs, null_threshold(costs))
 
 
 # Fixed values of the injection sweep: sites (lat, lon), amplitudes, and (tilt, profile) pairs.
@@ -273,7 +329,14 @@ FIXTURE_RADIUS = 1500.0
 INJECTIONS = [dict(variant=n, ilat=la, ilon=lo, amp=a, tilt=t, profile=p, at=s) for n, (s, (la, lo), a, (t, p)) in enumerate((s, site, a, g) for s, site in enumerate(INJECT_SITES) for a in AMPS for g in GEOMETRY)]
 
 
-@query("g39_injection", "model:b,variant:b,k:b,added_min:d,added_sum:d", "G39,F13,G41", f"""
+def _row_share() -> dict[int, range]:
+    """Grid rows of the seed caps of each injection's site, for the widest radius."""
+    reach = max(max(1, round(r / abs(T.DLAT))) for r in W.RADII)
+    at = {n: int(np.argmin(np.abs(np.array(GRID.lat) - la))) for n, (la, _) in enumerate(INJECT_SITES)}
+    return {r["variant"]: range(max(0, at[r["at"]] - reach - 1), min(T.NLAT, at[r["at"]] + reach + 2)) for r in INJECTIONS}
+
+
+@query("g39_injection", "model:b,variant:b,k:b,anom_min:d,anom_sum:d,added_sum:d", "G39,F13,G41", f"""
 WITH {T.CELLS_SQL}, s(at_, ilat, ilon) AS (VALUES {', '.join(f'({n}, {a}::DOUBLE, {b}::DOUBLE)' for n, (a, b) in enumerate(INJECT_SITES))}),
 q(variant, at_, amp, tilt, profile) AS (VALUES {', '.join(f"({r['variant']}, {r['at']}, {r['amp']}::DOUBLE, {r['tilt']}::DOUBLE, '{r['profile']}')" for r in INJECTIONS)}),
 z AS (SELECT k, k * 45.0::DOUBLE AS z FROM (SELECT unnest(range(64)) AS k)),
@@ -281,30 +344,26 @@ l AS (SELECT q.*, s.ilat, s.ilon, k, z, tilt * CASE WHEN profile = 'uniform' THE
       FROM q JOIN s USING (at_), z WHERE z >= 100 AND z <= 2800),
 c AS (SELECT *, ilat + off * cos(radians(45)) AS clat FROM l),
 c2 AS (SELECT *, ilon + off * sin(radians(45)) / greatest(cos(radians(clat)), 0.2::DOUBLE) AS clon, CASE WHEN z < 2600 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, (2800 - z) / 200) END AS taper FROM c),
-d AS (SELECT model, variant, k, amp * taper * exp(-pow({T.arc_sql('clat', 'clon', 'lat', 'lon')} / 750.0, 2) / 2) AS v FROM cols, c2)
-SELECT m.model, q.variant, z.k, coalesce(min(v), 0) AS added_min, coalesce(sum(v), 0) AS added_sum
-FROM (SELECT DISTINCT model FROM cols) AS m, q, z LEFT JOIN d ON d.model = m.model AND d.variant = q.variant AND d.k = z.k GROUP BY m.model, q.variant, z.k""")
+d AS (SELECT model, variant, k, j, i, amp * taper * exp(-pow({T.arc_sql('clat', 'clon', 'lat', 'lon')} / 750.0, 2) / 2) AS v FROM cols, c2)
+SELECT m.model, q.variant, m.k, min(m.anom + coalesce(v, 0)) AS anom_min, sum(m.anom + coalesce(v, 0)) AS anom_sum, coalesce(sum(v), 0) AS added_sum
+FROM cells AS m CROSS JOIN q LEFT JOIN d ON d.model = m.model AND d.variant = q.variant AND d.k = m.k AND d.j = m.j AND d.i = m.i GROUP BY m.model, q.variant, m.k""")
 def _(spark, sf):
-    x = I.inject(T.cells(spark, sf).withColumn("anom", F.lit(0.0)), INJECTIONS, GRID.depth, FIXTURE_RADIUS)
-    return x.groupBy("model", "variant", "k").agg(F.min("anom").alias("added_min"), F.sum("anom").alias("added_sum"))
+    return W.patched_shells(rows(spark, sf), ["model"], GRID, INJECTIONS, FIXTURE_RADIUS)
 
 
-def trials(spark, sf, cases=GRID_CASES, radii=RADII):
-    """Hit, miss or uninformative for every (model, configuration, radius, injection)."""
-    observed = keep(cost_fields(spark, sf, cases), "cost")
-    th = null_threshold(site_costs(spark, sf, cases, radii, fields=observed))
-    injected = I.inject(T.cells(spark, sf), INJECTIONS, GRID.depth, FIXTURE_RADIUS)
-    # Only the seed shell is read later, so only that is kept.
-    f = keep(R.solve(spark, R.grid_rows_of_cells(injected, ["model", "variant"], "anom"), ["model", "variant"], GRID, cases).filter(F.col("k") == SEED), "injected-cost")
+def trials(spark, sf, observed, costs):
+    """Hit, miss or uninformative for every (model, configuration, injection)."""
+    th = null_threshold(costs)
+    f = keep(W.injected(rows(spark, sf), ["model"], GRID, FIELDS, INJECTIONS, _row_share(), LATERAL, NCELL, FIXTURE_RADIUS), "injected-sweep")
     at = [(n, la, lo) for n, (la, lo) in enumerate(INJECT_SITES)]
     site_of = F.create_map(*[F.lit(x) for r in INJECTIONS for x in (r["variant"], r["at"])])
     out = None
-    for r in radii:
+    for r in W.RADII:
         capped = S.caps(spark.createDataFrame(at, "at int, lat double, lon double"), GRID, r)
         cells = F.broadcast(S.cap_cells(capped.select("at", *S.CAP), T.NLON))  # four literal sites
 
         def seed_cost(fields, keys):
-            s = fields.filter(F.col("k") == SEED).select(*keys, "case", "j", F.posexplode("row").alias("i", "c")).join(cells, ["j", "i"])
+            s = fields.select(*keys, "case", "j", F.posexplode("row").alias("i", "c")).join(cells, ["j", "i"])
             return s.groupBy(*keys, "case", "at").agg(F.min("c").alias("cost"))
 
         pre = seed_cost(observed, ["model"]).withColumnRenamed("cost", "pre")
@@ -317,16 +376,34 @@ def trials(spark, sf, cases=GRID_CASES, radii=RADII):
     return out.select("model", "case", "radius", "variant", amp[F.col("variant")].alias("amp"), prof[F.col("variant")].alias("profile"), "hit")
 
 
-@query("c3_injection_recovery", "model:b,case:b,radius:d,n_cal:b,detect_cal:d,detect_weak:d,detect_strong:d,detect_vertical:d,retained:t", "C3,C4,A5,G39")
-def _(spark, sf):
-    t = trials(spark, sf)
+def detection(t):
+    """Rates of every configuration by amplitude and shape, and whether it is retained."""
     rate = lambda c: F.avg(F.when(c, F.col("hit").cast("double")))
     cal = F.col("amp") <= C.CAL_AMP
-    d = t.groupBy("model", "case", "radius").agg(F.count(F.when(cal, F.col("hit"))).alias("n_cal"), rate(cal).alias("detect_cal"), rate(F.col("amp") == -0.5).alias("detect_weak"),
-                                                 rate(F.col("amp") == -1.5).alias("detect_strong"), rate(cal & (F.col("profile") == "vertical")).alias("detect_vertical"))
+    amps = [rate(F.col("amp") == a).alias(f"detect_{abs(a):g}".replace(".", "_")) for a in AMPS]
+    shapes = [rate(cal & (F.col("profile") == p)).alias(f"detect_{p}") for _, p in GEOMETRY]
+    d = t.groupBy("model", "case", "radius").agg(F.count(F.when(cal, F.col("hit"))).alias("n_cal"), rate(cal).alias("detect_cal"), *amps, *shapes)
     return d.withColumn("retained", (F.col("n_cal") >= C.MIN_CASES) & (F.coalesce("detect_cal", F.lit(0.0)) >= C.FLOOR))
 
 
+def settings(spark):
+    return spark.createDataFrame([(c.case, c.s, c.z_target, c.channel, c.h_max) for c in FIELDS], "case int, s double, z_target double, channel string, h_max double")
+
+
+@query("c3_injection_recovery", "model:b,s:d,z_target:d,channel:s,h_max:d,radius:d,n_cal:b,detect_cal:d,detect_0_5:d,detect_0_75:d,detect_1:d,detect_1_5:d,detect_vertical:d,detect_transition:d,detect_uniform:d,retained:t", "C3,C4,A5,G39")
+def _(spark, sf):
+    # One row per setting: at most a few hundred rows of literals.
+    return detection(trials(spark, sf, *observed_sweep(spark, sf))).join(F.broadcast(settings(spark)), "case")
+
+
+@query("c5_retained_class", "model:b,site:b,root_fraction:d,cost_median:d,ensemble_class:s,n_ensemble:b", "C3,C4,C5", every="hotspot")
+def _(spark, sf):
+    """Classes over the retained configurations of each model; a model that retains none has no rows."""
+    observed, costs = observed_sweep(spark, sf)
+    kept = detection(trials(spark, sf, observed, costs)).filter("retained").select("model", "case", "radius")
+    return ensemble(costs, null_threshold(costs).join(kept, ["model", "case", "radius"]))
+
+
 @query("g22_path_occupancy", "model:b,k:b,j:b,i:b,visits:b,share:d", "G22,A14,D11")
 def _(spark, sf):
     # Several configurations, each path counting a cell once.

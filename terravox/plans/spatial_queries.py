@@ -44,7 +44,7 @@ WITH {CAPS_SQL}
 SELECT h.model, h.site, h.n_cells, h.cap_mean,
        100.0::DOUBLE * coalesce(sum(n.n_sites) FILTER (WHERE n.cap_mean < h.cap_mean), 0) / sum(n.n_sites) AS percentile
 FROM caps AS h JOIN caps AS n ON n.model = h.model AND n.kind = 'null' AND h.kind = 'hotspot'
-GROUP BY h.model, h.site, h.n_cells, h.cap_mean""")
+GROUP BY h.model, h.site, h.n_cells, h.cap_mean""", every="hotspot")
 def cap_percentile(spark, sf):
     c = caps(spark, sf)
     # A model has at most 3,600 positions per kind, so ranking inside a model is a bounded window;
@@ -58,7 +58,7 @@ def cap_percentile(spark, sf):
     return r.filter("kind = 'hotspot'").withColumn("percentile", hit)
 
 
-@query("j9_radius_cap", "kind:s,site:b,model:b,n_cells:b,cap_mean:d,cap_min:d", "J9,G32", f"WITH {CAPS_SQL} SELECT * FROM caps")
+@query("j9_radius_cap", "kind:s,site:b,model:b,n_cells:b,cap_mean:d,cap_min:d", "J9,G32", f"WITH {CAPS_SQL} SELECT * FROM caps", every="kind")
 def _(spark, sf):
     return caps(spark, sf)
 
@@ -67,7 +67,7 @@ def _(spark, sf):
 WITH {CELLS}, {SITES}, {DEEP_SQL}, pairs AS (
   SELECT p.site, d.model, d.a, {T.arc_sql('p.lat', 'p.lon', 'd.lat', 'd.lon')} AS dist
   FROM places AS p, deep AS d WHERE p.kind = 'hotspot')
-SELECT site, model, count(*) AS n_ring, avg(a) AS ring_mean FROM pairs WHERE dist BETWEEN 1500 AND 3000 GROUP BY site, model""")
+SELECT site, model, count(*) AS n_ring, avg(a) AS ring_mean FROM pairs WHERE dist BETWEEN 1500 AND 3000 GROUP BY site, model""", every="hotspot")
 def _(spark, sf):
     m = spatial.radius_join(deep_mean(spark, sf), T.places(T.hotspots(spark, sf)), 3000.0, 1500.0)
     return m.groupBy(F.col("p_site").alias("site"), "model").agg(F.count("*").alias("n_ring"), F.avg("a").alias("ring_mean"))
@@ -81,7 +81,7 @@ b AS (SELECT t.model, site, {T.arc_sql('p.lat', 'p.lon', 't.lat', 't.lon')} AS d
   FROM places AS p, tgt AS t WHERE p.kind = 'hotspot'),
 w AS (SELECT model, site, d, br, 1 / pow(greatest(d, 50.0::DOUBLE), 2) AS w FROM b WHERE d <= 6000)
 SELECT model, site, count(*) AS n, ((degrees(atan2(sum(w * sin(br)), sum(w * cos(br)))) % 360) + 360) % 360 AS bearing,
-       sum(w * d) / sum(w) AS mean_km FROM w GROUP BY model, site HAVING count(*) >= 20""")
+       sum(w * d) / sum(w) AS mean_km FROM w GROUP BY model, site HAVING count(*) >= 20""", every="hotspot")
 def _(spark, sf):
     tgt = T.columns(spark, sf).filter("label <= 2").select("model", "lat", "lon").distinct()
     m = spatial.radius_join(tgt, T.places(T.hotspots(spark, sf)), 6000.0)
@@ -130,7 +130,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(d, 6), j, i)
 s AS (SELECT *, least(19, greatest(0, ceil((plat + 90 - 4.5) / 9 - 0.5)))::BIGINT AS hj,
              ((ceil(round((plon + 180) / 14.4, 9) - 0.5)::BIGINT % 25) + 25) % 25 AS hi FROM n WHERE rn = 1)
 SELECT s.site, s.d AS dist_km, s.j, s.i, CASE WHEN q.j IS NULL THEN s.d ELSE -s.d END AS margin_km
-FROM s LEFT JOIN (SELECT DISTINCT j, i FROM inside WHERE model = 0) AS q ON q.j = s.hj AND q.i = s.hi""")
+FROM s LEFT JOIN (SELECT DISTINCT j, i FROM inside WHERE model = 0) AS q ON q.j = s.hj AND q.i = s.hi""", every="hotspot")
 def _(spark, sf):
     from terravox.operators.scaling import broadcast_if_small
 

@@ -245,7 +245,7 @@ ok AS MATERIALIZED (SELECT * FROM pt WHERE d <= 0.85 * {AXIS_KM}),
 sl AS (SELECT a.kind, a.site, a.model, median((b.x - a.x) / (b.z - a.z)) AS sx, median((b.y - a.y) / (b.z - a.z)) AS sy FROM ok AS a JOIN ok AS b ON a.kind = b.kind AND a.site = b.site AND a.model = b.model AND b.k > a.k GROUP BY ALL),
 ic AS (SELECT o.kind, o.site, o.model, sx, sy, median(x - sx * z) AS ix, median(y - sy * z) AS iy FROM ok AS o JOIN sl USING (kind, site, model) GROUP BY ALL),
 rs AS (SELECT o.kind, o.site, o.model, sx, sy, sqrt(pow(x - ix - sx * z, 2) + pow(y - iy - sy * z, 2)) AS r FROM ok AS o JOIN ic USING (kind, site, model))
-SELECT kind, site, model, count(*) AS points, degrees(atan(sqrt(sx * sx + sy * sy))) AS tilt_deg, median(r) AS scatter_km, avg((r <= 800)::INT) AS axial_frac FROM rs GROUP BY kind, site, model, sx, sy""")
+SELECT kind, site, model, count(*) AS points, degrees(atan(sqrt(sx * sx + sy * sy))) AS tilt_deg, median(r) AS scatter_km, avg((r <= 800)::INT) AS axial_frac FROM rs GROUP BY kind, site, model, sx, sy""", every="kind")
 def _(spark, sf):
     pick = F.array(*[F.struct(F.lit(k).alias("k"), F.col("v")[k].alias("a")) for k in AXIS_SHELLS])
     c = T.columns(spark, sf).select("model", "j", "i", "lat", "lon", pick.alias("q"))
@@ -267,7 +267,7 @@ def _(spark, sf):
                     (F.size(F.filter("r", lambda x: x <= 800)) / F.size("r")).alias("axial_frac"))
 
 
-@query("g34_tube_detector", "kind:s,site:b,model:b,tube_km:d,mean_prominence:d,drift_km:d", "G34,W6")
+@query("g34_tube_detector", "kind:s,site:b,model:b,tube_km:d,mean_prominence:d,drift_km:d", "G34,W6", every="kind")
 def _(spark, sf):
     """Follow the local minimum down a site's window, at most one grid row per shell.
 
@@ -319,7 +319,7 @@ def _(spark, sf):
     return g.select("a", "b", "start_km", F.when(tail > 0, -F.element_at("x", F.greatest(tail, F.lit(1)))["u"]).alias("merge_level"), "min_sep")
 
 
-@query("g48_structure_association", "site:b,volume:b,dist_km:d", "G48,J12")
+@query("g48_structure_association", "site:b,volume:b,dist_km:d", "G48,J12", every="hotspot")
 def _(spark, sf):
     """Nearest footprint cell of a tall structure for each hotspot position, model 0's structures."""
     c = labelled(spark, sf).filter("model = 0")

@@ -88,6 +88,32 @@ def places(sites: DataFrame) -> DataFrame:
     return sites.groupBy("kind", "lat", "lon").agg(F.count("*").alias("n_sites"), F.min("site").alias("site"))
 
 
+def every_site(spark: SparkSession, sf_dir: str, per_place: DataFrame, kind: str) -> DataFrame:
+    """Results of ``places`` handed on to all sites of each position.
+
+    ``kind`` is the population, or ``kind`` where the rows name theirs. Positions are many fewer than
+    sites, so results are computed once and meet the sites by an equi join on (kind, position).
+    """
+    both = {"hotspot": [hotspots], "null": [nulls], "kind": [hotspots, nulls]}[kind]
+    sites = both[0](spark, sf_dir)
+    for more in both[1:]:
+        sites = sites.unionByName(more(spark, sf_dir))
+    at = places(sites).select("kind", "lat", "lon", F.col("site").alias("_place"))
+    members = sites.join(at, ["kind", "lat", "lon"]).select("kind", "_place", F.col("site").alias("_site"))
+    r = per_place if kind == "kind" else per_place.withColumn("kind", F.lit(kind))
+    r = r.withColumnRenamed("site", "_place").join(members, ["kind", "_place"]).withColumnRenamed("_site", "site").drop("_place")
+    return r if kind == "kind" else r.drop("kind")
+
+
+def every_site_sql(text: str, kind: str) -> str:
+    """The same in SQL, around a whole query."""
+    which = "q.kind" if kind == "kind" else f"'{kind}'"
+    return f"""SELECT m.member AS site, q.* EXCLUDE (site) FROM ({text}) AS q JOIN (
+  WITH {SITES_SQL} SELECT kind, site AS member, min(site) OVER (PARTITION BY kind, lat, lon) AS place
+  FROM (SELECT *, 'hotspot' AS kind FROM hotspots UNION ALL SELECT *, 'null' AS kind FROM nulls) AS u) AS m
+  ON m.place = q.site AND m.kind = {which}"""
+
+
 MAX_PLACES = 2 * 3600
 
 # The same rows in SQL, for the oracle.
