@@ -122,27 +122,23 @@ def _(spark, sf):
     return boundary_cells(spark, sf)
 
 
-@query("j12_nearest_boundary", "site:b,dist_km:d,j:b,i:b,margin_km:d", "J12,F12", f"""
-WITH {CELLS}, {SITES}, {BOUNDARY_SQL}, e AS (SELECT j, i, min(lat) AS lat, min(lon) AS lon FROM edge WHERE model = 0 GROUP BY j, i),
-r AS (SELECT p.site, p.lat AS plat, p.lon AS plon, e.j, e.i, {T.arc_sql('p.lat', 'p.lon', 'e.lat', 'e.lon')} AS d
+@query("j12_nearest_boundary", "model:b,site:b,dist_km:d,j:b,i:b,margin_km:d", "J12,F12", f"""
+WITH {CELLS}, {SITES}, {BOUNDARY_SQL}, e AS (SELECT DISTINCT model, j, i, lat, lon FROM edge),
+r AS (SELECT p.site, p.lat AS plat, p.lon AS plon, e.model, e.j, e.i, {T.arc_sql('p.lat', 'p.lon', 'e.lat', 'e.lon')} AS d
       FROM places AS p, e WHERE p.kind = 'hotspot'),
-n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(d, 6), j, i) AS rn FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY model, site ORDER BY round(d, 6), j, i) AS rn FROM r),
 s AS (SELECT *, least(19, greatest(0, ceil((plat + 90 - 4.5) / 9 - 0.5)))::BIGINT AS hj,
              ((ceil(round((plon + 180) / 14.4, 9) - 0.5)::BIGINT % 25) + 25) % 25 AS hi FROM n WHERE rn = 1)
-SELECT s.site, s.d AS dist_km, s.j, s.i, CASE WHEN q.j IS NULL THEN s.d ELSE -s.d END AS margin_km
-FROM s LEFT JOIN (SELECT DISTINCT j, i FROM inside WHERE model = 0) AS q ON q.j = s.hj AND q.i = s.hi""", every="hotspot")
+SELECT s.model, s.site, s.d AS dist_km, s.j, s.i, CASE WHEN q.j IS NULL THEN s.d ELSE -s.d END AS margin_km
+FROM s LEFT JOIN (SELECT DISTINCT model, j, i FROM inside) AS q ON q.model = s.model AND q.j = s.hj AND q.i = s.hi""", every="hotspot")
 def _(spark, sf):
-    from terravox.operators.scaling import broadcast_if_small
-
     p = T.places(T.hotspots(spark, sf))
-    edge = boundary_cells(spark, sf).filter("model = 0")
-    n = spatial.nearest_join(p, edge, ["site"], ["j", "i"], 1500.0)
-    member = T.columns(spark, sf).filter("label <= 2 AND model = 0").select(F.col("j").alias("hj"), F.col("i").alias("hi"), F.lit(True).alias("inn"))
-    member, _ = broadcast_if_small(member.distinct())
+    n = spatial.nearest_join_by(p, boundary_cells(spark, sf), ["site"], ["j", "i"], ["model"], 1500.0)
+    member = T.columns(spark, sf).filter("label <= 2").select("model", F.col("j").alias("hj"), F.col("i").alias("hi"), F.lit(True).alias("inn")).distinct()
     hj = F.least(F.lit(T.NLAT - 1), F.greatest(F.lit(0), F.ceil((F.col("lat") + 90 - T.DLAT / 2) / T.DLAT - 0.5))).cast("int")
     hi = F.pmod(F.ceil(F.round((F.col("lon") + 180) / T.DLON, 9) - 0.5), F.lit(T.NLON)).cast("int")
-    at = p.select("site", hj.alias("hj"), hi.alias("hi")).join(member, ["hj", "hi"], "left")
-    return n.join(at, "site").withColumn("margin_km", F.when(F.col("inn"), -F.col("dist_km")).otherwise(F.col("dist_km")))
+    at = n.join(p.select("site", hj.alias("hj"), hi.alias("hi")), "site").join(member, ["model", "hj", "hi"], "left")
+    return at.withColumn("margin_km", F.when(F.col("inn"), -F.col("dist_km")).otherwise(F.col("dist_km")))
 
 
 @query("g44_boundary_distance", "model:b,n:b,median_km:d,p90_km:d", "G44,J12", f"""

@@ -11,17 +11,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravox.functions import geo
-from terravox.operators import profiles, setops, spatial
+from terravox.operators import profiles, setops, spatial, structures, tubes
 from terravox.operators import routing as R
 from terravox.operators import topology as Tp
 from terravox.operators.scaling import broadcast_if_small
 from terravox.plans.registry import query
 from terravox.plans.spatial_queries import all_places
+from terravox.session import keep
 from terravox.sources import tables as T
 
 CELLS, SITES = T.CELLS_SQL, T.SITES_SQL
 CUT = -1.5
 LAT = [-90.0 + (j + 0.5) * T.DLAT for j in range(T.NLAT)]
+GRID = R.Grid(tuple(LAT), tuple(-180.0 + i * T.DLON for i in range(T.NLON)), tuple(k * T.DZ_KM for k in range(T.NZ)))
 row_lat = lambda: F.lit(-90.0) + (F.col("j") + 0.5) * T.DLAT
 col_lon = lambda: F.lit(-180.0) + F.col("i") * T.DLON
 
@@ -234,7 +236,7 @@ def _(spark, sf):
 
 # ---- axes and tubes --------------------------------------------------------------------------------
 
-AXIS_KM, AXIS_SHELLS = 2200.0, [k for k in range(10, 60, 4)]
+AXIS_KM, AXIS_SHELLS = 2200.0, list(range(10, 60))
 
 
 @query("g35_axis_coherence", "kind:s,site:b,model:b,points:b,tilt_deg:d,scatter_km:d,axial_frac:d", "G35,T17,J9,A10", f"""
@@ -267,38 +269,10 @@ def _(spark, sf):
                     (F.size(F.filter("r", lambda x: x <= 800)) / F.size("r")).alias("axial_frac"))
 
 
-@query("g34_tube_detector", "kind:s,site:b,model:b,tube_km:d,mean_prominence:d,drift_km:d", "G34,W6", every="kind")
+@query("g34_tube_detector", "kind:s,site:b,model:b,tube_km:d,mean_prominence:d,half_width_km:d,z_top:d,z_bot:d,drift_km:d", "G34,W6", every="kind")
 def _(spark, sf):
-    """Follow the local minimum down a site's window, at most one grid row per shell.
-
-    The window of a site is a group the grid bounds; the walk is sequential in depth and returns one
-    row, the scoring of runs is done on its arrays.
-    """
-    m = spatial.radius_join(T.columns(spark, sf), all_places(spark, sf), 3500.0)
-    m = m.select(F.col("p_kind").alias("kind"), F.col("p_site").alias("site"), "model", "lat", "lon", "dist_km", "v")
-
-    def walk(key, t):
-        t = t.sort_by([("lat", "ascending"), ("lon", "ascending")])
-        col = lambda c: t.column(c).to_numpy()
-        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, T.NZ)
-        lat, lon = np.radians(col("lat")), np.radians(col("lon"))
-        cosine = np.sin(lat)[:, None] * np.sin(lat) + np.cos(lat)[:, None] * np.cos(lat) * np.cos(lon[:, None] - lon)
-        d = geo.EARTH_KM * np.arccos(np.clip(cosine, -1, 1))
-        start = at = int(col("dist_km").argmin())
-        prom = np.full(T.NZ, np.nan)
-        for k in range(T.NZ):
-            at = int(np.where(d[at] <= 1200.0, v[:, k], np.inf).argmin())
-            ring = (d[at] > 1200.0) & (d[at] <= 2600.0)
-            if ring.any():
-                prom[k] = v[ring, k].mean() - v[at, k]
-        one = {n: pa.array([x.as_py()], t.schema.field(n).type) for n, x in zip(("kind", "site", "model"), key)}
-        return pa.table({**one, "prom": pa.array([prom.tolist()], pa.list_(pa.float64())), "drift_km": pa.array([float(d[start, at])])})
-
-    w = m.groupBy("kind", "site", "model").applyInArrow(walk, "kind string, site bigint, model bigint, prom array<double>, drift_km double")
-    ok = F.transform("prom", lambda x: (x >= 0.8) & ~F.isnan(x))
-    w = w.withColumn("r", profiles.longest_run(ok))
-    seg = F.slice("prom", F.greatest(F.col("r.start"), F.lit(0)) + 1, F.greatest(F.col("r.length"), F.lit(1)))
-    return w.select("kind", "site", "model", (F.col("r.length") * T.DZ_KM).alias("tube_km"), F.when(F.col("r.length") > 0, F.aggregate(seg, F.lit(0.0), lambda s, x: s + x) / F.col("r.length")).alias("mean_prominence"), "drift_km")
+    at = all_places(spark, sf).select("kind", "site", "lat", "lon")
+    return tubes.tubes(R.grid_rows(T.columns(spark, sf), ["model"]), ["model"], GRID, at)
 
 
 @query("g23_pair_merge_depth", "a:b,b:b,start_km:d,merge_level:b,min_sep:d", "G23,J7,J8,J13,W8", f"""
@@ -319,10 +293,52 @@ def _(spark, sf):
     return g.select("a", "b", "start_km", F.when(tail > 0, -F.element_at("x", F.greatest(tail, F.lit(1)))["u"]).alias("merge_level"), "min_sep")
 
 
-@query("g48_structure_association", "site:b,volume:b,dist_km:d", "G48,J12", every="hotspot")
+# ---- structures ------------------------------------------------------------------------------------
+
+RULES = structures.Rules(below=CUT)
+
+
+@query("g47_structure_table", "model:b,structure:b,k_top:b,k_base:b,extent_km:d,cells:b,pieces:b,levels:b,branch_km:d,spread_km:d,offset_km:d,tilt_deg:d,azimuth_deg:d", "G47,G26,G27,G28")
 def _(spark, sf):
-    """Nearest footprint cell of a tall structure for each hotspot position, model 0's structures."""
-    c = labelled(spark, sf).filter("model = 0")
-    foot = c.groupBy("j", "i").agg(F.count("*").alias("n"), F.min("label").alias("volume")).filter("n >= 11")
-    foot = foot.withColumn("lat", row_lat()).withColumn("lon", col_lon())
-    return spatial.nearest_join(T.places(T.hotspots(spark, sf)), foot, ["site"], ["volume"], 1500.0)
+    return structures.table(R.grid_rows(T.columns(spark, sf), ["model"]), ["model"], GRID, RULES)
+
+
+@query("g26_descent", "kind:s,site:b,model:b,found:t,root_km:d,n_depths:b,n_branch:b,n_split:b,max_strands:b,slow_below:d,tilt_deg:d,offset_km:d,n_bends:b", "G26,W4,C16", every="kind")
+def _(spark, sf):
+    at = all_places(spark, sf).select("kind", "site", "lat", "lon")
+    return structures.descents(R.grid_rows(T.columns(spark, sf), ["model"]), ["model"], GRID, at, 300.0, RULES)
+
+
+def associated(spark, sf):
+    """Nearest structure of every position and model, by its footprint."""
+    rows = R.grid_rows(T.columns(spark, sf), ["model"])
+    foot = structures.footprints(rows, ["model"], GRID, RULES).withColumn("lat", row_lat()).withColumn("lon", col_lon())
+    return spatial.nearest_join_by(all_places(spark, sf).select("kind", "site", "lat", "lon"), foot, ["kind", "site"], ["structure"], ["model"], RULES.catchment)
+
+
+@query("g48_structure_association", "kind:s,site:b,model:b,structure:b,dist_km:d", "G48,J12", every="kind")
+def _(spark, sf):
+    return associated(spark, sf)
+
+
+@query("g48_structure_contrast", "model:b,metric:s,n_with:b,n_without:b,median_with:d,median_without:d,u:d", "G48,T3")
+def _(spark, sf):
+    """Structures with a hotspot within the catchment against those without: medians and rank sum.
+
+    The rows are structures, not sites: sites on one body would count it again and again.
+    """
+    table = keep(structures.table(R.grid_rows(T.columns(spark, sf), ["model"]), ["model"], GRID, RULES), "structures")
+    near = associated(spark, sf).filter((F.col("kind") == "hotspot") & (F.col("dist_km") <= RULES.catchment)).select("model", "structure").distinct()
+    t = table.join(near.withColumn("held", F.lit(True)), ["model", "structure"], "left")
+    metrics = ["pieces", "branch_km", "levels", "spread_km", "extent_km"]
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("m")
+    v = t.select("model", F.coalesce("held", F.lit(False)).alias("held"), one).select("model", "held", "m.metric", "m.x").filter("x IS NOT NULL")
+    # A model has as many structures as its grid allows, so ranks within it are a bounded window.
+    w = Window.partitionBy("model", "metric")
+    below = F.count(F.lit(1)).over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    peers = F.count(F.lit(1)).over(Window.partitionBy("model", "metric", "x"))
+    r = v.withColumn("rank", below - (peers - 1) / 2)
+    n = F.count_if("held")
+    return r.groupBy("model", "metric").agg(
+        n.alias("n_with"), F.count_if(~F.col("held")).alias("n_without"), F.median(F.when(F.col("held"), F.col("x"))).alias("median_with"), F.median(F.when(~F.col("held"), F.col("x"))).alias("median_without"),
+        (F.sum(F.when(F.col("held"), F.col("rank"))) - n * (n + 1) / 2).alias("u"))
