@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terravox.functions import geo
+from terravox.operators import matching as M
 from terravox.operators import paths as P
 from terravox.operators import spatial
 from terravox.operators.scaling import exact_percentiles
@@ -77,3 +78,26 @@ def _(spark, sf):
     off = lambda la, lo: geo.haversine_km(F.col("f.lat"), F.col("f.lon"), F.col(la), F.col(lo))
     d = F.round((off("lat", "lon") - off("alat", "alon")) / 111.0, 6)
     return j.withColumn("d", d).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("d") < -0.05).alias("improved"), F.count_if(F.abs("d") <= 0.05).alias("unchanged"), F.count_if(F.col("d") > 0.05).alias("degraded"))
+
+
+# ---- matching without replacement ------------------------------------------------------------------
+
+def match_sides(spark, sf):
+    take = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.round(F.col("s_acctbal") / 10, 1).alias("x"))
+    pool = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("site"), F.round(F.col("c_acctbal") / 10, 1).alias("x"))
+    return take, pool
+
+
+@query("j16_nearest_matches", "taker:b,member:b,gap:d", "J16")
+def _(spark, sf):
+    """Three customers of the nearest balance for each supplier, no customer twice."""
+    return M.nearest_matches(*match_sides(spark, sf), 3)
+
+
+@query("j16_matched_balance", "n:b,mean_gap:d,mean_gap_shared:d", "J16")
+def _(spark, sf):
+    """What not sharing costs: the mean gap of the matches beside that of the nearest members."""
+    take, pool = match_sides(spark, sf)
+    own = M.nearest_matches(take, pool, 3).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"))
+    shared = M.nearest_members(take, pool, 3).agg(F.avg("gap").alias("mean_gap_shared"))
+    return own.crossJoin(F.broadcast(shared))

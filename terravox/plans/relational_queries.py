@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from terravox.operators import calibration as C
 from terravox.operators import setops
+from terravox.operators import statistics as St
 from terravox.operators.scaling import exact_percentiles
 from terravox.plans.registry import query
 from terravox.plans.stat_queries import DOC_SQL, judged
+from terravox.session import keep
 from terravox.sources import tables as T
 
 # ---- model comparison: regions are inversion families, nations are runs, segments are sites -------
@@ -239,27 +241,35 @@ def _(spark, sf):
 
 # ---- sets -----------------------------------------------------------------------------------------
 
-SHARE = 0.28
+# Cells of a network's map: a fixed number, as on any grid, so that overlaps do not thin out as the
+# table of visits grows.
+NET_CELLS = 2000
+SHARE = 0.3
+
+
+def visits(spark, sf):
+    return T.table(spark, sf, "lineitem").select("l_suppkey", F.pmod(F.col("l_partkey"), F.lit(NET_CELLS)).alias("cell"))
 
 
 @query("u3_linked_sets", "a:b,b:b,shared:b,frac_small:d,jaccard:d", "U3,D10,J7", f"""
-WITH m AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS m FROM lineitem), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
+WITH m AS (SELECT DISTINCT l_suppkey AS o, l_partkey % {NET_CELLS} AS m FROM lineitem), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
 p AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM m AS x JOIN m AS y ON x.m = y.m AND x.o < y.o GROUP BY ALL)
 SELECT a, b, shared, shared / least(na.n, nb.n)::DOUBLE AS frac_small, shared / (na.n + nb.n - shared)::DOUBLE AS jaccard FROM p JOIN n AS na ON na.o = a JOIN n AS nb ON nb.o = b WHERE shared / least(na.n, nb.n)::DOUBLE >= {SHARE}""")
 def _(spark, sf):
-    return setops.linked_pairs(T.table(spark, sf, "lineitem"), "l_suppkey", "l_partkey", SHARE)
+    return setops.linked_pairs(visits(spark, sf), "l_suppkey", "cell", SHARE)
 
 
-@query("g29_site_network", "site:b,component:b,size:b,degree:b,isolated:t", "G29,U3", f"""
-WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS m FROM lineitem), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
+NET_SQL = f"""m AS (SELECT DISTINCT l_suppkey AS o, l_partkey % {NET_CELLS} AS m FROM lineitem), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
 p AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM m AS x JOIN m AS y ON x.m = y.m AND x.o < y.o GROUP BY ALL),
 e AS MATERIALIZED (SELECT a, b FROM p JOIN n AS na ON na.o = a JOIN n AS nb ON nb.o = b WHERE shared / least(na.n, nb.n)::DOUBLE >= {SHARE}),
 s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT o AS src, o AS dst FROM n UNION SELECT r.src, s.b FROM reach AS r JOIN s ON s.a = r.dst),
-c AS (SELECT src AS site, min(dst) AS component FROM reach GROUP BY src), d AS (SELECT a, count(*) AS degree FROM s GROUP BY a)
-SELECT site, component, count(*) OVER (PARTITION BY component) AS size, coalesce(degree, 0) AS degree, degree IS NULL AS isolated FROM c LEFT JOIN d ON d.a = site""")
-def _(spark, sf):
-    l = T.table(spark, sf, "lineitem")
-    e = setops.linked_pairs(l, "l_suppkey", "l_partkey", SHARE).select("a", "b")
+c AS (SELECT src AS site, min(dst) AS component FROM reach GROUP BY src), d AS (SELECT a, count(*) AS degree FROM s GROUP BY a)"""
+
+
+def network(spark, sf):
+    """Every owner with its component of linked owners."""
+    l = visits(spark, sf)
+    e = keep(setops.linked_pairs(l, "l_suppkey", "cell", SHARE).select("a", "b"), "links")
     lab = setops.components(spark, l.select("l_suppkey").distinct(), e, "l_suppkey")
     deg = e.select("a").union(e.select("b")).groupBy("a").agg(F.count("*").alias("degree"))
     size = lab.groupBy("label").agg(F.count("*").alias("size"))
@@ -267,6 +277,46 @@ def _(spark, sf):
     return j.select(F.col("node").alias("site"), F.col("label").alias("component"), "size", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("degree").isNull().alias("isolated"))
 
 
+@query("g29_site_network", "site:b,component:b,size:b,degree:b,isolated:t", "G29,U3", f"""
+WITH RECURSIVE {NET_SQL}
+SELECT site, component, count(*) OVER (PARTITION BY component) AS size, coalesce(degree, 0) AS degree, degree IS NULL AS isolated FROM c LEFT JOIN d ON d.a = site""")
+def _(spark, sf):
+    return network(spark, sf)
+
+
+@query("t27_cluster_test", "metric:s,n_components:b,n_isolated:b,n_linked:b,median_component:d,median_isolated:d,u:d,z:d,u_sites:d", "T27", f"""
+WITH RECURSIVE {NET_SQL}, k AS (SELECT site, component, count(*) OVER (PARTITION BY component) AS size FROM c),
+v AS (SELECT k.*, metric, x FROM k JOIN (SELECT s_suppkey AS site, 'balance' AS metric, s_acctbal AS x FROM supplier UNION ALL SELECT l_suppkey, 'quantity', sum(l_quantity) FROM lineitem GROUP BY l_suppkey) AS m USING (site)),
+pt AS (SELECT metric, true AS linked, median(x) AS x FROM v WHERE size > 1 GROUP BY metric, component UNION ALL SELECT metric, false, x FROM v WHERE size = 1),
+qt AS (SELECT metric, size > 1 AS linked, x FROM v),
+rp AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, x)::DOUBLE AS t FROM pt),
+rq AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS r FROM qt),
+ta AS (SELECT metric, count(*) FILTER (WHERE linked)::DOUBLE AS n1, count(*) FILTER (WHERE NOT linked)::DOUBLE AS n2, count(*)::DOUBLE AS n, sum(r) FILTER (WHERE linked) AS s, sum(t * t - 1) AS ties,
+  median(x) FILTER (WHERE linked) AS mc, median(x) FILTER (WHERE NOT linked) AS mi FROM rp GROUP BY metric),
+tb AS (SELECT metric, count(*) FILTER (WHERE linked)::DOUBLE AS n1, sum(r) FILTER (WHERE linked) AS s FROM rq GROUP BY metric)
+SELECT a.metric, a.n1 AS n_components, a.n2 AS n_isolated, b.n1 AS n_linked, mc AS median_component, mi AS median_isolated, a.s - a.n1 * (a.n1 + 1) / 2 AS u,
+  (a.s - a.n1 * (a.n1 + 1) / 2 - a.n1 * a.n2 / 2) / sqrt(a.n1 * a.n2 / 12 * ((a.n + 1) - ties / (a.n * (a.n - 1)))) AS z, b.s - b.n1 * (b.n1 + 1) / 2 AS u_sites FROM ta AS a JOIN tb AS b USING (metric)""")
+def _(spark, sf):
+    """Linked sites of one component are not independent: each component counts once, with its median.
+
+    The rank sum of components against isolated sites stands beside the one of all linked sites.
+    """
+    n = network(spark, sf).select("site", "component", "size")
+    bal = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.lit("balance").alias("metric"), F.col("s_acctbal").cast("double").alias("x"))
+    qty = T.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("site")).agg(F.sum("l_quantity").cast("double").alias("x")).select("site", F.lit("quantity").alias("metric"), "x")
+    v = keep(n.join(bal.unionByName(qty), "site"), "cluster-values")
+    linked = v.filter("size > 1")
+    # A component can hold most sites: its median comes from counted values, cut in pieces.
+    med = exact_percentiles(linked, ["metric", "component"], "x", {"m": 0.5}).select("metric", F.col("m").alias("x"))
+    alone = v.filter("size = 1").select("metric", "x")
+    both = keep(med.withColumn("grp", F.lit("linked")).unionByName(alone.withColumn("grp", F.lit("alone"))), "cluster-groups")
+    mids = both.groupBy("metric").agg(F.median(F.when(F.col("grp") == "linked", F.col("x"))).alias("median_component"), F.median(F.when(F.col("grp") == "alone", F.col("x"))).alias("median_isolated"))
+    c = St.mann_whitney(both, ["metric"], "grp", "linked", "x").join(mids, "metric")
+    s = St.mann_whitney(v.withColumn("grp", F.when(F.col("size") > 1, "linked").otherwise("alone")), ["metric"], "grp", "linked", "x")
+    s = s.select("metric", F.col("n1").alias("n_linked"), F.col("u").alias("u_sites"))
+    return c.join(s, "metric").select("metric", F.col("n1").alias("n_components"), F.col("n2").alias("n_isolated"), "n_linked", "median_component", "median_isolated", "u", "z", "u_sites")
+
+
 @query("u3_nation_jaccard", "a:b,b:b,shared:b,jaccard:d", "U3,T12", """
 WITH m AS (SELECT DISTINCT s_nationkey AS o, l_partkey AS m FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
 p AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM m AS x JOIN m AS y ON x.m = y.m AND x.o < y.o GROUP BY ALL)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravox.functions import geo
+from terravox.operators import resampling as P
 from terravox.operators import statistics as St
 from terravox.operators.scaling import broadcast_if_small, exact_percentiles
 from terravox.plans.registry import query
+from terravox.session import keep
 from terravox.sources import tables as T
 
 ORD_SQL = """o AS (SELECT substr(o_orderpriority, 1, 1) AS grp, o_totalprice AS x, (o_custkey * 7919) % 1000 + o_totalprice / 5000 AS y, o_custkey % 97 AS z,
@@ -119,43 +121,41 @@ def nation_units(spark, sf):
     return u.select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"), "v", (F.col("n_regionkey") <= 1).alias("first_"))
 
 
-def resample(spark, units, statistic: str, n_perm: int, seed: int, plus_one: bool):
-    """Permutation p of the difference between the two groups of ``units`` (v, first_).
-
-    The draws are spread over the cluster, each with its own seed; the units are checked to be few
-    before they travel with the tasks.
-    """
-    few = units.select("unit", "v", "first_").limit(100_001).collect()
-    if len(few) > 100_000:
-        raise ValueError("resampling works on summary rows; aggregate first")
-    few = sorted(few, key=lambda r: r["unit"])
-    v, first = np.array([r["v"] for r in few]), np.array([r["first_"] for r in few])
-    mid = np.median if statistic == "median" else np.mean
-    obs, n1 = abs(float(mid(v[first]) - mid(v[~first]))), int(first.sum())
+# The same digest order of the units in SQL: every draw's first n1 units stand for the first group.
+def drawn_sql(mid: str) -> str:
+    return f"""obs AS (SELECT round(abs({mid}(v) FILTER (WHERE first_) - {mid}(v) FILTER (WHERE NOT first_)), 9) AS observed, count(*) FILTER (WHERE first_) AS n1 FROM u),
+r AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY md5('11/' || draw || '/' || unit), unit) AS rn FROM u, (SELECT unnest(range({P.DRAWS})) AS draw) AS d),
+x AS (SELECT draw, round(abs({mid}(v) FILTER (WHERE rn <= n1) - {mid}(v) FILTER (WHERE rn > n1)), 9) AS x FROM r, obs GROUP BY draw),
+h AS (SELECT count(*) FILTER (WHERE x >= observed) AS c, count(*) AS draws, max(observed) AS observed FROM x, obs)"""
 
-    def draw(batches):
-        for b in batches:
-            hits = []
-            for i in b["id"]:
-                p = np.random.default_rng([seed, int(i)]).permutation(v)
-                hits.append(int(abs(float(mid(p[:n1]) - mid(p[n1:]))) >= obs - 1e-12))
-            yield pd.DataFrame({"hit": hits})
 
-    h = spark.range(n_perm).mapInPandas(draw, "hit int").agg(F.sum("hit").alias("c"), F.count("*").alias("n"))
-    p = (F.col("c") + 1) / (F.col("n") + 1) if plus_one else F.col("c") / F.col("n")
-    return h.select(F.lit(obs).alias("observed"), p.alias("p"), F.col("n").alias("draws"))
+@query("t8_permutation_means", "observed:d,p:d,draws:b,how:s", "T8", f"""
+WITH {NATION_SQL}, {drawn_sql('avg')} SELECT observed, (c + 1) / (draws + 1)::DOUBLE AS p, draws, 'drawn' AS how FROM h""")
+def _(spark, sf):
+    return P.permutation_test(nation_units(spark, sf), "mean", True)
 
 
-@query("t8_permutation_means", "observed:d,p:d,draws:b", "T8")
+@query("t8_exact_means", "region:b,observed:d,p:d,draws:b,how:s", "T8", f"""
+WITH {NATION_SQL}, w AS (SELECT q.region, unit, v, u.region = q.region AS first_, row_number() OVER (PARTITION BY q.region ORDER BY unit) AS n FROM u, (SELECT DISTINCT region FROM u) AS q),
+obs AS (SELECT region, round(abs(avg(v) FILTER (WHERE first_) - avg(v) FILTER (WHERE NOT first_)), 9) AS observed, sum(v) AS s, count(*) AS m FROM w GROUP BY region),
+x AS (SELECT o.region, observed, round(abs((a.v + b.v + c.v + d.v + e.v) / 5 - (s - a.v - b.v - c.v - d.v - e.v) / (m - 5)), 9) AS x
+  FROM w AS a JOIN w AS b ON b.region = a.region AND b.n > a.n JOIN w AS c ON c.region = a.region AND c.n > b.n JOIN w AS d ON d.region = a.region AND d.n > c.n JOIN w AS e ON e.region = a.region AND e.n > d.n JOIN obs AS o ON o.region = a.region)
+SELECT region, max(observed) AS observed, avg((x >= observed)::INT) AS p, count(*) AS draws, 'exact' AS how FROM x GROUP BY region""")
 def _(spark, sf):
-    return resample(spark, nation_units(spark, sf), "mean", 20_000, 11, True)
+    """Each region against the rest, all 53,130 splits of 25 nations counted out."""
+    u = keep(nation_units(spark, sf), "units")
+    regions = [r.region for r in u.select("region").distinct().orderBy("region").collect()]  # the rows of a dimension
+    tests = [P.permutation_test(u.withColumn("first_", F.col("region") == r), "mean", True).withColumn("region", F.lit(r)) for r in regions]
+    return reduce(DataFrame.unionByName, tests)
 
 
-@query("t9_permutation_medians", "convention:s,observed:d,p:d,draws:b", "T9")
+@query("t9_permutation_medians", "convention:s,observed:d,p:d,draws:b,how:s", "T9", f"""
+WITH {NATION_SQL}, {drawn_sql('median')} SELECT 'plus one' AS convention, observed, (c + 1) / (draws + 1)::DOUBLE AS p, draws, 'drawn' AS how FROM h
+UNION ALL SELECT 'plain', observed, c / draws::DOUBLE, draws, 'drawn' FROM h""")
 def _(spark, sf):
-    u = nation_units(spark, sf)
-    a = resample(spark, u, "median", 20_000, 11, True).withColumn("convention", F.lit("plus one"))
-    return a.unionByName(resample(spark, u, "median", 20_000, 11, False).withColumn("convention", F.lit("plain")))
+    u = keep(nation_units(spark, sf), "units")
+    a = P.permutation_test(u, "median", True).withColumn("convention", F.lit("plus one"))
+    return a.unionByName(P.permutation_test(u, "median", False).withColumn("convention", F.lit("plain")))
 
 
 @query("t13_leave_one_out", "region:b,lo:d,hi:d", "T13", f"""
