@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Radius of the sphere in km, and the floor under cos(latitude) for cell widths.
 EARTH_KM = 6371.0
+# Fixed value: kilometres in a degree, as the spacing of a sheet's limbs is given.
+KM_PER_DEGREE_TABLE = 111.19
 CELL_COS_FLOOR = 0.02
 SEED_COS_FLOOR = 0.05
 

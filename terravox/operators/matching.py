@@ -13,6 +13,7 @@ starts behind the shares of those before it, which must end with them or with so
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -22,32 +23,33 @@ from terravox.operators.scaling import ROWS_PER_PIECE, Ordered
 from terravox.session import keep
 
 
-def numbered_pool(pool: DataFrame, key: str, value: str, rows_per_piece: int) -> DataFrame:
-    """(side, pos, member, x): side 1 upwards, side -1 downwards; equal values by smaller id."""
-    p = pool.select(F.col(key).alias("member"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+def numbered_pool(pool: DataFrame, key: str, value: str, rows_per_piece: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, side, pos, member, x): side 1 upwards, side -1 downwards; equal values by smaller id."""
+    p = pool.select(*by, F.col(key).alias("member"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
     sides = []
     for side in (1, -1):
         q = p.withColumn("at", F.col("x") * side)
-        sides.append(Ordered(q, [], ["at", "member"], rows_per_piece).number("pos").result().select(F.lit(side).alias("side"), "pos", "member", "x"))
+        sides.append(Ordered(q, by, ["at", "member"], rows_per_piece).number("pos").result().select(*by, F.lit(side).alias("side"), "pos", "member", "x"))
     return keep(sides[0].unionByName(sides[1]), "match-pool")
 
 
-def starting_places(takers: DataFrame, pool: DataFrame, key: str, value: str, rows_per_piece: int) -> DataFrame:
-    """(taker, x, up, down): the numbers of the first member at or above and of the first below a value."""
-    t = takers.select(F.col(key).alias("taker"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+def starting_places(takers: DataFrame, pool: DataFrame, key: str, value: str, rows_per_piece: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, taker, x, up, down): the numbers of the first member at or above and of the first below a value."""
+    t = takers.select(*by, F.col(key).alias("taker"), F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
     members = pool.filter("side = 1")
-    both = t.select("x", F.lit(0).alias("kind"), F.col("taker").alias("id")).unionByName(members.select("x", F.lit(1).alias("kind"), F.col("member").alias("id")))
-    ran = Ordered(both, [], ["x", "kind", "id"], rows_per_piece).running({"below": ("sum", F.col("kind"))}).result().filter("kind = 0")
-    total = members.agg(F.count(F.lit(1)).alias("size"))
-    return ran.crossJoin(F.broadcast(total)).select(F.col("id").alias("taker"), "x", (F.col("below") + 1).alias("up"), (F.col("size") - F.col("below") + 1).alias("down"))
+    both = t.select(*by, "x", F.lit(0).alias("kind"), F.col("taker").alias("id")).unionByName(members.select(*by, "x", F.lit(1).alias("kind"), F.col("member").alias("id")))
+    ran = Ordered(both, by, ["x", "kind", "id"], rows_per_piece).running({"below": ("sum", F.col("kind"))}).result().filter("kind = 0")
+    total = members.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    met = ran.join(total, list(by)) if by else ran.crossJoin(F.broadcast(total))
+    return met.select(*by, F.col("id").alias("taker"), "x", (F.col("below") + 1).alias("up"), (F.col("size") - F.col("below") + 1).alias("down"))
 
 
-def _ahead(asking: DataFrame, pool: DataFrame, n: str) -> DataFrame:
+def _ahead(asking: DataFrame, pool: DataFrame, n: str, by: Sequence[str] = ()) -> DataFrame:
     """The next ``n`` members on both sides of each row of ``asking`` (x, up, down), with their distance."""
     step = F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("step")
     each = asking.select("*", step)
     sides = [each.withColumn("side", F.lit(s)).withColumn("pos", F.col(c) + F.col("step")) for s, c in ((1, "up"), (-1, "down"))]
-    met = sides[0].unionByName(sides[1]).join(pool.withColumnRenamed("x", "y"), ["side", "pos"])
+    met = sides[0].unionByName(sides[1]).join(pool.withColumnRenamed("x", "y"), [*by, "side", "pos"])
     return met.withColumn("gap", F.abs(F.col("y") - F.col("x")))
 
 
@@ -84,9 +86,9 @@ def nearest_matches(takers: DataFrame, pool: DataFrame, k: int, key: str = "site
         proposed = reduce(DataFrame.unionByName, [held, new.drop("side")])
 
 
-def nearest_members(takers: DataFrame, pool: DataFrame, k: int, key: str = "site", value: str = "x", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
-    """taker, member, gap: the k nearest members of each taker, each member as often as it is wanted."""
-    members = numbered_pool(pool, key, value, rows_per_piece)
-    start = starting_places(takers, members, key, value, rows_per_piece).withColumn("n", F.lit(k))
-    near = Window.partitionBy("taker").orderBy("gap", "member")  # 2 k rows at most
-    return _ahead(start, members, "n").withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select("taker", "member", "gap")
+def nearest_members(takers: DataFrame, pool: DataFrame, k: int, key: str = "site", value: str = "x", by: Sequence[str] = (), rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """by, taker, member, gap: the k nearest members of each taker in its group, each as often as it is wanted."""
+    members = numbered_pool(pool, key, value, rows_per_piece, by)
+    start = starting_places(takers, members, key, value, rows_per_piece, by).withColumn("n", F.lit(k))
+    near = Window.partitionBy(*by, "taker").orderBy("gap", "member")  # 2 k rows at most
+    return _ahead(start, members, "n", by).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select(*by, "taker", "member", "gap")

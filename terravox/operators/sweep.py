@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.operators import routing as R
+from terravox.operators import shapes
 from terravox.operators.injection import axis
 from terravox.operators.topology import Smoother
 
@@ -86,20 +87,31 @@ class Cube:
         return np.where(self.seen[k] & (w > 1e-3), a - around, 0.0)
 
     def patch(self, case: dict, radius_km: float, duty: float = 1.0) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Add a conduit; what it covered is returned and undoes it."""
+        """Add a conduit; what it covered is returned and undoes it.
+
+        ``case`` is a leaning conduit, or names a ``shape`` with a place and an amplitude.
+        """
+        if "shape" in case:
+            return self.add(shapes.added(case["shape"], self.grid, case["ilat"], case["ilon"], case["amp"], radius_km, case.get("tilt", 10.0)))
         spec = axis(case, self.grid.depth, duty)
         lat, lon = np.radians(np.array(self.grid.lat))[:, None], np.radians(np.array(self.grid.lon))[None]
-        saved = []
+        added = {}
         for k, strength in enumerate(spec["amp"]):
             if strength == 0.0:
                 continue
             la, lo = np.radians(spec["lat"][k]), np.radians(spec["lon"][k])
             cosine = np.sin(la) * np.sin(lat) + np.cos(la) * np.cos(lat) * np.cos(lon - lo)
             far = R.geo.EARTH_KM * np.arccos(np.clip(cosine, -1.0, 1.0))
-            added = np.where(self.seen[k], strength * np.exp(-0.5 * (far / (radius_km / 2.0)) ** 2), 0.0)
+            added[k] = strength * np.exp(-0.5 * (far / (radius_km / 2.0)) ** 2)
+        return self.add(added)
+
+    def add(self, added: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        saved = []
+        for k, what in added.items():
+            what = np.where(self.seen[k], what, 0.0)
             saved.append((k, self.anom[k].copy(), self.contrast[k].copy()))
-            self.anom[k] += added
-            self.contrast[k] += self._less_background(added, k)
+            self.anom[k] += what
+            self.contrast[k] += self._less_background(what, k)
         return saved
 
     def undo(self, saved: list[tuple[int, np.ndarray, np.ndarray]]) -> None:

@@ -12,6 +12,8 @@ from terravox.operators import spatial
 from terravox.operators.scaling import exact_percentiles
 from terravox.plans.path_queries import PATHS_SQL, nodes
 from terravox.plans.registry import query
+from terravox.plans.spatial_queries import CAPS_SQL, caps
+from terravox.session import keep
 from terravox.sources import tables as T
 
 
@@ -101,3 +103,29 @@ def _(spark, sf):
     own = M.nearest_matches(take, pool, 3).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"))
     shared = M.nearest_members(take, pool, 3).agg(F.avg("gap").alias("mean_gap_shared"))
     return own.crossJoin(F.broadcast(shared))
+
+
+# ---- every metric against matched nulls ------------------------------------------------------------
+
+MATCHED = 50
+METRICS = ["n_cells", "cap_mean", "relief"]
+
+
+@query("t24_matched_percentiles", "model:b,site:b,n_matched:b,mismatch:d,pct_n_cells:d,pct_cap_mean:d,pct_relief:d", "T24", f"""
+WITH {CAPS_SQL}, c AS (SELECT model, kind, site, n_cells::DOUBLE AS n_cells, cap_mean, round(cap_mean - cap_min, 6) AS relief, round(cap_min, 6) AS deep FROM caps),
+r AS (SELECT h.model, h.site, abs(n.deep - h.deep) AS gap, row_number() OVER (PARTITION BY h.model, h.site ORDER BY abs(n.deep - h.deep), n.site) AS rn,
+  {', '.join(f'(n.{m} <= h.{m})::INT AS {m}' for m in METRICS)} FROM c AS h JOIN c AS n ON n.model = h.model AND h.kind = 'hotspot' AND n.kind = 'null')
+SELECT model, site, count(*) AS n_matched, max(gap) AS mismatch, {', '.join(f'100 * avg({m}) AS pct_{m}' for m in METRICS)} FROM r WHERE rn <= {MATCHED} GROUP BY model, site""", every="hotspot")
+def _(spark, sf):
+    """Percentile of all metrics of a hotspot among the nulls whose deepest value is most like its own."""
+    c = caps(spark, sf).select("model", "kind", "site", F.col("n_cells").cast("double").alias("n_cells"), "cap_mean", F.round(F.col("cap_mean") - F.col("cap_min"), 6).alias("relief"), F.round("cap_min", 6).alias("deep"))
+    c = keep(c, "metrics")
+    h, n = c.filter("kind = 'hotspot'"), c.filter("kind = 'null'")
+    pairs = M.nearest_members(h, n, MATCHED, value="deep", by=["model"])
+    # The metrics travel as one struct per side, so all are ranked in one aggregate.
+    row = F.struct(*METRICS)
+    a = h.select("model", F.col("site").alias("taker"), row.alias("own"))
+    b = n.select("model", F.col("site").alias("member"), row.alias("other"))
+    j = pairs.join(a, ["model", "taker"]).join(b, ["model", "member"])
+    pct = [(100 * F.avg((F.col("other")[m] <= F.col("own")[m]).cast("double"))).alias(f"pct_{m}") for m in METRICS]
+    return j.groupBy("model", F.col("taker").alias("site")).agg(F.count(F.lit(1)).alias("n_matched"), F.max("gap").alias("mismatch"), *pct)

@@ -13,6 +13,7 @@ from terravox.operators import injection as I
 from terravox.operators import profiles
 from terravox.operators import route_sites as S
 from terravox.operators import routing as R
+from terravox.operators import shapes
 from terravox.operators import sweep as W
 from terravox.operators.scaling import broadcast_if_small
 from terravox.plans import routing_sql as Q
@@ -351,6 +352,21 @@ def _(spark, sf):
     return W.patched_shells(rows(spark, sf), ["model"], GRID, INJECTIONS, FIXTURE_RADIUS)
 
 
+# The named shapes at one site, each as strong as the calibration asks.
+NAMED = [dict(variant=n, shape=name, ilat=INJECT_SITES[0][0], ilon=INJECT_SITES[0][1], amp=C.CAL_AMP) for n, name in enumerate(shapes.shapes(FIXTURE_RADIUS))]
+SHAPE_AXES = ", ".join(f"({r['variant']}, {limb}, {k}, {la!r}::DOUBLE, {lo!r}::DOUBLE, {rad!r}::DOUBLE, {C.CAL_AMP * st!r}::DOUBLE)" for r in NAMED for limb, k, la, lo, rad, st in shapes.axes(r["shape"], GRID.depth, r["ilat"], r["ilon"], FIXTURE_RADIUS))
+
+
+@query("g40_named_shapes", "model:b,shape:s,k:b,anom_min:d,anom_sum:d,added_sum:d", "G40,G41", f"""
+WITH {T.CELLS_SQL}, x(variant, limb, k, la, lo, r, amp) AS (VALUES {SHAPE_AXES}), n(variant, shape) AS (VALUES {', '.join(f"({r['variant']}, '{r['shape']}')" for r in NAMED)}),
+l AS (SELECT model, variant, k, j, i, min(amp * exp(-pow({T.arc_sql('la', 'lo', 'lat', 'lon')} / (r / 2), 2) / 2)) AS v FROM cols, x GROUP BY ALL)
+SELECT m.model, n.shape, m.k, min(anom + coalesce(v, 0)) AS anom_min, sum(anom + coalesce(v, 0)) AS anom_sum, coalesce(sum(v), 0) AS added_sum
+FROM cells AS m CROSS JOIN n LEFT JOIN l ON l.model = m.model AND l.variant = n.variant AND l.k = m.k AND l.j = m.j AND l.i = m.i GROUP BY m.model, n.shape, m.k""")
+def _(spark, sf):
+    d = W.patched_shells(rows(spark, sf), ["model"], GRID, NAMED, FIXTURE_RADIUS)
+    return d.withColumn("shape", F.create_map(*[F.lit(x) for r in NAMED for x in (r["variant"], r["shape"])])[F.col("variant")])
+
+
 def trials(spark, sf, observed, costs):
     """Hit, miss or uninformative for every (model, configuration, injection)."""
     th = null_threshold(costs)

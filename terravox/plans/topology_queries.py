@@ -342,3 +342,62 @@ def _(spark, sf):
     return r.groupBy("model", "metric").agg(
         n.alias("n_with"), F.count_if(~F.col("held")).alias("n_without"), F.median(F.when(F.col("held"), F.col("x"))).alias("median_with"), F.median(F.when(~F.col("held"), F.col("x"))).alias("median_without"),
         (F.sum(F.when(F.col("held"), F.col("rank"))) - n * (n + 1) / 2).alias("u"))
+
+
+# ---- classes of map cells, compared shell by shell --------------------------------------------------
+
+# Fixed values of the comparison: rows of the box, cell the window is looked for from, depths in km.
+BOX_ROWS, SEED_CELL, SHELL_KM = (3, 16), (10, 12), (100.0, 2800.0)
+SLAB_SQL = f"""{CELLS}, o AS (SELECT * FROM (VALUES (-1), (0), (1)) AS a(dj), (VALUES (-1), (0), (1)) AS b(di)), o3 AS (SELECT * FROM (SELECT unnest(range(-3, 4)) AS dj), (SELECT unnest(range(-3, 4)) AS di)),
+g AS (SELECT model, j, i, label >= 8 AS dep FROM cols), m AS (SELECT model, j, i FROM cols WHERE label >= 4),
+d AS (SELECT DISTINCT model, j + dj AS j, i + di AS i FROM m, o WHERE j + dj BETWEEN 0 AND 19 AND i + di BETWEEN 0 AND 24),
+slab AS MATERIALIZED (SELECT model, j + dj AS j, i + di AS i FROM d, o WHERE j + dj BETWEEN 0 AND 19 AND i + di BETWEEN 0 AND 24 GROUP BY ALL HAVING count(*) = 9),
+gap AS MATERIALIZED (SELECT model, j, i FROM g WHERE NOT EXISTS (SELECT 1 FROM slab AS s WHERE s.model = g.model AND s.j = g.j AND s.i = g.i)),
+seed AS (SELECT model, arg_min(j, (abs(j - {SEED_CELL[0]}) + abs(i - {SEED_CELL[1]})) * 1000 + j * 25 + i) AS j, arg_min(i, (abs(j - {SEED_CELL[0]}) + abs(i - {SEED_CELL[1]})) * 1000 + j * 25 + i) AS i FROM gap GROUP BY model),
+win AS (SELECT * FROM seed UNION SELECT q.model, q.j, q.i FROM win AS w JOIN gap AS q ON q.model = w.model AND ((q.i = w.i AND abs(q.j - w.j) = 1) OR (q.j = w.j AND (q.i = (w.i + 1) % 25 OR w.i = (q.i + 1) % 25)))),
+w AS MATERIALIZED (SELECT model, j, i FROM win),
+near AS (SELECT DISTINCT model, j + dj AS j, i + di AS i FROM w, o3),
+edge AS (SELECT g.model, g.j, g.i FROM g JOIN near USING (model, j, i) WHERE dep AND j BETWEEN {BOX_ROWS[0]} AND {BOX_ROWS[1]} AND NOT EXISTS (SELECT 1 FROM w WHERE w.model = g.model AND w.j = g.j AND w.i = g.i)),
+line AS (SELECT DISTINCT model, j + dj AS j, i + di AS i FROM edge, o),
+cls AS MATERIALIZED (SELECT g.model, g.j, g.i, CASE WHEN w.j IS NOT NULL THEN 'window' WHEN line.j IS NOT NULL THEN 'ribbon' WHEN dep THEN 'belt' WHEN slab.j IS NOT NULL THEN 'other' END AS class_
+  FROM g LEFT JOIN w USING (model, j, i) LEFT JOIN line USING (model, j, i) LEFT JOIN slab USING (model, j, i) WHERE g.j BETWEEN {BOX_ROWS[0]} AND {BOX_ROWS[1]})"""
+
+
+@query("c30_slab_classes", "model:b,j:b,i:b,class_:s", "C30,G45", f"WITH RECURSIVE {SLAB_SQL} SELECT * FROM cls WHERE class_ IS NOT NULL")
+def slab_classes(spark, sf):
+    """Window, ribbon beside it, belt and the rest of the covered ground, inside the rows of the box.
+
+    The window is the component of a seed cell in the complement of the closed cover; where the seed is
+    covered, that of the nearest open cell.
+    """
+    keys = ["model"]
+    c = T.columns(spark, sf).select("model", "j", "i", "label")
+    cover = Tp.erode(Tp.dilate(c.filter("label >= 4"), keys, T.NLAT, T.NLON), keys, T.NLAT, T.NLON).withColumn("slab", F.lit(True))
+    c = keep(c.join(cover, [*keys, "j", "i"], "left").select("model", "j", "i", "label", F.coalesce("slab", F.lit(False)).alias("slab")), "slab")
+    field = R.grid_rows_of_cells(c.select("model", "j", "i", F.lit(0).alias("k"), F.col("slab").cast("double").alias("x")), keys, "x")
+    gap = keep(Tp.labelled(field, keys, T.NLAT, T.NLON, 0.5).select("model", "j", "i", "label"), "gaps")
+    away = (F.abs(F.col("j") - SEED_CELL[0]) + F.abs(F.col("i") - SEED_CELL[1])) * 1000 + F.col("j") * T.NLON + F.col("i")
+    seed = gap.groupBy("model").agg(F.min_by("label", away).alias("label"))
+    window = gap.join(seed, ["model", "label"]).select("model", "j", "i", F.lit(True).alias("win"))
+    near = Tp.offsets(window.select("model", "j", "i"), T.NLAT, T.NLON, reach=3).distinct().withColumn("near", F.lit(True))
+    g = c.filter(F.col("j").between(*BOX_ROWS)).join(window, [*keys, "j", "i"], "left").join(near, [*keys, "j", "i"], "left")
+    g = keep(g.select("model", "j", "i", "slab", (F.col("label") >= 8).alias("dep"), F.col("win").isNotNull().alias("win"), F.col("near").isNotNull().alias("near")), "slab-near")
+    line = Tp.dilate(g.filter("dep AND near AND NOT win"), keys, T.NLAT, T.NLON).withColumn("line", F.lit(True))
+    g = g.join(line, [*keys, "j", "i"], "left")
+    kind = F.when(F.col("win"), "window").when(F.col("line"), "ribbon").when(F.col("dep"), "belt").when(F.col("slab"), "other")
+    return g.select("model", "j", "i", kind.alias("class_")).filter("class_ IS NOT NULL")
+
+
+@query("c30_slab_comparison", "model:b,depth_km:d,ribbon:d,belt:d,window:d,other:d,n_ribbon:b,n_window:b,ribbon_minus_window:d,belt_minus_window:d,ribbon_minus_other:d", "C30", f"""
+WITH RECURSIVE {SLAB_SQL}, a AS (SELECT c.model, depth_km, {', '.join(f"avg(anom) FILTER (WHERE class_ = '{x}') AS {x}_" for x in ('ribbon', 'belt', 'window', 'other'))},
+  count(*) FILTER (WHERE class_ = 'ribbon') AS n_ribbon, count(*) FILTER (WHERE class_ = 'window') AS n_window FROM cls AS c JOIN cells AS x USING (model, j, i) WHERE depth_km BETWEEN {SHELL_KM[0]} AND {SHELL_KM[1]} GROUP BY ALL)
+SELECT model, depth_km, ribbon_ AS ribbon, belt_ AS belt, window_ AS window, other_ AS other, n_ribbon, n_window, ribbon_ - window_ AS ribbon_minus_window, belt_ - window_ AS belt_minus_window, ribbon_ - other_ AS ribbon_minus_other FROM a""")
+def _(spark, sf):
+    c = T.columns(spark, sf).select("model", "j", "i", "v").join(slab_classes(spark, sf), ["model", "j", "i"])
+    # One sum per class and shell over the depth columns: the shuffle carries numbers, not cells.
+    kinds = ["ribbon", "belt", "window", "other"]
+    shells = [k for k in range(T.NZ) if SHELL_KM[0] <= k * T.DZ_KM <= SHELL_KM[1]]
+    g = c.groupBy("model").agg(*[F.array(*[F.avg(F.when(F.col("class_") == x, F.col("v")[k])) for k in shells]).alias(x) for x in kinds], *[F.count_if(F.col("class_") == x).alias("n_" + x) for x in ("ribbon", "window")])
+    at = F.explode(F.arrays_zip(F.array(*[F.lit(k * T.DZ_KM) for k in shells]).alias("depth_km"), *[F.col(x) for x in kinds])).alias("s")
+    s = g.select("model", "n_ribbon", "n_window", at).select("model", "n_ribbon", "n_window", "s.*")
+    return s.select("*", (F.col("ribbon") - F.col("window")).alias("ribbon_minus_window"), (F.col("belt") - F.col("window")).alias("belt_minus_window"), (F.col("ribbon") - F.col("other")).alias("ribbon_minus_other"))
