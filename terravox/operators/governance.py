@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: clock tolerance in seconds between an output and its inputs.
@@ -58,3 +61,50 @@ def remaining(cases: DataFrame, done: DataFrame, keys: list[str], settings: str
     if not mixed.isEmpty():
         raise ValueError("finished cases were made under different settings")
     return cases.join(done.select(*keys), keys, "left_anti")
+
+
+# ---- frozen configurations --------------------------------------------------------------------------
+
+CHECKSUM = "checksum"
+
+
+def table_digest(df: DataFrame) -> str:
+    """A digest of a table's columns and rows, whatever their order, from one aggregate over it.
+
+    Rows are digested on their own; their 64-bit parts are added up, so equal rows count as often as they occur.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 15 * n, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{n}") for n in range(4)]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    text = json.dumps([sorted(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), *[str(x) for x in seen]])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _seal(document: dict) -> str:
+    return hashlib.sha256(json.dumps(document, sort_keys=True).encode()).hexdigest()
+
+
+def freeze(spark: SparkSession, path: str, settings: dict, chosen_on: str, inputs: dict[str, DataFrame]) -> dict:
+    """Write settings once, with what they were chosen on, the digests of the inputs and a checksum.
+
+    A path that is taken is refused: a frozen configuration is replaced under a new name, never changed.
+    """
+    document = {"settings": settings, "chosen_on": chosen_on, "inputs": {n: table_digest(df) for n, df in sorted(inputs.items())}}
+    sealed = {**document, CHECKSUM: _seal(document)}
+    spark.createDataFrame([(json.dumps(sealed, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(path)
+    return sealed
+
+
+def thaw(spark: SparkSession, path: str, used_on: str, inputs: dict[str, DataFrame]) -> dict:
+    """The settings of a frozen document, or an error if it was edited, belongs to another model, or its
+    inputs are not what they were."""
+    held = json.loads("".join(r.value for r in spark.read.text(path).collect()))  # one short document
+    document = {k: v for k, v in held.items() if k != CHECKSUM}
+    if held.get(CHECKSUM) != _seal(document):
+        raise ValueError("edited: the configuration is not what was frozen")
+    if document["chosen_on"] != used_on:
+        raise ValueError("other model: a configuration holds for what it was chosen on")
+    now = {n: table_digest(df) for n, df in sorted(inputs.items())}
+    if now != document["inputs"]:
+        raise ValueError("inputs: " + ", ".join(sorted(n for n in {*now, *document["inputs"]} if now.get(n) != document["inputs"].get(n))) + " changed since the freeze")
+    return document["settings"]

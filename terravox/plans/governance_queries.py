@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from terravox.operators import governance as G
 from terravox.operators import statistics as St
 from terravox.operators.scaling import exact_percentiles
 from terravox.plans.registry import query
+from terravox.session import scratch_path
 from terravox.sources import files, sinks
 from terravox.sources import tables as T
 
@@ -173,3 +177,36 @@ def _(spark, sf):
     w = Window.partitionBy("flag").orderBy("b")  # one row per width class
     g = med.withColumn("s", F.col("med") - F.lag("med").over(w)).groupBy("flag").agg(F.count("*").alias("medians"), F.bool_and(F.col("s") > 0).alias("monotone"))
     return rho.join(g, "flag").withColumn("passes", F.col("monotone") & (F.col("rho") >= 0.5))
+
+
+@query("c14_frozen_configuration", "attempt:s,accepted:t,reason:s,lateral_:d,rows_:b", "C14,K9", """
+WITH c AS (SELECT min(l_quantity) AS lateral_, count(*) AS rows_ FROM lineitem)
+SELECT a.attempt, a.attempt = 'as frozen' AS accepted, a.reason, CASE WHEN a.attempt = 'as frozen' THEN lateral_ END AS lateral_, CASE WHEN a.attempt = 'as frozen' THEN rows_ END AS rows_
+FROM c, (VALUES ('as frozen', ''), ('input changed', 'inputs'), ('other model', 'other model'), ('edited', 'edited'), ('frozen again', 'taken')) AS a(attempt, reason)""")
+def _(spark, sf):
+    """A configuration measured on a table is frozen and asked for five times; four have to be refused."""
+    l = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    seen = l.agg(F.min("l_quantity").cast("double").alias("lateral_"), F.count(F.lit(1)).alias("rows_"), F.min("l_orderkey").alias("k")).first()
+    path, settings = scratch_path(spark, "frozen"), {"lateral_": seen.lateral_, "rows_": seen.rows_}
+    sealed = G.freeze(spark, path, settings, "model 0", {"lineitem": l})
+    changed = l.withColumn("l_quantity", F.when(F.col("l_orderkey") == seen.k, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    forged = scratch_path(spark, "forged")
+    sealed["settings"] = {**settings, "lateral_": 0.1}
+    spark.createDataFrame([(json.dumps(sealed, sort_keys=True),)], "value string").coalesce(1).write.text(forged)
+    tries = {
+        "as frozen": lambda: G.thaw(spark, path, "model 0", {"lineitem": l}),
+        "input changed": lambda: G.thaw(spark, path, "model 0", {"lineitem": changed}),
+        "other model": lambda: G.thaw(spark, path, "model 1", {"lineitem": l}),
+        "edited": lambda: G.thaw(spark, forged, "model 0", {"lineitem": l}),
+        "frozen again": lambda: G.freeze(spark, path, settings, "model 0", {}),
+    }
+    rows = []
+    for name, attempt in tries.items():
+        try:
+            got = attempt()
+            rows.append((name, True, "", got["lateral_"], got["rows_"]))
+        except ValueError as e:
+            rows.append((name, False, str(e).split(":")[0], None, None))
+        except AnalysisException as e:
+            rows.append((name, False, "taken" if "PATH_ALREADY_EXISTS" in str(e) else str(e), None, None))
+    return spark.createDataFrame(rows, "attempt string, accepted boolean, reason string, lateral_ double, rows_ bigint")
