@@ -26,6 +26,10 @@ folded in each task before anything is sent. Texts are known by 128 bits of hash
 whole is the list of hot hashes, at most one per ``hot`` anchors and cut to ``HOT_LISTED`` by raising
 ``hot`` when there are more.
 
+A run that repeats itself after at most ``PERIODS`` bytes (blanks, rules, a short line again and again) would
+have an anchor in every period. Its strings are equal to each other: they are removed as a whole, and only
+those of the first period keep anchors, by which other texts find them.
+
 Null and empty texts have no bytes, no spans, and the digest of nothing. Repeated rows give repeated
 results; a text that occurs twice loses all its bytes if it has ``length`` of them. A null key stays
 null. Other columns of the input are not read.
@@ -46,6 +50,8 @@ from terravox.session import keep
 
 LENGTH = 200
 GRAM = 64
+#: Longest period of a run whose strings are settled without anchors of their own.
+PERIODS = 32
 #: Bytes of text whose anchors are found at once; longer texts are cut with an overlap.
 CHUNK = 1 << 21
 #: Bytes of text that a task folds copies in before it sends them on.
@@ -99,8 +105,33 @@ def sliding_first_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def periodic_runs(buf: np.ndarray, length: int, begins: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(period, first byte, byte behind the last) of each run that repeats itself after at most ``PERIODS``
+    bytes and is at least ``length`` bytes and one period long; runs do not cross ``begins``.
+
+    Such a run holds a place on any grid of half a ``length``, so a few bytes there tell whether to look closer.
+    """
+    n, found = len(buf), []
+    probe = np.arange(0, max(0, n - 8), max(1, length // 2))[:, None] + np.arange(8)
+    here = buf[probe].view(np.uint64).ravel()
+    for p in range(1, min(PERIODS, length // 4) + 1):
+        fits = probe[:, -1] + p < n
+        if not (buf[probe[fits] + p].view(np.uint64).ravel() == here[fits]).any():
+            continue
+        same = buf[p:] == buf[:-p]
+        for b in begins[1:].tolist() if begins is not None else ():
+            same[max(0, b - p) : b] = False
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        found += [(p, a, b + p) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= length]
+    return found
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, smallest and largest distance from a string's start to it, hash) of all anchors."""
+    """(text, place, smallest and largest distance from a string's start to it, hash) of all anchors.
+
+    Of a periodic run only the strings of its first period have anchors of their own: the others are
+    equal to these, so what equals them is found there, and they themselves are known to be repeated.
+    """
     out = []
     group: list[tuple[int, int, bytes]] = []
     size = 0
@@ -113,7 +144,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         sizes = np.array([len(p) for _, _, p in group])
         begin = np.cumsum(sizes) - sizes
         part = np.repeat(np.arange(len(group)), sizes)[: len(first)]
-        p = np.flatnonzero(np.arange(len(first)) + length <= (begin + sizes)[part])
+        open_ = np.arange(len(first)) + length <= (begin + sizes)[part]
+        for period, x, y in periodic_runs(buf, length, begin):
+            open_[x + period : y - length + 1] = False
+        p = np.flatnonzero(open_)
         a, part = first[p], part[p]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
         last = np.append(head[1:], len(p)) - 1
@@ -299,6 +333,8 @@ def runs(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int, heavy:
     for (ref, _, n, size), a, b, t in zip(meta.tolist(), begin, end, texts):
         if n > 1 and size >= length:
             spans.append((ref, 0, size - length + 1))
+        elif size > length:
+            spans += [(ref, x, y - length + 1) for _, x, y in periodic_runs(np.frombuffer(t, np.uint8), length)]
         for fp, _, pos, lo, hi, _ in rec[a:b].tolist():
             if pos - hi < 0 or pos - lo + length > size:
                 continue
@@ -580,15 +616,16 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", le
         return rows.repartition(parts, "bucket").sortWithinPartitions("kind")
 
     asked = docs.mapInArrow(lambda b: asks(b, n, length, gram), ROW)
-    found = keep(by_bucket(asked).mapInArrow(lambda b: repeated(b, n, hot), ROW), "suffix-anchors")
-    listed = found.filter("kind = 2")
-    n_heavy = listed.select(F.sum(F.octet_length("meta") / 16)).first()[0] or 0
+    while True:
+        found = keep(by_bucket(asked).mapInArrow(lambda b, hot=hot: repeated(b, n, hot), ROW), "suffix-anchors")
+        listed = found.filter("kind = 2")
+        n_heavy = listed.select(F.sum(F.octet_length("meta") / 16)).first()[0] or 0
+        if n_heavy <= HOT_LISTED:
+            break
+        hot *= 4  # fewer hashes are hot, and their parts are larger; the list stays small
     heavy: dict[int, int] = {}
-    if n_heavy <= HOT_LISTED:
-        for r in listed.select("meta").collect():
-            heavy.update({a: b for a, b in np.frombuffer(r.meta, np.int64).reshape(-1, 2).tolist()})
-    else:
-        raise ValueError(f"{n_heavy:.0f} hot hashes: raise hot")
+    for r in listed.select("meta").collect():
+        heavy.update({a: b for a, b in np.frombuffer(r.meta, np.int64).reshape(-1, 2).tolist()})
     sent = spark.sparkContext.broadcast(heavy)
     texts = docs.mapInArrow(lambda b: send_texts(b, n), ROW)
     met = by_bucket(found.filter("kind = 0").unionByName(texts))

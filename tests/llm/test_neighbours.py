@@ -476,3 +476,45 @@ def test_queries_are_registered():
     names = entry.queries()
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")].__len__() == 10 and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+# ---- periodic runs of repeated passages ---------------------------------------------------------
+
+
+def removed_bytes(texts, length):
+    """Bytes covered by a string that starts at more than one place, by counting all strings."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone.update(range(i, i + length))
+        out.append(len(gone))
+    return out
+
+
+def test_periodic_runs_against_counting(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [word(30) + u * k + word(30) for u in ("a", "ab", "abc", "abcde", "abcdefghij", "aab", "abababac") for k in (39, 40, 41, 45, 13)]
+    texts += ["a" * 40, "a" * 39, "ba" * 20, "b" + "a" * 40 + "c", "ab" * 25 + "ba" * 25, "a" * 30 + "b" * 30, "aaab" * 30 + "aab" * 30, "a" * 300, "ab" * 150 + "a" * 100, "z" * 41]
+    want = removed_bytes([t.encode() for t in texts], 40)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_passages(docs(spark, texts), length=40, gram=12).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"the same line again\n", b"0" * 31 + b"\n"])
+def test_long_runs_have_few_anchors(unit):
+    text = unit * (5_000_000 // len(unit))
+    assert len(suffix_dedup.anchors([text])[0]) < 400
+    (p, a, b), *_ = suffix_dedup.periodic_runs(np.frombuffer(text, np.uint8), 200)
+    assert (p, a, b) == (len(unit), 0, len(text))
+
+
+def test_more_hot_hashes_than_may_be_listed(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_LISTED", 1)
+    texts = [f"{i:03d}" + "q" * 20 + "the same words in every text, long enough to count" + f"{i % 4} and some more of the same kind" for i in range(40)]
+    want = removed_bytes([t.encode() for t in texts], 40)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_passages(docs(spark, texts), length=40, gram=12, hot=2).collect()}
+    assert [got[i] for i in range(len(texts))] == want
