@@ -52,6 +52,8 @@ LENGTH = 200
 GRAM = 64
 #: Longest period of a run whose strings are settled without anchors of their own.
 PERIODS = 32
+#: Places of the grid looked at together.
+PROBES = 20_000
 #: Bytes of text whose anchors are found at once; longer texts are cut with an overlap.
 CHUNK = 1 << 21
 #: Bytes of text that a task folds copies in before it sends them on.
@@ -105,22 +107,34 @@ def sliding_first_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def periodic_runs(buf: np.ndarray, length: int, begins: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+def periodic_runs(buf: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(period, first byte, byte behind the last) of each run that repeats itself after at most ``PERIODS``
-    bytes and is at least ``length`` bytes and one period long; runs do not cross ``begins``.
+    bytes and is at least ``length`` bytes and one period long.
 
-    Such a run holds a place on any grid of half a ``length``, so a few bytes there tell whether to look closer.
+    Such a run holds a place on any grid of half a ``length``, with as many bytes behind it that agree with
+    those one period on. Eight of them are compared for all periods at once, the rest where these agree.
     """
-    n, found = len(buf), []
-    probe = np.arange(0, max(0, n - 8), max(1, length // 2))[:, None] + np.arange(8)
-    here = buf[probe].view(np.uint64).ravel()
-    for p in range(1, min(PERIODS, length // 4) + 1):
-        fits = probe[:, -1] + p < n
-        if not (buf[probe[fits] + p].view(np.uint64).ravel() == here[fits]).any():
-            continue
+    n, step, most = len(buf), length // 2, min(PERIODS, length // 4)
+    found: list[tuple[int, int, int]] = []
+    there: set[int] = set()
+
+    def look(x: int, p: int) -> None:
+        if p not in there and (buf[x : x + step] == buf[x + p : x + p + step]).all():
+            there.add(p)
+
+    for at in range(0, n - step - most, step * PROBES):
+        x = np.arange(at, min(at + step * PROBES, n - step - most), step)
+        near = buf[x[:, None] + np.arange(most + 8)]
+        hit = (near[:, 1:-7] == near[:, :1]) & (near[:, 4:-4] == near[:, 3:4]) & (near[:, 8:] == near[:, 7:8])
+        hit[:, [p - 1 for p in there]] = False
+        for r, q in zip(*(v.tolist() for v in np.nonzero(hit))):
+            look(int(x[r]), q + 1)
+    # The last places of the grid, where the longest periods no longer fit.
+    for x in range(max(0, -(-(n - step - most) // step)) * step, n - step, step):
+        for p in range(1, min(most, n - step - x) + 1):
+            look(x, p)
+    for p in sorted(there):
         same = buf[p:] == buf[:-p]
-        for b in begins[1:].tolist() if begins is not None else ():
-            same[max(0, b - p) : b] = False
         edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
         found += [(p, a, b + p) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= length]
     return found
@@ -145,8 +159,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         begin = np.cumsum(sizes) - sizes
         part = np.repeat(np.arange(len(group)), sizes)[: len(first)]
         open_ = np.arange(len(first)) + length <= (begin + sizes)[part]
-        for period, x, y in periodic_runs(buf, length, begin):
-            open_[x + period : y - length + 1] = False
+        for o, (_, _, t) in zip(begin.tolist(), group):
+            for period, x, y in periodic_runs(np.frombuffer(t, np.uint8), length):
+                open_[o + x + period : o + y - length + 1] = False
         p = np.flatnonzero(open_)
         a, part = first[p], part[p]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
