@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from terravox.functions import geo
 from terravox.operators import matching as M
 from terravox.operators import paths as P
+from terravox.operators import separation
 from terravox.operators import spatial
 from terravox.operators.scaling import exact_percentiles
 from terravox.plans.path_queries import PATHS_SQL, nodes
 from terravox.plans.registry import query
-from terravox.plans.spatial_queries import CAPS_SQL, caps
+from terravox.plans.spatial_queries import BOUNDARY_SQL, CAPS_SQL, boundary_cells, caps
 from terravox.session import keep
 from terravox.sources import tables as T
 
@@ -34,6 +35,52 @@ def _(spark, sf):
     return n.join(near, "site", "left_anti")
 
 
+# Ambient sites keep this far from every hotspot; targets of the signed margin, their width, how
+# far apart replicates stand.
+AWAY_KM = 1500.0
+MARGINS, MARGIN_WIDTH_KM, APART_KM = (-1500.0, 0.0, 1500.0), 500.0, 2500.0
+
+
+@query("c31_ambient_sites", "nation:b,site:b,lat:d,lon:d,n_sites:b", "C31,J6,J9", f"""
+WITH {T.SITES_SQL}, h AS (SELECT DISTINCT s_nationkey AS nation, x.lat, x.lon FROM supplier AS s JOIN hotspots AS x ON x.site = s.s_suppkey)
+SELECT n_nationkey AS nation, site, lat, lon, n_sites FROM nation, places AS n WHERE kind = 'null'
+  AND NOT EXISTS (SELECT 1 FROM h WHERE h.nation = n_nationkey AND {T.arc_sql('n.lat', 'n.lon', 'h.lat', 'h.lon')} <= {AWAY_KM})""", every="null")
+def _(spark, sf):
+    # Every nation is a catalogue of hotspots of its own, with its own ambient sites.
+    n = T.places(T.nulls(spark, sf)).drop("kind")
+    of = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("nation"))
+    h = T.hotspots(spark, sf).join(of, "site").select("nation", "lat", "lon").distinct()
+    near = spatial.radius_join(n.select("site", "lat", "lon"), h, AWAY_KM).select("site", F.col("p_nation").alias("nation")).distinct()
+    # ``nation`` is a table of fixed size.
+    every = n.crossJoin(F.broadcast(T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))))
+    return every.join(near, ["site", "nation"], "left_anti")
+
+
+@query("c31_margin_replicates", "model:b,target:d,j:b,i:b,margin_km:d", "C31,F12", f"""
+WITH RECURSIVE {T.CELLS_SQL}, {BOUNDARY_SQL}, col AS (SELECT DISTINCT model, j, i, lat, lon FROM cols),
+m AS (SELECT c.model, c.j, c.i, c.lat, c.lon, min({T.arc_sql('c.lat', 'c.lon', 'e.lat', 'e.lon')}) AS d FROM col AS c JOIN edge AS e ON e.model = c.model GROUP BY ALL),
+s AS (SELECT m.*, CASE WHEN q.j IS NULL THEN d ELSE -d END AS margin_km FROM m LEFT JOIN (SELECT DISTINCT model, j, i FROM inside) AS q USING (model, j, i)),
+c AS (SELECT s.*, target, row_number() OVER (PARTITION BY model, target ORDER BY (j * 7919 + i * 613) % 1009, j, i) AS turn
+  FROM s, (SELECT unnest({list(MARGINS)}::DOUBLE[]) AS target) AS t WHERE abs(margin_km - target) <= {MARGIN_WIDTH_KM}),
+g AS (SELECT model, target, 1 AS turn, [{{'j': j, 'i': i, 'lat': lat, 'lon': lon, 'm': margin_km}}] AS taken FROM c WHERE turn = 1 UNION ALL
+  SELECT g.model, g.target, c.turn, CASE WHEN len(list_filter(taken, lambda x: {T.arc_sql('c.lat', 'c.lon', 'x.lat', 'x.lon')} <= {APART_KM})) = 0
+    THEN list_append(taken, {{'j': c.j, 'i': c.i, 'lat': c.lat, 'lon': c.lon, 'm': c.margin_km}}) ELSE taken END FROM g JOIN c ON c.model = g.model AND c.target = g.target AND c.turn = g.turn + 1),
+l AS (SELECT model, target, unnest(max_by(taken, turn)) AS x FROM g GROUP BY model, target)
+SELECT model, target, x.j, x.i, x.m AS margin_km FROM l""")
+def _(spark, sf):
+    """Cells of every model near each target of the signed margin, replicates far apart; the order of choice
+    is a digest of the cell, so it prefers no region."""
+    cells = T.columns(spark, sf).select("model", "j", "i", "lat", "lon", "label").distinct()
+    grid = cells.select("j", "i", "lat", "lon").distinct()
+    d = spatial.nearest_join_by(grid, boundary_cells(spark, sf).select("model", F.col("j").alias("ej"), F.col("i").alias("ei"), "lat", "lon"), ["j", "i"], ["ej", "ei"], ["model"], 1500.0)
+    inside = cells.filter("label <= 2").select("model", "j", "i", F.lit(True).alias("inn")).distinct()
+    s = cells.select("model", "j", "i", "lat", "lon").distinct().join(d.select("model", "j", "i", "dist_km"), ["model", "j", "i"]).join(inside, ["model", "j", "i"], "left")
+    s = s.withColumn("margin_km", F.when(F.col("inn"), -F.col("dist_km")).otherwise(F.col("dist_km")))
+    c = s.withColumn("target", F.explode(F.array(*[F.lit(t) for t in MARGINS]))).filter(F.abs(F.col("margin_km") - F.col("target")) <= MARGIN_WIDTH_KM)
+    c = c.withColumn("turn", (F.col("j") * 7919 + F.col("i") * 613) % 1009)
+    return separation.keep_apart(c.select("model", "target", "turn", "j", "i", "lat", "lon", "margin_km"), ["model", "target"], ["turn", "j", "i"], APART_KM)
+
+
 def rotations(count: int, seed: int = 97) -> list[list[list[float]]]:
     """Uniform random rotations of the sphere, from unit quaternions."""
     out = []

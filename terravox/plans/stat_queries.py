@@ -198,6 +198,31 @@ def _(spark, sf):
     return r.groupBy("grp").agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("w_plus_m"), side(F.col("d") < 0).alias("w_minus_m"))
 
 
+@query("t16_signed_rank_p", "grp:s,n:b,w_m:d,z:d,p:d", "T16")
+def _(spark, sf):
+    d = orders(spark, sf).withColumn("d", F.round(F.col("x") / 500 - F.col("y"), 6))
+    g = St.p_of_signed_rank(St.signed_rank(d, ["grp"], "d"))
+    return g.withColumn("w_m", F.least("w_plus", "w_minus") / 1e6)
+
+
+@query("t16_exact_signed_rank", "chain:b,n:b,w:d,z:d,exact_p:d", "T16", """
+WITH RECURSIVE ways AS (SELECT 0 AS n, [1.0::DOUBLE] AS c UNION ALL
+  SELECT n + 1, list_transform(range(1, (n + 1) * (n + 2) // 2 + 2), lambda w: (coalesce(c[w], 0) + CASE WHEN w > n + 1 THEN coalesce(c[w - n - 1], 0) ELSE 0 END) / 2) FROM ways WHERE n < 50),
+d AS (SELECT o_custkey AS chain, round(o_totalprice / 997 - 150, 6) AS d FROM orders),
+k AS (SELECT chain, d, rank() OVER (PARTITION BY chain ORDER BY abs(d)) + (count(*) OVER (PARTITION BY chain, abs(d)) - 1) / 2.0::DOUBLE AS r,
+  count(*) OVER (PARTITION BY chain, abs(d)) AS t FROM d WHERE d <> 0),
+g AS (SELECT chain, count(*) AS n, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, sum(t * t - 1)::DOUBLE AS ties FROM k GROUP BY chain)
+SELECT chain, g.n, w, (w - g.n * (g.n + 1) / 4.0::DOUBLE) / sqrt(g.n * (g.n + 1) * (2 * g.n + 1) / 24.0::DOUBLE - ties / 48) AS z,
+  CASE WHEN ties = 0 THEN least(1.0::DOUBLE, 2 * list_sum(c[1:w::BIGINT + 1])) END AS exact_p
+FROM g LEFT JOIN ways ON ways.n = g.n""")
+def _(spark, sf):
+    # The totals of each chain of orders against a middle of 150; none has more orders than are counted out, or p is null.
+    d = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.round(F.col("o_totalprice") / 997 - 150, 6).alias("d"))
+    g = St.p_of_signed_rank(St.signed_rank(d, ["chain"], "d"))
+    exact = (F.col("ties") == 0) & (F.col("n") <= St.SIGNED_RANK_EXACT)
+    return g.withColumn("w", F.least("w_plus", "w_minus")).withColumn("exact_p", F.when(exact, F.col("p")))
+
+
 @query("t17_theil_sen", "model:b,j:b,i:b,slope:d,intercept:d", "T17", f"""
 WITH {T.CELLS_SQL}, p AS (SELECT a.model, a.j, a.i, (b.anom - a.anom) / (b.depth_km - a.depth_km) * 1000 AS s FROM cells AS a JOIN cells AS b ON b.model = a.model AND b.j = a.j AND b.i = a.i AND b.k > a.k),
 m AS (SELECT model, j, i, median(s) AS slope FROM p GROUP BY ALL)

@@ -166,21 +166,39 @@ def weights_sql(name: str, col: str, sigma: str) -> str:
  (SELECT {col}, {sigma} AS s FROM (SELECT unnest(range({T.NLAT})) AS {col})) AS q, LATERAL (SELECT unnest(range(-floor(4 * s + 0.5)::BIGINT, floor(4 * s + 0.5)::BIGINT + 1)) AS o) AS z))"""
 
 
-@query("g37_spherical_smoothing", "model:b,k:b,j:b,i:b,background:d,contrast:d", "G37,G38,D4", f"""
-WITH {CELLS}, {weights_sql('wj', 'j', f'{SJ!r}::DOUBLE')}, {weights_sql('wi', 'j', f'least({SIGMA} / ({T.DLON}::DOUBLE * {KM!r}::DOUBLE * greatest(cos(radians(-85.5 + 9 * j)), 0.02::DOUBLE)), {T.NLON} / 6.0::DOUBLE)')},
+SMOOTH_SQL = f"""{CELLS}, {weights_sql('wj', 'j', f'{SJ!r}::DOUBLE')}, {weights_sql('wi', 'j', f'least({SIGMA} / ({T.DLON}::DOUBLE * {KM!r}::DOUBLE * greatest(cos(radians(-85.5 + 9 * j)), 0.02::DOUBLE)), {T.NLON} / 6.0::DOUBLE)')},
 p AS MATERIALIZED (SELECT model, wj.j, i, k, sum(w * anom) AS a FROM wj JOIN cells AS c ON c.j = least({T.NLAT - 1}, greatest(0, wj.j + o)) GROUP BY ALL),
 pp AS (SELECT p.model, p.k, p.j, (p.i - wi.o + 50) % {T.NLON} AS i, w * a AS v FROM p JOIN wi ON wi.j = p.j),
-b AS (SELECT model, k, j, i, sum(v) AS background FROM pp GROUP BY ALL)
-SELECT b.*, c.anom - background AS contrast FROM b JOIN cells AS c USING (model, k, j, i)""")
-def _(spark, sf):
+b AS (SELECT model, k, j, i, sum(v) AS background FROM pp GROUP BY ALL)"""
+
+
+def smoothed(spark, sf):
+    """model, k, j, z: one record per line of a shell, with (b, a) of background and anomaly."""
     rows = R.grid_rows(T.columns(spark, sf), ["model"])
     s = Tp.smooth(rows, ["model"], LAT, T.DLON, SIGMA)
-    j = rows.join(s, ["model", "k", "j"])
     both = F.arrays_zip(F.col("background").alias("b"), F.col("row").alias("a"))
-    x = j.select("model", "k", "j", F.posexplode(both).alias("i", "z"))
+    return rows.join(s, ["model", "k", "j"]).select("model", "k", "j", both.alias("z"))
+
+
+@query("g37_spherical_smoothing", "model:b,k:b,j:b,i:b,background:d,contrast:d", "G37,G38,D4", f"""
+WITH {SMOOTH_SQL}
+SELECT b.*, c.anom - background AS contrast FROM b JOIN cells AS c USING (model, k, j, i)""")
+def _(spark, sf):
+    x = smoothed(spark, sf).select("model", "k", "j", F.posexplode("z").alias("i", "z"))
     return x.select("model", "k", "j", "i", F.col("z.b").alias("background"), (F.col("z.a") - F.col("z.b")).alias("contrast"))
 
 
+@query("g38_smoothed_contrast", "model:b,k:b,mean_contrast:d,min_contrast:d,max_prominence:d", "G38,D4", f"""
+WITH {SMOOTH_SQL}
+SELECT model, k, avg(anom - background) AS mean_contrast, min(anom - background) AS min_contrast, max(background - anom) AS max_prominence
+FROM b JOIN cells AS c USING (model, k, j, i) GROUP BY model, k""")
+def _(spark, sf):
+    # Sums and extremes are taken inside the rows; one line of a shell is one record.
+    c = F.transform("z", lambda z: z["a"] - z["b"])
+    x = smoothed(spark, sf).select("model", "k", c.alias("c")).select("model", "k", F.aggregate("c", F.lit(0.0), lambda s, v: s + v).alias("s"), F.size("c").alias("n"), F.array_min("c").alias("lo"))
+    return x.groupBy("model", "k").agg((F.sum("s") / F.sum("n")).alias("mean_contrast"), F.min("lo").alias("min_contrast"), (-F.min("lo")).alias("max_prominence"))
+
+
 @query("g45_closing", "model:b,k:b,members:b,dilated:b,closed:b", "G45,C30", f"""
 WITH {CELLS}, m AS (SELECT model, k, j, i FROM cells WHERE anom < {CUT}), o AS (SELECT * FROM (VALUES (-1), (0), (1)) AS a(dj), (VALUES (-1), (0), (1)) AS b(di)),
 d AS (SELECT DISTINCT model, k, j + dj AS j, i + di AS i FROM m, o WHERE j + dj BETWEEN 0 AND 19 AND i + di BETWEEN 0 AND 24),

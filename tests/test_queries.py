@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # The smallest tables hold one model; these queries join, window or group over models.
 OVER_MODELS = ["p2_percent_anomaly", "p9_percentile_mask", "p17_site_window", "a9_weighted_shell_comparison", "a11_spherical_centroid",
                "j10_inverse_square_bearing", "cap_percentile_vs_null", "g43_regrid_bilinear", "t19_weighted_area_sample", "t26_area_null_observed",
-               "j12_nearest_boundary", "g35_axis_coherence", "c30_slab_comparison", "t24_matched_percentiles", "g40_named_shapes"]
+               "c31_margin_replicates", "g38_smoothed_contrast", "j12_nearest_boundary", "g35_axis_coherence", "c30_slab_comparison", "t24_matched_percentiles", "g40_named_shapes"]
 
 
 def connect(sf):
