@@ -51,31 +51,82 @@ def test_secrets_base_spans(spark):
         assert got[i].n_assign + got[i].n_access + got[i].n_hex == len([s for s in want.split(",") if s])
 
 
-def test_guess_cost_is_the_smallest_over_all_cuts():
+def reading(text):
+    """Natural logs of the guesses of all readings of a whole text but brute force, each kind from its definition."""
+    from math import comb, log
+
+    low, n, out = text.lower(), len(text), []
+    rank = {w: i + 1 for i, w in reversed(list(enumerate(guess_cost.WORDS.split())))}
+    upper = sum(c != d for c, d in zip(text, low))
+    case = 0.0 if not upper else log(2) if upper == n or (upper == 1 and (text[0] != low[0] or text[-1] != low[-1])) else log(2 * comb(n, min(upper, n - upper)))
+    swapped = "".join(dict(zip("@4301!5$7+8", "aaeoiissttb")).get(c, c) for c in low)
+    if n > 1:
+        out += [log(rank[low] + 1) + case] if low in rank else []
+        out += [log(rank[low[::-1]] + 1) + log(2) + case] if low[::-1] in rank else []
+        changed = sum(c != d for c, d in zip(low, swapped))
+        out += [log(rank[swapped] + 1) + (1 + changed) * log(2) + case] if changed and swapped in rank else []
+    bare = [c for c in text if c.isdigit()]
+    year, month, day = r"(19|20)[0-9]{2}", r"(0[1-9]|1[0-2])", r"(0[1-9]|[12][0-9]|3[01])"
+    for form in (f"{year}~{month}~{day}", f"{day}~{month}~{year}", f"{day}~{month}~[0-9][0-9]"):
+        if re.fullmatch(form.replace("~", "[-/._]?"), text):
+            out.append(log(365 * 119) + (log(4) if len(bare) < n else 0.0))
+    out += [log(119)] if re.fullmatch(year, text) else []
+    for unit in range(1, 9):
+        if n % unit == 0 and n >= max(3, 2 * unit) and text == text[:unit] * (n // unit):
+            out.append(unit * log(10) + log(n / unit))
+    if n >= 3 and text.isalnum() and {ord(y) - ord(x) for x, y in zip(low, low[1:])} in ({1}, {-1}):
+        out.append(log(26) + log(n))
+    keys = {c: complex(r, i) for r, row in enumerate(guess_cost.ROWS[:4]) for i, c in enumerate(row)}
+    if n >= 3 and all(c in keys for c in low):
+        moves = [keys[y] - keys[x] for x, y in zip(low, low[1:])]
+        if all(m and abs(m.real) <= 1 and abs(m.imag) <= 1 for m in moves):
+            t = 1 + sum(x != y for x, y in zip(moves, moves[1:]))
+            out.append(log(47) + t * log(4.6) + log(comb(n - 1, t - 1)))
+    return out
+
+
+def smallest(value):
     from math import lgamma, log
 
-    for value in ["password1", "aaab1987", "qwerty", "xk9", "Pa55word", "abc12abc", "20240131!"]:
-        seg = {}
-        for a, b, _, c in guess_cost.segments(value):
-            seg[a, b] = min(c, seg.get((a, b), 1e9))
-        n, best = len(value), 1e9
-        for cut in product((0, 1), repeat=n - 1):
-            at = [0, *(i + 1 for i, c in enumerate(cut) if c), n]
-            # every segment either by a cheaper reading or by brute force, never two brute ones in a row
-            options = [([(seg[a, b], 0)] if (a, b) in seg else []) + [((b - a) * log(10), 1)] for a, b in zip(at, at[1:])]
-            for pick in product(*options):
-                if any(x[1] and y[1] for x, y in zip(pick, pick[1:])):
-                    continue
-                best = min(best, sum(p[0] for p in pick) + lgamma(len(pick) + 1))
-        assert guess_cost.guess_cost(value) == pytest.approx(best / log(10)), value
+    n, best = len(value), 1e9
+    seg = {(a, b): min([(b - a) * log(10), *reading(value[a:b])]) for a in range(n) for b in range(a + 1, n + 1)}
+    for cut in product((0, 1), repeat=n - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cut) if c), n]
+        best = min(best, sum(seg[p] for p in zip(at, at[1:])) + lgamma(len(at)))
+    return best / log(10)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_guess_cost_is_the_smallest_over_all_cuts(seed):
+    rng = random.Random(seed)
+    fixed = ["password1", "aaab1987", "qwerty", "xk9", "Pa55word", "abc12abc", "20240131!", "passzxcvbnm", "zxcvb", "x1234x", "01.02.1999", "drowssaP", "P@sSword", "aaaaaa", "ababab", "sasasa", "310199abc", "a\u0130b", "7"]
+    bits = ["pass", "Word", "qwe", "asdf", "1234", "1987", "aa", "ab", "zx", "0", "!", "x", "LOVE", "e", "654"]
+    mixed = ["".join(rng.choice(bits) for _ in range(5))[:12] for _ in range(25)]
+    for value in (fixed if seed == 0 else []) + mixed:
+        cost = smallest(value)
+        assert guess_cost.guess_cost(value) == pytest.approx(cost), value
+        cut = guess_cost.cheapest_cut(value)
+        assert [a for a, _, _ in cut] + [len(value)] == [0] + [b for _, b, _ in cut]
+        for bar in (cost - 1e-6, cost + 1e-6, 3.0, 30.0):
+            assert guess_cost.costs_at_least(value, bar) == (cost >= bar), (value, bar)
+
+
+@pytest.mark.parametrize("value,at_most", [("x" * 200, 3.4), ("x" * 5000, 6), ("ab" * 50_000, 7), ("password" * 4000, 13), ("x" * 1_000_000 + "password", 9)])
+def test_long_cheap_values_are_read_whole(value, at_most):
+    assert 0 < guess_cost.guess_cost(value) < at_most
+
+
+@pytest.mark.parametrize("value", ["0123456789" * 10_000, "g7Kq-pX2v_" * 10_000, "asdfghjkl;lkjhgfdsa" * 20_000])
+def test_long_strong_values_are_given_up_early(value):
+    # Units of more than eight characters are no repeats, so these take very many segments.
+    assert guess_cost.costs_at_least(value, 8.0)
 
 
 def test_weak_values_stay_and_strong_ones_are_found(spark):
     weak, strong = "pwd: password123", "pwd: g7Kq-pX2v_Lz"
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs(spark, [weak, strong])).collect()}
     assert rows[0].n_guess == 0 and rows[1].spans == "guess:5:17"
-    # A long value is costed piece by piece: 79 cheap repeats, not 5,000 free characters.
-    assert guess_cost.guess_cost("") == 0 and 200 < guess_cost.guess_cost("x" * 5000) < 79 * 3
+    assert guess_cost.guess_cost("") == 0 and guess_cost.cheapest_cut("") == []
 
 
 @pytest.mark.parametrize("n", [256, 257, 600, 5000, 1_000_000])
