@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terravox.llm.leak_search import without_leaks
 from terravox.llm.secret_scan import redact
-from terravox.llm.simhash import one_of_each
+from terravox.llm.near_copies import one_of_each
 from terravox.llm.toxicity import without_toxic
 from terravox.llm.unigram import encode_texts
 from terravox.session import scratch_path, ship_package

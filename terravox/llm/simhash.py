@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import fresh, map_texts
+from terravox.llm.common import map_texts
 from terravox.operators.setops import components
 from terravox.session import keep
 
@@ -186,10 +186,10 @@ def _forest(a: np.ndarray, b: np.ndarray, tau: int) -> tuple[list[int], list[int
     return left, right
 
 
-def links(nodes: DataFrame, tau: int = TAU, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
-    """Links (a, b) that join the distinct fingerprints ``fp`` exactly as all pairs within tau bits would.
+def filed_rows(nodes: DataFrame, tau: int = TAU, passed: tuple[str, ...] = ()) -> DataFrame:
+    """Every fingerprint under its value in each group of bits, and its probes: part, value, fp, ``passed``, probe.
 
-    ``nodes`` is read several times and should be a written table.
+    Two fingerprints within tau bits share a value where at least one of the two is not a probe.
     """
     total = nodes.count()
     rows = nodes.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(FIT_ROWS).collect()
@@ -201,7 +201,7 @@ def links(nodes: DataFrame, tau: int = TAU, bucket: int = BUCKET, small: int = S
             continue
         mask = int(np.array(sum(1 << k for k in g), np.uint64).view(np.int64))
         own = F.col("fp").bitwiseAND(F.lit(mask))
-        index = nodes.select(F.lit(i).alias("part"), own.alias("value"), "fp", F.lit(False).alias("probe"))
+        index = nodes.select(F.lit(i).alias("part"), own.alias("value"), "fp", *passed, F.lit(False).alias("probe"))
         parts.append(index)
         if t > 0:
             flips = [0]
@@ -210,11 +210,20 @@ def links(nodes: DataFrame, tau: int = TAU, bucket: int = BUCKET, small: int = S
             for _ in range(t):
                 layer = sorted({x ^ s for x in layer for s in singles} - set(flips))
                 flips += layer
-            sent = nodes.select("fp", own.alias("own"), F.explode(F.array(*[F.lit(f) for f in flips[1:]])).alias("flip"))
-            parts.append(sent.select(F.lit(i).alias("part"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"), "fp", F.lit(True).alias("probe")))
+            sent = nodes.select("fp", *passed, own.alias("own"), F.explode(F.array(*[F.lit(f) for f in flips[1:]])).alias("flip"))
+            parts.append(sent.select(F.lit(i).alias("part"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"), "fp", *passed, F.lit(True).alias("probe")))
     filed = parts[0]
     for p in parts[1:]:
         filed = filed.unionByName(p)
+    return filed
+
+
+def links(nodes: DataFrame, tau: int = TAU, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
+    """Links (a, b) that join the distinct fingerprints ``fp`` exactly as all pairs within tau bits would.
+
+    ``nodes`` is read several times and should be a written table.
+    """
+    filed = filed_rows(nodes, tau)
     size = filed.groupBy("part", "value").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("n_index"))
     size = size.filter("n > 1 and n_index > 0")
     filed = filed.join(size, ["part", "value"]).drop("n_index")
@@ -273,36 +282,3 @@ def assign(prints: DataFrame, key: str, tau: int = TAU) -> DataFrame:
     named = nodes.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return prints.join(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "fp")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near duplicates, with their columns.
-
-    The smallest key of a group stays, null keys last; where rows share it, the one with the smallest
-    hash over all columns; of wholly equal rows one.
-    """
-    names = docs.columns
-    mark = fresh(names, "_row")
-    row = docs.select("*", F.xxhash64(*names).alias(mark))
-    prints = keep(fingerprints(row, [key, mark], text).select(F.col(key).alias("k"), F.col(mark).alias("row"), "fp"), "simhash-rows")
-    spark = prints.sparkSession
-    rank = F.struct(F.col("k").isNull().alias("last"), "k", "row")
-    nodes = keep(prints.groupBy("fp").agg(F.min(rank).alias("first")), "simhash-nodes")
-    edges = keep(links(nodes.select("fp"), tau), "simhash-links")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    label = components(spark, ends, edges).select(F.col("node").alias("fp"), "label")
-    best = nodes.join(label, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("f"))
-    best = best.select("f.k", "f.row")
-    often = prints.groupBy("k", "row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("k").alias("k2"), F.col("row").alias("row2"), "n")
-    best = best.join(often, F.col("k").eqNullSafe(F.col("k2")) & (F.col("row") == F.col("row2")), "left")
-    best = keep(best.select(F.col("k").alias("_k"), F.col("row").alias("_r"), F.coalesce("n", F.lit(1)).alias("_n")), "simhash-best")
-
-    def rows_of(chosen: DataFrame) -> DataFrame:
-        chosen = chosen.select("_k", "_r")
-        a, b = row.alias("a"), chosen.alias("b")
-        return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col("b._k")) & (F.col(f"a.{mark}") == F.col("b._r"))).select(*[F.col(f"a.`{c}`") for c in names])
-
-    once = rows_of(best.filter("_n = 1"))
-    if best.filter("_n > 1").isEmpty():
-        return once
-    return once.unionByName(rows_of(best.filter("_n > 1")).dropDuplicates())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from terravox.llm import ann, chat_format, leak_search, simhash, suffix_dedup, unigram
+from terravox.llm import ann, chat_format, leak_search, near_copies, simhash, suffix_dedup, unigram
 from test_scans import ODD, docs
 
 # ---- nearest neighbours ------------------------------------------------------------------------
@@ -142,10 +142,79 @@ def test_thresholds_follow_the_pigeonhole_rule():
 def test_one_of_each_keeps_rows_whole(spark):
     d = docs(spark, ["a b c", "a b c", "x", None, "", "x"], [5, 2, None, 9, 8, 7])
     d = d.union(d.filter("doc_id = 2"))
-    out = simhash.one_of_each(d)
+    out = near_copies.one_of_each(d)
     assert out.columns == d.columns
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, "a b c"), (7, "x"), (8, "")]
-    assert simhash.one_of_each(d.filter("false")).count() == 0
+    assert near_copies.one_of_each(d.filter("false")).count() == 0
+
+
+def edited_texts(seed, families=25):
+    """Families of texts of whose words some are changed, cut off, added or doubled."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("ab cd ef gh".split()) + str(rng.randint(0, 300))
+    texts = []
+    for _ in range(families):
+        base = [word() for _ in range(rng.choice([3, 30, 150, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 50)):
+                w[rng.randrange(len(w))] = word()
+            w = w[: len(w) - rng.randint(0, len(w) // 8)] + [word() for _ in range(rng.randint(0, len(w) // 12))]
+            texts.append(" \t".join(w).upper() if rng.random() < 0.3 else " ".join(w))
+    return [*texts, *texts[:3], "", None, "one", "x " * 5000]
+
+
+def plain_groups(texts, tau):
+    """Smallest place linked with each text, over all pairs; the number of pairs of 0.8, and of those within tau."""
+    sets, prints = [], []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        h = [xxhash.xxh64_intdigest(x, 42) for x in set(w)]
+        prints.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h)))
+    label, alike, within = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            same = sets[i] == sets[j]
+            if not same and 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j]):
+                continue
+            alike += 1
+            if same or (prints[i] ^ prints[j]).bit_count() <= tau:
+                within += 1
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label, alike, within
+
+
+@pytest.mark.parametrize("first, small", [(near_copies.FIRST, near_copies.SMALL), (1, 2)])
+def test_edited_copies_against_all_pairs(spark, monkeypatch, first, small):
+    monkeypatch.setattr(near_copies.groups, "__defaults__", (near_copies.TAU, first, small))
+    texts = edited_texts(4)
+    label, alike, within = plain_groups(texts, near_copies.TAU)
+    assert within >= 0.9 * alike
+    assert len(set(label)) < 0.7 * len(texts)  # there are groups
+    got = sorted(r.doc_id for r in near_copies.one_of_each(docs(spark, texts, list(range(len(texts))))).collect())
+    assert got == sorted(set(label))
+
+
+def test_blocks_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(120)] = f"n{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"o{i}{k}" for k in range(60)) for i in range(20)]
+    nodes = [(i, *near_copies.word_print(t.encode())[1:]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, f, len(r), i) for i, f, r in nodes], "node bigint, fp bigint, n int, label bigint")
+    pairs = {(r.a, r.b) for r in near_copies.candidates(df, 3, small=2, bucket=64).collect()}
+    near = {i: {j for j, g, r2 in nodes if j != i and ((f ^ g) & (2**64 - 1)).bit_count() <= near_copies.TAU and 5 * min(len(r), len(r2)) >= 4 * max(len(r), len(r2))} for i, f, r in nodes}
+    listed = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in near}
+    for i in near:
+        assert listed[i] <= near[i] and len(listed[i]) >= min(4, len(near[i]))
+        assert all(len(listed[j]) >= 4 for j in near[i] - listed[i])  # what is left out was cut from both lists
 
 
 # ---- repeated passages -------------------------------------------------------------------------
