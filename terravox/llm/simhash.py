@@ -194,7 +194,7 @@ def filed_rows(nodes: DataFrame, tau: int = TAU, passed: tuple[str, ...] = ()) -
     total = nodes.count()
     rows = nodes.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(FIT_ROWS).collect()
     sample = np.array([r.fp for r in rows], np.int64)
-    groups, thresholds, _ = plan_thresholds(sample, total, tau)
+    groups, thresholds, _ = plan_thresholds(sample, max(1, total), tau)  # without rows every choice would cost nothing
     parts = []
     for i, (g, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
