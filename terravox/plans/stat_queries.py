@@ -192,10 +192,9 @@ def _(spark, sf):
 WITH {ORD_SQL}, d AS (SELECT grp, round(x / 500 - y, 6) AS d FROM o), k AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
 SELECT grp, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) / 1e6 AS w_plus_m, coalesce(sum(r) FILTER (WHERE d < 0), 0) / 1e6 AS w_minus_m FROM k GROUP BY grp""")
 def _(spark, sf):
-    d = orders(spark, sf).select("grp", F.round(F.col("x") / 500 - F.col("y"), 6).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
-    r = St.average_ranks(d, ["grp"], ["m"])
-    side = lambda c: (F.coalesce(F.sum(F.when(c, F.col("r_m"))), F.lit(0.0)) / 1e6)
-    return r.groupBy("grp").agg(F.count("*").alias("n"), side(F.col("d") > 0).alias("w_plus_m"), side(F.col("d") < 0).alias("w_minus_m"))
+    # The sums follow from the counted values: no rank goes back to a row.
+    d = orders(spark, sf).select("grp", F.round(F.col("x") / 500 - F.col("y"), 6).alias("d"))
+    return St.signed_rank(d, ["grp"], "d").select("grp", "n", (F.col("w_plus") / 1e6).alias("w_plus_m"), (F.col("w_minus") / 1e6).alias("w_minus_m"))
 
 
 @query("t16_signed_rank_p", "grp:s,n:b,w_m:d,z:d,p:d", "T16")
