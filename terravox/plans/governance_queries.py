@@ -11,7 +11,7 @@ from terravox.operators import governance as G
 from terravox.operators import statistics as St
 from terravox.operators.scaling import exact_percentiles
 from terravox.plans.registry import query
-from terravox.session import scratch_path
+from terravox.session import keep, scratch_path
 from terravox.sources import files, sinks
 from terravox.sources import tables as T
 
@@ -172,8 +172,10 @@ def _(spark, sf):
     from pyspark.sql import Window
 
     l = T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("truth"), (F.col("l_extendedprice") / 997).alias("width"))
-    rho = St.average_ranks(l, ["flag"], ["truth", "width"]).groupBy("flag").agg(F.corr("r_truth", "r_width").alias("rho"))
-    med = exact_percentiles(l.withColumn("b", F.floor(F.col("truth") / 10)), ["flag", "b"], "width", {"med": 0.5})
+    # Equal rows are counted once for the ranks and for the medians.
+    l = keep(l.groupBy("flag", "truth", "width").agg(F.count("*").alias("m")), "widths")
+    rho = St.counted_rho(keep(St.average_ranks(l.filter("truth IS NOT NULL AND width IS NOT NULL"), ["flag"], ["truth", "width"], times="m"), "width-ranks"), ["flag"], "r_truth", "r_width", "m")
+    med = exact_percentiles(l.withColumn("b", F.floor(F.col("truth") / 10)), ["flag", "b"], "width", {"med": 0.5}, times="m")
     w = Window.partitionBy("flag").orderBy("b")  # one row per width class
     g = med.withColumn("s", F.col("med") - F.lag("med").over(w)).groupBy("flag").agg(F.count("*").alias("medians"), F.bool_and(F.col("s") > 0).alias("monotone"))
     return rho.join(g, "flag").withColumn("passes", F.col("monotone") & (F.col("rho") >= 0.5))
