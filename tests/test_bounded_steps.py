@@ -1,6 +1,7 @@
 """Steps whose cost has to follow the rows: windows over short keys, counted rows, open pairs only."""
 
 import random
+import re
 from functools import reduce
 from operator import add
 
@@ -56,3 +57,11 @@ def test_class_on_a_limit_does_not_depend_on_the_order(spark, tmp_path):
     rows = [(u * 1000 + k * 100 + n, u, rater, x) for u, order in ((1, v), (2, sorted(v))) for k, rater in enumerate("abcde") for n, x in enumerate(order)]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert {(r.site, r.c) for r in Q.votes(spark, str(tmp_path)).select("site", "c").distinct().collect()} == {(1, "deep"), (2, "deep")}
+
+
+def test_axis_cells_are_not_shuffled_per_shell(spark):
+    """Before: one row per place, model, cell and shell under an aggregate that sorts."""
+    from terravox.plans import QUERIES
+
+    plan = QUERIES["g35_axis_coherence"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"(?<!array_)min\((named_)?struct", plan) and "explode(q" not in plan
