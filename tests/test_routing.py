@@ -182,3 +182,17 @@ def test_a_path_that_is_too_long_is_refused(spark, monkeypatch):
     monkeypatch.setattr(R, "LONGEST", 2)
     with pytest.raises(RuntimeError):
         R._follow(R.Tile(GRID, case, a, 0, 0, None), field, [head], True, 0, a.shape[0])
+
+
+def test_arrivals_side_by_side_equal_one_by_one():
+    grid = R.Grid(tuple(-63.0 + 14.0 * x for x in range(10)), tuple(-180.0 + 24.0 * x for x in range(15)), tuple(100.0 * x for x in range(12)))
+    a = np.random.default_rng(17).normal(0, 1.5, (12, 10, 15))
+    a[:, 9, 12:] = np.inf
+    tile = R.Tile(grid, R.Case(0, 0.6, 1000.0, 300.0, 0.6, 1), a, 0, 0, None)
+    seeds = np.full((3, 10, 15), np.inf)
+    seeds[0, 2, 3] = seeds[1, 7, 11] = seeds[2, 0, 0] = 0.0
+    with np.errstate(invalid="ignore", over="ignore"):
+        together = R._arrivals(tile, {}, seeds, 0, 12)
+        for n in range(3):
+            alone = R._arrivals(tile, {}, seeds[n], 0, 12)
+            assert all(np.array_equal(together[k][n], alone[k]) for k in range(12))

@@ -35,3 +35,24 @@ def test_second_roots_equal_a_masked_search(spark):
                 assert abs(x.separation_km - km(spot(*root), spot(x.end_j, x.end_i))) < 1e-6
     nothing = Z.second_roots(rows, ["model"], GRID, CASE, sites.limit(3), 30_000.0, 1500.0).collect()
     assert len(nothing) == 3 and not any(x.reached for x in nothing) and all(x.cost is None for x in nothing)
+
+
+def test_second_routes_end_where_second_roots_do(spark):
+    a = np.random.default_rng(16).normal(0, 1.5, (25, 10, 15))
+    rows = spark.createDataFrame([(0, j, k, a[k, j].tolist()) for k in range(25) for j in range(10)], "model bigint, j int, k int, row array<double>")
+    sites = spark.createDataFrame([(0, 1, 1, 3, 3, 1, 2, 3), (0, 2, 6, 8, 11, 2, 7, 11), (0, 3, 4, 5, 14, 1, 4, 0)], "model bigint, site bigint, cj0 int, cj1 int, ci int, cw int, root_j int, root_i int")
+    ends = {x.site: (x.end_k, x.end_j, x.end_i) for x in Z.second_roots(rows, ["model"], GRID, CASE, sites, 3500.0, 1500.0).collect()}
+    routes: dict[int, list] = {}
+    for x in Z.second_routes(rows, ["model"], GRID, CASE, sites, 3500.0, 1500.0).collect():
+        routes.setdefault(x.site, []).append((x.n, x.k, x.j, x.i))
+    for site, nodes in routes.items():
+        nodes.sort()
+        assert [n[0] for n in nodes] == list(range(len(nodes))) and nodes[0][1] == GRID.seed_shell()
+        assert nodes[-1][1:] == ends[site]
+    assert routes.keys() == ends.keys() == {1, 2, 3}
+
+
+def test_small_tiles_are_not_merged(spark):
+    """Few bytes are long work here: before, one shuffle of 40 models came as one task."""
+    rows = spark.range(40).withColumnRenamed("id", "model")
+    assert R.tiles(rows, ["model"]).select(F.spark_partition_id()).distinct().count() > 8
