@@ -41,7 +41,9 @@ EPOCHS = 12
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.3
 #: Words whose hash a task remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Text handled at once; its words and pairs take some forty times as much.
+CHUNK = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,8 +68,8 @@ def features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     """(row, bucket) of every n-gram occurrence, words, pairs and skip-pairs one after the other."""
     words = [words_of(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [hashes[w] for ws in words for w in ws]
-    h = np.array(flat, np.uint64)
+    h = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    del words
     row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     shift = np.uint64(64 - BITS)
     rows, buckets = [row], [(h * _A) >> shift]
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.orderBy(F.xxhash64(key), key).limit(fit_rows)
     # At most fit_rows pairs of numbers: a bound of its own.
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    made = map_texts(rows, [key, "y"], "text", "ids binary, shard int", feature_sets_of, setup=WordHashes)
+    made = map_texts(rows, [key, "y"], "text", "ids binary, shard int", feature_sets_of, setup=WordHashes, chunk_bytes=CHUNK)
     # One row per share, so that a round reads the written table as it lies, without a shuffle.
     table = keep(made.groupBy("shard").applyInPandas(packed_of(key), PACKED), "toxicity-fit")
     seen = table.agg(F.sum("rows").alias("n"), F.sum("pos").alias("pos")).first()
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, passed: list[str], text: str = "text",
         dense[sent.value.buckets] = sent.value.weights
         return WordHashes(), dense
 
-    return map_texts(docs, passed, text, f"{name} double", lambda raws, s: [scores(raws, s[0], sent.value, s[1])], setup=setup)
+    return map_texts(docs, passed, text, f"{name} double", lambda raws, s: [scores(raws, s[0], sent.value, s[1])], setup=setup, chunk_bytes=CHUNK)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

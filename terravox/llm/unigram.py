@@ -31,7 +31,7 @@ from terravox.llm.common import map_texts
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Segments a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Segments encoded at once, which bounds the arrays of their lattices.
 TOGETHER = 12_000
 #: Segments longer than this are cut by a plain loop, shorter ones together as arrays.

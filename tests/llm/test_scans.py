@@ -6,6 +6,7 @@ import re
 import zlib
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,19 @@ def test_ids_of_any_kind_pass_untouched(spark):
     rows = license_scan.scan_licenses(docs(spark, ["x", "y"], [big, None])).collect()
     assert {r.doc_id for r in rows} == {big, None}
     assert secret_scan.scan_secrets(docs(spark, ["x"]).filter(F.lit(False))).count() == 0
+
+
+def test_texts_are_sent_once_and_in_bounded_batches(spark):
+    from terravox.llm.common import map_texts
+
+    d = spark.createDataFrame([(1, "aé"), (2, None), (3, "")], "k int, text string")
+    out = map_texts(d, ["k", "text"], "text", "n int", lambda raws: [[len(r) for r in raws]])
+    assert sorted(map(tuple, out.collect())) == [(1, "aé", 3), (2, None, 0), (3, "", 0)]
+    assert "_utf8" not in out._jdf.queryExecution().toString()
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    assert long.mapInArrow(sizes, "n bigint").agg(F.max("n")).first()[0] < 5 << 20  # 40 MB came at once before
