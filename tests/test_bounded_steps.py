@@ -7,7 +7,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from terravox.operators import spatial
+from terravox.operators import setops, spatial
 from terravox.operators import statistics as St
 from terravox.operators.scaling import Ordered, exact_percentiles
 from terravox.plans import relational_queries as Q
@@ -65,3 +65,19 @@ def test_axis_cells_are_not_shuffled_per_shell(spark):
 
     plan = QUERIES["g35_axis_coherence"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"(?<!array_)min\((named_)?struct", plan) and "explode(q" not in plan
+
+
+def test_pairs_of_owners_are_not_rows_of_a_join(spark):
+    """Before: a row for every pair of owners and every member that they share."""
+    rng = random.Random(3)
+    common, few = [f"c{n}" for n in range(40)], [f"r{n}" for n in range(300)]
+    sets = {o: {*rng.sample(common, rng.randrange(0, 30)), *rng.sample(few, rng.randrange(0, 6))} for o in range(70)}
+    rows = [(o, m) for o, s in sets.items() for m in s]
+    m = spark.createDataFrame(rows + rows[:50] + [(None, "c1"), (3, None)], "o bigint, m string")
+    pairs = setops.linked_pairs(m, "o", "m", 0.4)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    least = {(a, b): min(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
+    want = {(a, b): len(sets[a] & sets[b]) for (a, b), n in least.items() if n and len(sets[a] & sets[b]) / n >= 0.4}
+    got = pairs.collect()
+    assert want and {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
+    assert all(abs(r.frac_small - r.shared / least[r.a, r.b]) < 1e-12 and abs(r.jaccard - r.shared / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got)
