@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from terravox.operators import routing as R
 from terravox.operators import sweep as W
 from terravox.operators.injection import axis
@@ -122,3 +124,21 @@ def test_sweep_on_spark(spark):
     for c in FIELDS[:6:2]:
         top = plain_seed(plain_channel(injected_copy(cubes[1], cases[4], 1500.0), c.channel, 800.0), c)
         assert all(np.allclose(after[1, 5, c.case, j], top[j], rtol=1e-12) for j in (2, 3, 4))
+
+
+def test_costs_are_held_once_per_seat(spark):
+    """Before: a row for every place and configuration; places with the same caps have the same costs."""
+    from terravox.plans import search_queries as Q
+
+    sf, radii, few = "/root/testdata/sf0.001", (2.0, 12.0), Q.FIELDS[:4]
+    f = Q.keep(W.observed(Q.rows(spark, sf), ["model"], Q.GRID, few, Q.LATERAL, Q.NCELL), "few-fields")
+    places, by_site = Q.seated(spark, sf, radii), Q.site_costs(spark, sf, few, radii, fields=f)
+    costs = Q.seat_costs(spark, f, places, radii)
+    th, want = Q.seat_threshold(costs), Q.null_threshold(by_site)
+    order = lambda d, c: [tuple(r) for r in d.select(*c).orderBy(*c[:3]).collect()]
+    cols = ["model", "case", "radius", "threshold"]
+    assert order(th, cols) == order(want, cols)
+    per_place = by_site.filter("kind = 'hotspot'").join(want, cols[:3]).groupBy("model", "site").agg(F.avg((F.col("cost") < F.col("threshold")).cast("double")).alias("share"), F.median("cost").alias("mid"), F.count("*").alias("n"))
+    got = Q.ensemble(costs, th, places).select("model", "site", "root_fraction", "cost_median", "n_ensemble")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, per_place.collect()))
+    assert costs.count() < by_site.count()
