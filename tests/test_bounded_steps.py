@@ -81,3 +81,12 @@ def test_pairs_of_owners_are_not_rows_of_a_join(spark):
     got = pairs.collect()
     assert want and {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
     assert all(abs(r.frac_small - r.shared / least[r.a, r.b]) < 1e-12 and abs(r.jaccard - r.shared / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got)
+
+
+def test_growing_tables_do_not_pass_through_the_driver(spark):
+    """Before: written tables of few bytes and many rows were broadcast."""
+    from terravox.plans import QUERIES
+
+    for name, keys in (("g48_structure_association", r"kind#\w+, _place"), ("j12_nearest_boundary", r"model#\w+, hj"), ("g20_competing_route", r"model#\w+, site#\w+")):
+        plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert re.search(rf"SortMergeJoin \[{keys}", plan) and not re.search(rf"BroadcastHashJoin \[{keys}", plan), name
