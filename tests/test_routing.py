@@ -196,3 +196,30 @@ def test_arrivals_side_by_side_equal_one_by_one():
         for n in range(3):
             alone = R._arrivals(tile, {}, seeds[n], 0, 12)
             assert all(np.array_equal(together[k][n], alone[k]) for k in range(12))
+
+
+def test_excess_is_folded_in_the_task(spark):
+    """Before: an arrival field per cap was written. Both ways, and a plain sum of two fields, agree."""
+    from terravox.operators import route_sites as S
+
+    a = cube(5)
+    case, caps = R.Case(0, 0.5, 350.0, 1200.0, 0.6, 1), {0: ([1, 2], [3, 4]), 1: ([4], [0]), 2: ([5, 6], [5, 0])}
+    units = [R.Case(n, case.s, case.z_target, case.h_max, case.lateral, case.ncell) for n in caps]
+    cost = R.solve(spark, frame(spark, a), ["model"], GRID, [case])
+    tight = R.Layout(2, 4, (GRID.sidesteps(case.h_max) + case.ncell) * 3, max(GRID.spans(len(GRID.depth) - 1)))
+    got = [S.excess(spark, frame(spark, a), ["model"], GRID, units, caps, cost, "cap", 2, lay) for lay in (None, tight)]
+    assert "Join" not in got[0]._jdf.queryExecution().optimizedPlan().toString()
+    one, two = ({(r.cap, r.k): r for r in g.collect()} for g in got)
+    assert one.keys() == two.keys() and {c for c, _ in one} == set(caps)
+    ks, c0 = range(GRID.seed_shell(), GRID.target_shell(case.z_target) + 1), to_cube(cost, 0, a.shape)
+    for cap, seeds in caps.items():
+        d = to_cube(R.solve(spark, frame(spark, a), ["model"], GRID, [units[cap]], "arrival", seeds=caps), cap, a.shape)
+        t = (d + c0)[ks.start : ks.stop]
+        for k in ks:
+            e, r, q = t[k - ks.start] - t.min(), one[cap, k], two[cap, k]
+            fin = np.isfinite(e)
+            want = (fin.sum(), e[fin].sum(), e.min(), t.min())
+            for x in (r, q):
+                np.testing.assert_allclose((x.n, x.total, x.least, x.c_best), want, rtol=1e-9, atol=1e-9)
+                assert list(x.cells) == [int((e <= tau * t.min()).sum()) for tau in S.TAUS]
+            np.testing.assert_allclose(r.area, q.area, rtol=1e-9)
