@@ -72,6 +72,7 @@ def walk(binned: np.ndarray, grid: Grid, lat: np.ndarray, lon: np.ndarray, t: Tu
     outer = (np.arange(t.rings) + 1) * width > t.r_in
     middle = (np.arange(t.rings) + 0.5) * width
     chunk = max(1, HELD // size)
+    between = _arc(lats, lons, lats, lons) if size * size <= HELD else None
     for at in range(0, n, chunk):
         la, lo = np.radians(lat[at : at + chunk]), np.radians(lon[at : at + chunk])
         start = _arc(la, lo, lats, lons)
@@ -83,24 +84,28 @@ def walk(binned: np.ndarray, grid: Grid, lat: np.ndarray, lon: np.ndarray, t: Tu
             value = np.where(seen & (here <= t.step_km), v, np.inf)
             low = value.argmin(1)
             found = np.isfinite(value[m, low])
-            around = _arc(lats[low], lons[low], lats, lons)
+            # What is around a cell depends on the cell alone: sites that meet in one share it.
+            cells, of = np.unique(low, return_inverse=True)
+            around = between[cells] if between is not None else _arc(lats[cells], lons[cells], lats, lons)
             ring = np.floor(around / width).astype(np.int64)
             inside = (ring < t.rings) & seen
-            slot = np.where(inside, m[:, None] * t.rings + ring, 0)
-            sums = np.bincount(slot[inside], np.broadcast_to(v, slot.shape)[inside], len(m) * t.rings).reshape(-1, t.rings)
-            many = np.bincount(slot[inside], minlength=len(m) * t.rings).reshape(-1, t.rings)
+            slot = np.where(inside, np.arange(len(cells))[:, None] * t.rings + ring, 0)
+            sums = np.bincount(slot[inside], np.broadcast_to(v, slot.shape)[inside], len(cells) * t.rings).reshape(-1, t.rings)
+            many = np.bincount(slot[inside], minlength=len(cells) * t.rings).reshape(-1, t.rings)
             profile = np.divide(sums, many, out=np.full(sums.shape, np.nan), where=many > 0)
             far = np.isfinite(profile) & outer
-            ring_mean = np.divide(np.where(far, profile, 0.0).sum(1), far.sum(1), out=np.full(len(m), np.nan), where=far.any(1))
-            centre = v[low]
-            p = np.where(found, ring_mean - centre, np.nan)
+            ring_mean = np.divide(np.where(far, profile, 0.0).sum(1), far.sum(1), out=np.full(len(cells), np.nan), where=far.any(1))
+            centre = v[cells]
+            tall, wide = ring_mean - centre, np.full(len(cells), np.nan)
+            for q in np.flatnonzero(tall > 0):
+                wide[q] = _half_width(middle, profile[q], centre[q] + 0.5 * tall[q])
+            p = np.where(found, tall[of], np.nan)
             prom[at + m, b] = p
             away = start[m, low]
             drift[at + m, b] = np.where(found, away, np.nan)
-            for q in np.flatnonzero(p > 0):
-                half[at + q, b] = _half_width(middle, profile[q], centre[q] + 0.5 * p[q])
+            half[at + m, b] = np.where(p > 0, wide[of], np.nan)
             moved = found & (away <= t.max_drift)
-            here[moved] = around[moved]
+            here[moved] = around[of[moved]]
     return prom, half, drift
 
 

@@ -101,3 +101,16 @@ def test_small_chunks_change_nothing(monkeypatch):
     monkeypatch.setattr(U, "HELD", 1000)
     for x, y in zip(U.walk(binned, GRID, lat, lon, TUBE), want):
         assert np.array_equal(x, y, equal_nan=True)
+
+
+def test_sites_that_meet_in_a_cell_share_what_is_around_it(monkeypatch):
+    """Before: rings and widths were made for every site and bin."""
+    rng, asked, plain_width = np.random.default_rng(4), [], U._half_width
+    a = rng.normal(0, 1.5, (len(GRID.depth), len(GRID.lat), len(GRID.lon)))
+    binned, _ = U.depth_bins(a, GRID.depth, TUBE)
+    lat, lon = rng.uniform(-40, 40, 900), rng.uniform(-180, 180, 900)
+    want = [np.concatenate(x) for x in zip(*(U.walk(binned, GRID, lat[n : n + 1], lon[n : n + 1], TUBE) for n in range(900)))]
+    monkeypatch.setattr(U, "_half_width", lambda *x: asked.append(1) or plain_width(*x))
+    for x, y in zip(U.walk(binned, GRID, lat, lon, TUBE), want):
+        np.testing.assert_array_equal(x, y)
+    assert 0 < len(asked) <= len(binned) * a[0].size
